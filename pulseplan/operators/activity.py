@@ -14,6 +14,7 @@ from ..functions import day_offset, within
 from ..functions.calendar import DateLike
 
 IS_ACTIVE = F.col("is_active_day") == 1
+FIRST_MONTH_COLUMN = "active_days_in_first_30"
 
 
 def patient_activity(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import floored_days, guarded_percent, half_even, has_dates, percent
 from ..settings import BILLING_THRESHOLD, FIRST_DATA_WITHIN_DAYS, FIRST_MONTH_DAYS
-from .activity import activity_since
+from .activity import FIRST_MONTH_COLUMN, activity_since
 
 # --- fixed values: stage keys and the titles they are reported under ---
 STAGES = (
@@ -26,7 +26,10 @@ def patient_stages(
     fact_patient_day: DataFrame,
     billing_compliance_threshold: int = BILLING_THRESHOLD,
 ) -> DataFrame:
-    """Per patient, one flag for each stage. The stages are independent sets."""
+    """Per patient, one flag for each stage, and the active days it rests on.
+
+    The stages are independent sets: a patient can be installed, not enrolled.
+    """
     if has_dates(patients, "enrollment_date", "first_data_date"):
         wait = F.datediff("first_data_date", "enrollment_date")
     else:
@@ -43,30 +46,36 @@ def patient_stages(
             "first_data"
         ),
         F.coalesce(compliant, F.lit(False)).alias("compliant"),
+        F.coalesce("active_sum", F.lit(0)).cast("int").alias(FIRST_MONTH_COLUMN),
     )
 
 
-def funnel_from_stages(stages: DataFrame) -> DataFrame:
-    """Stage counts and rates from the flags of `patient_stages`."""
-    counts = stages.agg(*[F.count_if(key).alias(key) for key, _ in STAGES])
+def stage_counts() -> list[Column]:
+    """Aggregates over `patient_stages`: patients per stage."""
+    return [F.count_if(key).alias(key) for key, _ in STAGES]
+
+
+def funnel_rows() -> list[Column]:
+    """One struct per stage, from the columns of `stage_counts`."""
     keys = [key for key, _ in STAGES]
-    rows = [
-        F.struct(
-            F.lit(position).alias("stage_no"),
-            F.lit(title).alias("stage"),
-            F.col(key).alias("count"),
-            half_even(percent(F.col(key), F.col(keys[0])), 1).alias(
-                "rate_from_enrolled"
-            ),
-            (
-                half_even(percent(F.col(key), F.col(keys[position - 2])), 1)
-                if position > 1
-                else F.lit(100.0)
-            ).alias("rate_from_previous"),
+    rows = []
+    for position, (key, title) in enumerate(STAGES):
+        count = F.col(key)
+        if position:
+            previous = half_even(percent(count, F.col(keys[position - 1])), 1)
+        else:
+            previous = F.lit(100.0)
+        rows.append(
+            F.struct(
+                F.lit(title).alias("stage"),
+                count.alias("count"),
+                half_even(percent(count, F.col(keys[0])), 1).alias(
+                    "rate_from_enrolled"
+                ),
+                previous.alias("rate_from_previous"),
+            )
         )
-        for position, (key, title) in enumerate(STAGES, start=1)
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    return rows
 
 
 def get_patient_funnel(
@@ -76,7 +85,7 @@ def get_patient_funnel(
 ) -> DataFrame:
     """stage, count, rate_from_enrolled and rate_from_previous, four rows."""
     stages = patient_stages(patients, fact_patient_day, billing_compliance_threshold)
-    return funnel_from_stages(stages).drop("stage_no")
+    return stages.agg(*stage_counts()).select(F.inline(F.array(*funnel_rows())))
 
 
 def get_stage_patients(

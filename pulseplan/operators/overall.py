@@ -110,8 +110,8 @@ def _recent(fact: DataFrame, analysis_date: DateLike, lookback_days: int) -> Dat
     )
 
 
-def _at_risk(threshold: float) -> Column:
-    # NaN means "no score" and must not compare as the largest number.
+def at_risk(threshold: float) -> Column:
+    """Whether a row's score counts; NaN means no score, it is not the largest."""
     score = F.col("fall_risk_score").cast("double")
     return F.nanvl(score, F.lit(None).cast("double")) >= threshold
 
@@ -132,7 +132,7 @@ def get_high_fall_risk_patients(
         _recent(fact_patient_day, analysis_date, lookback_days)
         .filter(F.col("patient_id").isNotNull())
         .groupBy("patient_id")
-        .agg(F.count_if(_at_risk(threshold)).alias("high_scores"))
+        .agg(F.count_if(at_risk(threshold)).alias("high_scores"))
         .agg(
             F.count_if(F.col("high_scores") > 0).alias("high_risk_count"),
             F.count(F.lit(1)).alias("total_patients"),
@@ -156,7 +156,7 @@ def get_high_fall_risk_patient_ids(
     """patient_id of each patient `get_high_fall_risk_patients` counts."""
     return (
         _recent(fact_patient_day, analysis_date, lookback_days)
-        .filter(F.col("patient_id").isNotNull() & _at_risk(threshold))
+        .filter(F.col("patient_id").isNotNull() & at_risk(threshold))
         .select("patient_id")
         .distinct()
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import percent
@@ -14,9 +14,7 @@ from ..settings import (
     RETENTION_MILESTONES,
     TOP_DROPOFFS,
 )
-from .activity import activity_since
-
-_DAYS = "active_days_in_first_30"
+from .activity import FIRST_MONTH_COLUMN, activity_since
 
 
 def get_active_days_in_first_30(
@@ -31,49 +29,55 @@ def get_active_days_in_first_30(
         FIRST_MONTH_DAYS,
         ["enrollment_date"],
     )
-    return month.select(
-        "patient_id", F.coalesce("active_sum", F.lit(0)).cast("int").alias(_DAYS)
-    )
+    days = F.coalesce("active_sum", F.lit(0)).cast("int")
+    return month.select("patient_id", days.alias(FIRST_MONTH_COLUMN))
 
 
 def first_30_statistics(active_days: DataFrame) -> DataFrame:
     """One row: patients, mean and median of active_days_in_first_30."""
     return active_days.agg(
         F.count(F.lit(1)).alias("patients"),
-        F.avg(_DAYS).alias("mean"),
-        F.median(_DAYS).alias("median"),
+        F.avg(FIRST_MONTH_COLUMN).alias("mean"),
+        F.median(FIRST_MONTH_COLUMN).alias("median"),
     )
 
 
+def retention_counts(days: Column) -> list[Column]:
+    """Aggregates over patients: all of them, and those with 0, 1, .. 30 ``days``."""
+    return [F.count(days).alias("patients")] + [
+        F.count_if(days >= k).alias(f"reached_{k}")
+        for k in range(RETENTION_MAX_DAYS + 1)
+    ]
+
+
+def retention_rows() -> list[Column]:
+    """One struct per threshold, from the columns of `retention_counts`."""
+    rows = []
+    for k in range(RETENTION_MAX_DAYS + 1):
+        users = F.col(f"reached_{k}")
+        before = F.col(f"reached_{k - 1}") if k else F.lit(None).cast("bigint")
+        lost = before - users
+        share = percent(users, F.col("patients"))
+        rows.append(
+            F.struct(
+                F.lit(k).alias("active_days_threshold"),
+                users.alias("users_reached"),
+                F.coalesce(share, F.lit(0.0)).alias("pct_reached"),
+                F.coalesce(lost, F.lit(0)).alias("drop_from_previous"),
+                F.coalesce(percent(lost, before), F.lit(0.0)).alias("drop_pct"),
+            )
+        )
+    return rows
+
+
 def get_retention_by_active_days(active_days: DataFrame) -> DataFrame:
     """How many patients reached 0, 1, .. 30 active days, and where they dropped.
 
     One conditional count per threshold, all in a single pass over the patients;
     the 31 rows are then laid out from that one row, so no join or window runs.
     """
-    thresholds = range(RETENTION_MAX_DAYS + 1)
-    counts = active_days.agg(
-        F.count(F.lit(1)).alias("patients"),
-        *[F.count_if(F.col(_DAYS) >= k).alias(f"reached_{k}") for k in thresholds],
-    )
-    rows = [
-        F.struct(
-            F.lit(k).alias("active_days_threshold"),
-            F.col(f"reached_{k}").alias("users_reached"),
-            (F.col(f"reached_{k - 1}") if k else F.lit(None).cast("bigint")).alias(
-                "before"
-            ),
-        )
-        for k in thresholds
-    ]
-    users, before = F.col("users_reached"), F.col("before")
-    return counts.select("patients", F.inline(F.array(*rows))).select(
-        "active_days_threshold",
-        "users_reached",
-        F.coalesce(percent(users, F.col("patients")), F.lit(0.0)).alias("pct_reached"),
-        F.coalesce(before - users, F.lit(0)).alias("drop_from_previous"),
-        F.coalesce(percent(before - users, before), F.lit(0.0)).alias("drop_pct"),
-    )
+    counts = active_days.agg(*retention_counts(F.col(FIRST_MONTH_COLUMN)))
+    return counts.select(F.inline(F.array(*retention_rows())))
 
 
 def top_dropoffs(retention: DataFrame, n: int = TOP_DROPOFFS) -> DataFrame:
