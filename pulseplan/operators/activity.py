@@ -7,16 +7,19 @@ most one row per task and calendar day (`daily_activity`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_offset, within
 from ..functions.calendar import DateLike
 
-IS_ACTIVE = F.col("is_active_day") == 1
 FIRST_MONTH_COLUMN = "active_days_in_first_30"
 
 
+def is_active() -> Column:
+    return F.col("is_active_day") == 1
+
+
 def patient_activity(
     fact: DataFrame, start: DateLike | None = None, end: DateLike | None = None
 ) -> DataFrame:
@@ -25,7 +28,7 @@ def patient_activity(
         within(fact, start, end)
         .filter(F.col("patient_id").isNotNull())
         .groupBy("patient_id")
-        .agg(F.count_if(IS_ACTIVE).alias("active_days"))
+        .agg(F.count_if(is_active()).alias("active_days"))
     )
 
 
@@ -34,7 +37,7 @@ def daily_activity(fact: DataFrame) -> DataFrame:
     active_sum adds the flags up. They differ only for flags other than 0 and 1.
     """
     return fact.groupBy("patient_id", "date").agg(
-        F.count_if(IS_ACTIVE).alias("active_rows"),
+        F.count_if(is_active()).alias("active_rows"),
         F.coalesce(F.sum("is_active_day"), F.lit(0)).alias("active_sum"),
     )
 

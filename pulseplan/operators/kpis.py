@@ -17,7 +17,7 @@ from ..settings import (
     FIRST_MONTH_DAYS,
     ROLLING_WINDOWS,
 )
-from .activity import IS_ACTIVE, activity_since, daily_activity
+from .activity import is_active, activity_since, daily_activity
 from .order_statistics import exact_median
 
 ASSESSMENT_DIMENSIONS = ("week_start", "clinic_id", "assessment_type")
@@ -123,7 +123,7 @@ def dropoff_risk(
     """
     last = (
         until(fact_patient_day, as_of)
-        .filter(IS_ACTIVE)
+        .filter(is_active())
         .groupBy("patient_id")
         .agg(F.max("date").cast("date").alias("last_active_date"))
     )

@@ -19,6 +19,16 @@ def _same(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(Column.__and__, pairs)
 
 
+def _cell_of_rank(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The cell each rank falls into, and the rank counted from its first value."""
+    below = F.col("upto") - F.col("n")
+    return cells.filter(
+        (F.col("rank") >= below) & (F.col("rank") < F.col("upto"))
+    ).select(
+        *keys, "side", F.col("cell").alias("parent"), (F.col("rank") - below).alias("rank")
+    )
+
+
 def exact_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """``by`` plus ``median`` (double) of the bigint column ``value``; NULLs skipped.
 
@@ -40,50 +50,35 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
     levels = {0: exact}
     for shift in reversed(_SHIFTS[:-1]):
-        finer = levels[shift - _BITS]
-        levels[shift] = finer.groupBy(
-            *keys, F.shiftright("cell", _BITS).alias("cell")
-        ).agg(F.sum("n").alias("n"))
+        levels[shift] = (
+            levels[shift - _BITS]
+            .groupBy(*keys, F.shiftright("cell", _BITS).alias("cell"))
+            .agg(F.sum("n").alias("n"))
+        )
 
-    # The middle ranks of each group, counted from 0; equal for an odd count.
-    total = levels[_SHIFTS[0]].groupBy(*keys).agg(F.sum("n").alias("total"))
-    middle = F.array(
-        F.call_function("div", F.col("total") - 1, F.lit(2)),
-        F.call_function("div", F.col("total"), F.lit(2)),
-    )
-    found = total.select(
-        *keys,
-        F.lit(0).cast("bigint").alias("parent"),
-        F.posexplode(middle).alias("side", "rank"),
+    # The two middle ranks of each group, counted from 0; equal for an odd count.
+    group = Window.partitionBy(*keys)
+    total = F.sum("n").over(group)
+    middle = [F.call_function("div", total - odd, F.lit(2)) for odd in (1, 0)]
+    found = _cell_of_rank(
+        levels[_SHIFTS[0]]
+        .withColumn("ranks", F.array(*middle))
+        .withColumn("upto", F.sum("n").over(group.orderBy("cell")))
+        .select("*", F.posexplode("ranks").alias("side", "rank")),
+        keys,
     )
-    for shift in _SHIFTS:
-        parent = F.lit(0) if shift == _SHIFTS[0] else F.shiftright("cell", _BITS)
-        inside = levels[shift].withColumn("parent", parent.cast("bigint"))
-        inside = (
-            inside.alias("c")
-            .join(
-                found.select(*keys, "parent").distinct().alias("p"),
-                _same("c", "p", [*keys, "parent"]),
-                "left_semi",
-            )
-            .withColumn(
-                "upto",
-                F.sum("n").over(Window.partitionBy(*keys, "parent").orderBy("cell")),
-            )
+    for shift in _SHIFTS[1:]:
+        inside = levels[shift].alias("c").join(
+            found.alias("f"),
+            _same("c", "f", keys)
+            & (F.shiftright("c.cell", _BITS) == F.col("f.parent")),
         )
-        found = (
-            found.alias("f")
-            .join(inside.alias("c"), _same("f", "c", [*keys, "parent"]))
-            .filter(
-                (F.col("f.rank") < F.col("c.upto"))
-                & (F.col("f.rank") >= F.col("c.upto") - F.col("c.n"))
-            )
-            .select(
-                *[F.col(f"f.{k}").alias(k) for k in keys],
-                F.col("c.cell").alias("parent"),
-                F.col("f.side").alias("side"),
-                (F.col("f.rank") - (F.col("c.upto") - F.col("c.n"))).alias("rank"),
-            )
+        ordered = Window.partitionBy(*keys, "side").orderBy("cell")
+        found = _cell_of_rank(
+            inside.select(
+                *[F.col(f"c.{k}").alias(k) for k in keys], "cell", "n", "side", "rank"
+            ).withColumn("upto", F.sum("n").over(ordered)),
+            keys,
         )
     median = found.groupBy(*keys).agg((F.sum("parent") / 2).alias("median"))
     return median.select(

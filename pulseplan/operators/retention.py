@@ -44,30 +44,28 @@ def first_30_statistics(active_days: DataFrame) -> DataFrame:
 
 def retention_counts(days: Column) -> list[Column]:
     """Aggregates over patients: all of them, and those with 0, 1, .. 30 ``days``."""
-    return [F.count(days).alias("patients")] + [
-        F.count_if(days >= k).alias(f"reached_{k}")
-        for k in range(RETENTION_MAX_DAYS + 1)
-    ]
-
-
-def retention_rows() -> list[Column]:
-    """One struct per threshold, from the columns of `retention_counts`."""
-    rows = []
-    for k in range(RETENTION_MAX_DAYS + 1):
-        users = F.col(f"reached_{k}")
-        before = F.col(f"reached_{k - 1}") if k else F.lit(None).cast("bigint")
-        lost = before - users
-        share = percent(users, F.col("patients"))
-        rows.append(
-            F.struct(
-                F.lit(k).alias("active_days_threshold"),
-                users.alias("users_reached"),
-                F.coalesce(share, F.lit(0.0)).alias("pct_reached"),
-                F.coalesce(lost, F.lit(0)).alias("drop_from_previous"),
-                F.coalesce(percent(lost, before), F.lit(0.0)).alias("drop_pct"),
-            )
-        )
-    return rows
+    reached = [F.count_if(days >= k) for k in range(RETENTION_MAX_DAYS + 1)]
+    return [F.count(days).alias("patients"), F.array(*reached).alias("reached")]
+
+
+def retention_rows(counts: DataFrame, *keep: str) -> DataFrame:
+    """One row per threshold from the one row of `retention_counts`."""
+    users, patients = F.col("users_reached"), F.col("patients")
+    before = F.get("reached", F.col("active_days_threshold") - 1)
+    lost = before - users
+    return counts.select(
+        *keep,
+        "patients",
+        "reached",
+        F.posexplode("reached").alias("active_days_threshold", "users_reached"),
+    ).select(
+        *keep,
+        "active_days_threshold",
+        "users_reached",
+        F.coalesce(percent(users, patients), F.lit(0.0)).alias("pct_reached"),
+        F.coalesce(lost, F.lit(0)).alias("drop_from_previous"),
+        F.coalesce(percent(lost, before), F.lit(0.0)).alias("drop_pct"),
+    )
 
 
 def get_retention_by_active_days(active_days: DataFrame) -> DataFrame:
@@ -76,8 +74,9 @@ def get_retention_by_active_days(active_days: DataFrame) -> DataFrame:
     One conditional count per threshold, all in a single pass over the patients;
     the 31 rows are then laid out from that one row, so no join or window runs.
     """
-    counts = active_days.agg(*retention_counts(F.col(FIRST_MONTH_COLUMN)))
-    return counts.select(F.inline(F.array(*retention_rows())))
+    return retention_rows(
+        active_days.agg(*retention_counts(F.col(FIRST_MONTH_COLUMN)))
+    )
 
 
 def top_dropoffs(retention: DataFrame, n: int = TOP_DROPOFFS) -> DataFrame:

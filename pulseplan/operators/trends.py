@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import period_end, period_label, period_start, ratio
 from ..settings import ACTIVE_BIWEEK_THRESHOLD
-from .activity import IS_ACTIVE
+from .activity import is_active
 
 
 def _per_period(counts: DataFrame, weeks: int, value: str) -> DataFrame:
@@ -34,7 +34,7 @@ def get_active_users_biweekly(
     """
     counts = (
         fact_patient_day.filter(
-            IS_ACTIVE & F.col("patient_id").isNotNull() & F.col("date").isNotNull()
+            is_active() & F.col("patient_id").isNotNull() & F.col("date").isNotNull()
         )
         .groupBy("patient_id", period_start(F.col("date"), weeks).alias("period_start"))
         .agg(F.count(F.lit(1)).alias("active_days"))

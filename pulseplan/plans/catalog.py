@@ -181,17 +181,21 @@ _METRICS: dict[str, Callable[[Tables], DataFrame]] = {
     "dropoff_chart": lambda t: charts.dropoff_chart(_retention(t)),
 }
 
+def _coerced(t: Tables, name: str) -> DataFrame:
+    return preparation.coerce_dates({name: t[name]})[name]
+
+
 # Query name -> result from the tables before cleaning.
 _CLEANING: dict[str, Callable[[Tables], DataFrame]] = {
     "date_conformance": quality.date_conformance,
-    "dates_coerced": lambda t: preparation.coerce_dates(t)["patients"],
-    "dates_coerced_fact": lambda t: preparation.coerce_dates(t)[
-        "fact_patient_day"
-    ].select("patient_id", "date", "is_active_day"),
-    "dates_coerced_assignments": lambda t: preparation.coerce_dates(t)[
-        "assessment_assignments"
-    ].select("assignment_id", "assigned_ts", "completed_ts"),
-    "dates_coerced_alerts": lambda t: preparation.coerce_dates(t)["alerts"].select(
+    "dates_coerced": lambda t: _coerced(t, "patients"),
+    "dates_coerced_fact": lambda t: _coerced(t, "fact_patient_day").select(
+        "patient_id", "date", "is_active_day"
+    ),
+    "dates_coerced_assignments": lambda t: _coerced(
+        t, "assessment_assignments"
+    ).select("assignment_id", "assigned_ts", "completed_ts"),
+    "dates_coerced_alerts": lambda t: _coerced(t, "alerts").select(
         "alert_id", "created_ts", "ack_ts"
     ),
 }

@@ -15,7 +15,7 @@ from .. import settings
 from ..functions import as_date, guarded_percent, percent, within
 from ..functions.calendar import DateLike
 from ..operators import active_days, funnel, overall, retention, trends
-from ..operators.activity import FIRST_MONTH_COLUMN, IS_ACTIVE
+from ..operators.activity import FIRST_MONTH_COLUMN, is_active
 
 
 @dataclass(frozen=True)
@@ -79,9 +79,9 @@ def patient_overview(
     billed, seen, recent = (_between(*span) for span in spans)
     per_patient = rows.groupBy("patient_id").agg(
         F.count_if(billed).alias("billing_rows"),
-        F.count_if(billed & IS_ACTIVE).alias("billing_days"),
+        F.count_if(billed & is_active()).alias("billing_days"),
         F.count_if(seen).alias("rows"),
-        F.count_if(seen & IS_ACTIVE).alias("days"),
+        F.count_if(seen & is_active()).alias("days"),
         F.sum(F.when(seen, F.col("is_active_day"))).alias("flags"),
         F.count_if(recent).alias("recent_rows"),
         F.count_if(recent & overall.at_risk(options.fall_risk_threshold)).alias(
@@ -182,14 +182,12 @@ def _first_month(patients: DataFrame, fact: DataFrame, threshold: int) -> DataFr
         *retention.retention_counts(days),
         F.avg(days).alias("mean"),
         F.median(days).alias("median"),
-    )
-    by_threshold = counts.select(
-        "patients",
-        "mean",
-        "median",
-        F.array(*funnel.funnel_rows()).alias("funnel"),
-        guarded_percent(F.col("compliant"), F.col("enrolled")).alias("conversion"),
-        F.inline(F.array(*retention.retention_rows())),
+    ).withColumn("funnel", F.array(*funnel.funnel_rows()))
+    stage_keys = [key for key, _ in funnel.STAGES]
+    by_threshold = retention.retention_rows(
+        counts, "patients", "mean", "median", "funnel", *stage_keys
+    ).withColumn(
+        "conversion", guarded_percent(F.col("compliant"), F.col("enrolled"))
     )
     k = F.col("active_days_threshold")
     # Position among the 30 drops, the lower threshold first on a tie.

@@ -8,6 +8,8 @@ they plant the nulls and the unknown clinics that the metrics have to handle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,36 +105,81 @@ def _alerts(events: DataFrame) -> DataFrame:
     )
 
 
-def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The seven tables, typed, from the parquet files in ``sf_dir``."""
-
-    def source(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    events = source("events")
-    fact = _fact_patient_day(events)
-    return {
-        "patients": _patients(source("customer"), events),
-        "fact_patient_day": fact,
-        "clinics": _clinics(source("nation")),
-        "assessment_assignments": _assignments(source("orders"), source("lineitem")),
-        "alerts": _alerts(events),
-        "providers": source("supplier").select(
-            F.col("s_suppkey").alias("provider_id"),
-            _clinic(F.col("s_suppkey") % 25 + 1).alias("clinic_id"),
-        ),
-        "rtm_monthly": fact.groupBy(
-            "patient_id", F.trunc("date", "MM").alias("month_start")
-        ).agg(F.sum("is_active_day").alias("active_days")),
-    }
+def _providers(supplier: DataFrame) -> DataFrame:
+    return supplier.select(
+        F.col("s_suppkey").alias("provider_id"),
+        _clinic(F.col("s_suppkey") % 25 + 1).alias("clinic_id"),
+    )
 
 
-def derive_raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables before cleaning: dates as text, some of them unreadable."""
-    raw = derive_tables(spark, sf_dir)
-
-    def spoiled(table: str, key: str, columns: list[str]) -> None:
-        raw[table] = raw[table].withColumns(
+def _rtm_monthly(fact: DataFrame) -> DataFrame:
+    return fact.groupBy(
+        "patient_id", F.trunc("date", "MM").alias("month_start")
+    ).agg(F.sum("is_active_day").alias("active_days"))
+
+
+# Columns the tables are derived from. Declaring them saves reading the file
+# footers for a schema before every query.
+_SOURCES = {
+    "customer": "c_custkey bigint, c_nationkey int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double",
+    "lineitem": "l_orderkey bigint, l_shipdate timestamp_ntz",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint",
+}
+
+# Table -> how it is derived, and from which sources.
+_DERIVED: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    "patients": (_patients, ("customer", "events")),
+    "fact_patient_day": (_fact_patient_day, ("events",)),
+    "clinics": (_clinics, ("nation",)),
+    "assessment_assignments": (_assignments, ("orders", "lineitem")),
+    "alerts": (_alerts, ("events",)),
+    "providers": (_providers, ("supplier",)),
+    "rtm_monthly": (lambda e: _rtm_monthly(_fact_patient_day(e)), ("events",)),
+}
+
+# Table -> its key and the date columns that are made text, some unreadable.
+_SPOILED: dict[str, tuple[str, tuple[str, ...]]] = {
+    "patients": ("patient_id", ("enrollment_date", "install_date", "first_data_date")),
+    "fact_patient_day": ("patient_id", ("date",)),
+    "assessment_assignments": ("assignment_id", ("assigned_ts", "completed_ts")),
+    "alerts": ("alert_id", ("created_ts", "ack_ts")),
+}
+
+
+class DerivedTables(Mapping[str, DataFrame]):
+    """The seven tables by name; each is declared when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, raw: bool = False) -> None:
+        self._spark, self._dir, self._raw = spark, sf_dir, raw
+        self._cache: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._cache:
+            derive, sources = _DERIVED[name]
+            table = derive(*[self._source(s) for s in sources])
+            if self._raw and name in _SPOILED:
+                table = self._spoil(table, *_SPOILED[name])
+            self._cache[name] = table
+        return self._cache[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_DERIVED)
+
+    def __len__(self) -> int:
+        return len(_DERIVED)
+
+    def _source(self, name: str) -> DataFrame:
+        path = f"{self._dir}/{name}.parquet"
+        return self._spark.read.schema(_SOURCES[name]).parquet(path)
+
+    @staticmethod
+    def _spoil(table: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+        return table.withColumns(
             {
                 c: F.when(F.col(key) % 41 == 0, F.lit("not a date"))
                 .when(F.col(key) % 37 == 0, F.lit("2024-13-45"))
@@ -141,8 +188,12 @@ def derive_raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             }
         )
 
-    spoiled("patients", "patient_id", ["enrollment_date", "install_date", "first_data_date"])
-    spoiled("fact_patient_day", "patient_id", ["date"])
-    spoiled("assessment_assignments", "assignment_id", ["assigned_ts", "completed_ts"])
-    spoiled("alerts", "alert_id", ["created_ts", "ack_ts"])
-    return raw
+
+def derive_tables(spark: SparkSession, sf_dir: str) -> DerivedTables:
+    """The tables, typed, from the parquet files in ``sf_dir``."""
+    return DerivedTables(spark, sf_dir)
+
+
+def derive_raw_tables(spark: SparkSession, sf_dir: str) -> DerivedTables:
+    """The tables before cleaning: dates as text, some of them unreadable."""
+    return DerivedTables(spark, sf_dir, raw=True)
