@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import day_offset, guarded_percent, has_dates, percent, within
+from ..functions import guarded_percent, percent, within
 from ..functions.calendar import DateLike
 from ..settings import CURVE_DAYS
-from .activity import daily_activity, patient_activity
+from .activity import days_since, patient_activity
 
 
 def get_total_active_rate(
@@ -98,24 +98,15 @@ def get_active_rate_by_day_since_enrollment(
 
     Days without data are present with zeros.
     """
-    enrolled = patients.filter(F.col("enrollment_date").isNotNull()).select(
-        "patient_id", "enrollment_date"
-    )
-    offset = day_offset(fact_patient_day, patients, "enrollment_date")
-    if has_dates(fact_patient_day, "date") and has_dates(patients, "enrollment_date"):
-        # The roll-up has one row per patient and day: counting rows is enough.
-        seen = F.count(F.lit(1))
-    else:
-        seen = F.countDistinct("patient_id")
+    # One row per patient and day first: the patients are then simply counted.
     by_day = (
-        daily_activity(fact_patient_day)
-        .join(enrolled, "patient_id")
-        .withColumn("day_since_enrollment", offset)
-        .filter(F.col("day_since_enrollment").between(0, days_after_enrollment))
-        .groupBy("day_since_enrollment")
+        days_since(patients, fact_patient_day, "enrollment_date", days_after_enrollment)
+        .groupBy("day", "patient")
+        .agg(F.coalesce(F.sum("is_active_day"), F.lit(0)).alias("active"))
+        .groupBy(F.col("day").alias("day_since_enrollment"))
         .agg(
-            seen.alias("total_patients"),
-            F.sum("active_sum").alias("active_patients"),
+            F.count(F.lit(1)).alias("total_patients"),
+            F.sum("active").alias("active_patients"),
         )
     )
     days = patients.sparkSession.range(days_after_enrollment + 1).select(

@@ -1,8 +1,8 @@
 """Roll-ups of the daily fact table that several metrics share.
 
-Both aggregate before anything is shuffled or joined, so a patient with a very
-large share of the rows arrives as one row per task (`patient_activity`) or at
-most one row per task and calendar day (`daily_activity`).
+None of them gathers a patient's raw rows in one task, however many of the rows
+one patient holds: rows are counted up per task before they are shuffled, and
+the join with the patients (`days_since`) can be split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -42,24 +42,43 @@ def daily_activity(fact: DataFrame) -> DataFrame:
     )
 
 
+def days_since(
+    patients: DataFrame, fact: DataFrame, anchor: str, last_day: int
+) -> DataFrame:
+    """Fact rows of days ``0..last_day`` after the patient's ``anchor``.
+
+    Adds ``day``, the offset, and ``patient``, a struct of the id to group by. A
+    grouping by the plain id would reuse the partitions of the join, and then
+    Spark's skew-join handling may not split the partition of a patient with
+    very many rows. Grouping by the struct costs one more shuffle, but only of
+    what is left after the partial aggregation: one row per patient and task.
+    """
+    anchors = patients.filter(F.col(anchor).isNotNull()).select("patient_id", anchor)
+    return (
+        fact.select("patient_id", "date", "is_active_day")
+        .join(anchors, "patient_id")
+        .withColumn("day", day_offset(fact, patients, anchor))
+        .filter(F.col("day").between(0, last_day))
+        .withColumn("patient", F.struct("patient_id"))
+    )
+
+
 def activity_since(
     patients: DataFrame, fact: DataFrame, anchor: str, days: int, keep: list[str]
 ) -> DataFrame:
     """Every patient with the activity on days ``[0, days)`` after ``anchor``.
 
     Returns patient_id, ``keep``, active_rows and active_sum; the last two are
-    NULL for a patient without an active row in those days. One left join: the
-    rows stay distributed by patient from the join through the aggregation.
+    NULL for a patient without an active row in those days.
     """
-    people = patients.select("patient_id", *keep)
-    active = daily_activity(fact.filter(F.col("is_active_day") != 0))
-    joined = people.join(
-        active.withColumnRenamed("patient_id", "active_patient"),
-        (F.col("patient_id") == F.col("active_patient"))
-        & day_offset(fact, patients, anchor).between(0, days - 1),
-        "left",
-    )
-    return joined.groupBy("patient_id", *keep).agg(
-        F.sum("active_rows").alias("active_rows"),
-        F.sum("active_sum").alias("active_sum"),
+    active = fact.filter(F.col("is_active_day") != 0)
+    counts = (
+        days_since(patients, active, anchor, days - 1)
+        .groupBy("patient")
+        .agg(
+            F.count_if(is_active()).alias("active_rows"),
+            F.sum("is_active_day").alias("active_sum"),
+        )
+        .select("patient.patient_id", "active_rows", "active_sum")
     )
+    return patients.select("patient_id", *keep).join(counts, "patient_id", "left")

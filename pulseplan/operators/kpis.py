@@ -17,7 +17,7 @@ from ..settings import (
     FIRST_MONTH_DAYS,
     ROLLING_WINDOWS,
 )
-from .activity import is_active, activity_since, daily_activity
+from .activity import activity_since, daily_activity, is_active
 from .order_statistics import exact_median
 
 ASSESSMENT_DIMENSIONS = ("week_start", "clinic_id", "assessment_type")
@@ -145,7 +145,7 @@ def dropoff_risk(
 def _completion_counts(assignments: DataFrame, by: Sequence[str]) -> DataFrame:
     completed = F.col("status") == "completed"
     on_time = completed & (F.col("completed_ts").cast("date") <= F.col("due_date"))
-    week = F.date_trunc("week", "assigned_ts").cast("date")
+    week = F.trunc(F.col("assigned_ts").cast("date"), "week")
     return (
         assignments.withColumn("week_start", week)
         .groupBy(*by)
@@ -221,11 +221,10 @@ def alert_ack(alerts: DataFrame, by: Sequence[str] = ("alert_type",)) -> DataFra
     waits = alerts.withColumn(
         "wait", F.timestamp_diff("MICROSECOND", F.col("created_ts"), F.col("ack_ts"))
     )
-    medians = exact_median(waits, by, "wait").select(
-        *[F.col(c).alias(f"_{c}") for c in by],
-        (F.col("median") / _MICROS_PER_HOUR).alias("median_hours_to_ack"),
-    )
-    matches = F.lit(True)
-    for c in by:
-        matches = matches & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    median = (F.col("median") / _MICROS_PER_HOUR).alias("median_hours_to_ack")
+    medians = exact_median(waits, by, "wait")
+    if not by:
+        return counts.withColumn("median_hours_to_ack", medians.select(median).scalar())
+    matches = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    medians = medians.select(*[F.col(c).alias(f"_{c}") for c in by], median)
     return counts.join(medians, matches, "left").drop(*[f"_{c}" for c in by])

@@ -96,10 +96,14 @@ def date_range(df: DataFrame, column: str = "date") -> DataFrame:
 def orphan_patients(patients: DataFrame, clinics: DataFrame) -> DataFrame:
     """One row: patients whose clinic is missing or unknown.
 
-    Patients are counted per clinic_id first: the anti join then sees one row
-    per clinic, and a clinic with most of the patients costs nothing extra.
+    Patients are counted per clinic_id first, so the join sees one row per clinic
+    and a clinic with most of the patients costs nothing extra. An anti join
+    would be moved below the aggregation again, an outer join stays above it.
     """
     per_clinic = patients.groupBy("clinic_id").agg(F.count(F.lit(1)).alias("patients"))
-    return per_clinic.join(clinics.select("clinic_id"), "clinic_id", "left_anti").agg(
-        F.coalesce(F.sum("patients"), F.lit(0)).alias("orphan_patients")
+    known = clinics.select("clinic_id", F.lit(True).alias("known"))
+    return (
+        per_clinic.join(known, "clinic_id", "left")
+        .filter(F.col("known").isNull())
+        .agg(F.coalesce(F.sum("patients"), F.lit(0)).alias("orphan_patients"))
     )

@@ -1,0 +1,111 @@
+"""Active-day rates, distribution and the enrollment curve."""
+
+from conftest import rows
+from pulseplan import (
+    active_day_statistics,
+    active_days_histogram,
+    enrollment_curve_chart,
+    enrollment_curve_summary,
+    get_active_rate_by_clinic,
+    get_active_rate_by_day_since_enrollment,
+    get_patient_active_distribution,
+    get_total_active_rate,
+)
+
+WINDOW = ("2025-12-01", "2026-01-01")
+
+
+def test_unknown_clinics_count_in_total_only(spark, fact):
+    table = fact(
+        ("a", "2025-12-01", 1, None, "C1"),
+        ("a", "2025-12-02", None, None, "C1"),
+        ("b", "2025-12-01", 0, None, "C2"),
+        ("b", "2025-12-02", 1, None, "C2"),
+        ("c", "2025-12-01", 1, None, "C9"),
+        ("d", "2025-12-01", 1, None, None),
+        ("e", "2025-12-01", 1, None, "C3"),
+    )
+    clinics = spark.createDataFrame(
+        [("C1", "one"), ("C2", "two"), ("C3", None), ("C4", "four")],
+        "clinic_id string, clinic_name string",
+    )
+    by_clinic = get_active_rate_by_clinic(table, clinics, *WINDOW)
+    assert [tuple(r) for r in by_clinic.collect()] == [
+        ("C1", "one", 1, 1, 100.0),
+        ("C2", "two", 2, 1, 50.0),
+    ]
+    assert rows(get_total_active_rate(table, *WINDOW)) == [(7, 5, 5 / 7 * 100)]
+
+
+def test_total_rate_of_nothing_is_zero(fact):
+    assert rows(get_total_active_rate(fact(), *WINDOW)) == [(0, 0, 0.0)]
+
+
+def test_distribution_keeps_patients_without_active_days(fact):
+    table = fact(
+        ("a", "2025-12-01", 1),
+        ("a", "2025-12-02", 1),
+        ("b", "2025-12-01", 0),
+        ("c", "2026-01-01", 1),
+    )
+    distribution = get_patient_active_distribution(table, *WINDOW)
+    assert rows(distribution) == [("a", 2), ("b", 0)]
+    assert rows(active_day_statistics(distribution)) == [(1.0, 1.0, 0, 2)]
+
+
+def test_statistics_of_nothing_are_null(fact):
+    distribution = get_patient_active_distribution(fact(), *WINDOW)
+    assert rows(active_day_statistics(distribution)) == [(None,) * 4]
+
+
+def test_curve_keeps_days_0_to_n_and_fills_zeros(fact, patients):
+    people = patients(("a", "2025-12-02"), ("b", "2025-12-02"), ("c", None))
+    table = fact(
+        ("a", "2025-12-01", 1),  # day -1
+        ("a", "2025-12-02", 1),
+        ("b", "2025-12-02", 0),
+        ("a", "2026-01-01", 1),  # day 30
+        ("a", "2026-01-02", 1),  # day 31
+        ("c", "2025-12-02", 1),
+        ("x", "2025-12-02", 1),
+    )
+    curve = get_active_rate_by_day_since_enrollment(people, table)
+    got = {r[0]: tuple(r)[1:] for r in curve.collect()}
+    assert sorted(got) == list(range(31))
+    assert got[0] == (2, 1, 50.0)
+    assert got[30] == (1, 1, 100.0)
+    assert all(got[d] == (0, 0, 0.0) for d in range(1, 30))
+    summary = enrollment_curve_summary(curve).first()
+    assert (summary[0], *summary[1:]) == (150 / 31, 0.0, 0.0, 100.0)
+    assert {r.mean_rate for r in enrollment_curve_chart(curve).collect()} == {150 / 31}
+
+
+def test_repeated_rows_push_the_curve_over_one_hundred(fact, patients):
+    table = fact(*[("a", "2025-12-02", 1)] * 3)
+    curve = get_active_rate_by_day_since_enrollment(
+        patients(("a", "2025-12-02")), table, days_after_enrollment=0
+    )
+    assert rows(curve) == [(0, 1, 3, 300.0)]
+
+
+def test_offsets_of_timestamps_are_floored(spark):
+    people = spark.sql(
+        "SELECT 'a' patient_id, timestamp_ntz'2025-12-02 12:00:00' enrollment_date"
+    )
+    table = spark.sql(
+        "SELECT 'a' patient_id, timestamp_ntz'2025-12-02 06:00:00' date, 1 is_active_day "
+        "UNION ALL SELECT 'a', timestamp_ntz'2025-12-03 11:00:00', 1 "
+        "UNION ALL SELECT 'a', timestamp_ntz'2025-12-02 13:00:00', 0"
+    )
+    curve = get_active_rate_by_day_since_enrollment(people, table, 1)
+    assert rows(curve) == [(0, 1, 1, 100.0), (1, 0, 0, 0.0)]
+
+
+def test_histogram_closes_the_last_bin(spark):
+    distribution = spark.createDataFrame(
+        [(0,), (31,), (32,), (33,), (16,)], "active_days int"
+    )
+    got = {r.bin: (r.patients, r.is_threshold) for r in active_days_histogram(distribution).collect()}
+    assert sorted(got) == list(range(32))
+    assert (got[0], got[16], got[31]) == ((1, False), (1, True), (2, False))
+    assert sum(n for n, _ in got.values()) == 4

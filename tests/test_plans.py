@@ -1,0 +1,187 @@
+"""What the plans must look like, and that they stay whole under skew."""
+
+import pytest
+from conftest import TESTDATA, rows
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_points
+from pulseplan import (
+    active_day_statistics,
+    alert_ack,
+    funnel_conversion,
+    get_active_days_in_first_30,
+    get_active_patients,
+    get_active_rate_by_clinic,
+    get_active_rate_by_day_since_enrollment,
+    get_billable_patients,
+    get_enrollments_biweekly,
+    get_patient_active_distribution,
+    get_patient_count,
+    get_patient_funnel,
+    get_retention_by_active_days,
+    get_total_active_rate,
+)
+from pulseplan.plans import catalog
+from pulseplan.plans.star_schema import derive_tables
+
+SF = str(TESTDATA / "sf0.001")
+QUERIES = entry_points.queries()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_python_and_no_cross_join(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    for node in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in text
+
+
+@pytest.mark.parametrize(
+    "name", ["billable_patients", "high_fall_risk", "total_active_rate"]
+)
+def test_window_bounds_reach_the_scan(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "GreaterThanOrEqual(ts,2024-01-" in text
+    assert "LessThan(ts,2024-01-31" in text
+
+
+def test_only_needed_columns_are_read(spark):
+    text = plan(QUERIES["billable_patients"](spark, SF))
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in text
+    text = plan(get_patient_count(derive_tables(spark, SF)["patients"]))
+    assert "ReadSchema: struct<>" in text and "events" not in text
+
+
+@pytest.fixture
+def small_shuffles(spark):
+    """Shuffle joins only, and adaptive execution that takes small data seriously."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+@pytest.fixture
+def skewed(spark):
+    """Patients, and a fact table of which one patient holds a third of the rows."""
+    people = spark.range(400).select(
+        F.col("id").alias("patient_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias(
+            "enrollment_date"
+        ),
+        F.lit(None).cast("date").alias("install_date"),
+        F.lit(None).cast("date").alias("first_data_date"),
+    )
+    number = F.col("id")
+    fact = spark.range(0, 60000, 1, 12).select(
+        F.when(number % 3 == 0, F.lit(7)).otherwise(F.xxhash64("id") % 400).alias(
+            "patient_id"
+        ),
+        F.date_add(F.lit("2023-12-20").cast("date"), F.pmod(F.hash("id"), F.lit(70))).alias(
+            "date"
+        ),
+        (number % 5 < 3).cast("int").alias("is_active_day"),
+    )
+    return people, fact
+
+
+def test_join_with_a_hot_patient_is_split_and_whole(spark, small_shuffles, skewed):
+    people, fact = skewed
+    curve = get_active_rate_by_day_since_enrollment(people, fact)
+    first = get_active_days_in_first_30(people, fact)
+    got_curve, got_first = rows(curve), rows(first)
+    # One expected figure per patient and day, counted in plain Python.
+    enrolled = dict(rows(people, "patient_id", "enrollment_date"))
+    seen, active, month = {}, {}, dict.fromkeys(enrolled, 0)
+    for p, d, flag in fact.collect():
+        if p in enrolled:
+            offset = (d - enrolled[p]).days
+            if 0 <= offset <= 30:
+                seen.setdefault(offset, set()).add(p)
+                active[offset] = active.get(offset, 0) + flag
+            if 0 <= offset < 30:
+                month[p] += flag
+    assert sorted(r[:3] for r in got_curve) == [
+        (k, len(seen[k]), active[k]) for k in range(31)
+    ]
+    assert sorted(got_first) == sorted(month.items())
+    for df in (curve, first):
+        assert "skew=true" in plan(df)
+
+
+def test_a_hot_clinic_is_one_row_per_task_at_the_join(spark, small_shuffles):
+    tables = derive_tables(spark, SF)
+    text = plan(
+        get_active_rate_by_clinic(
+            tables["fact_patient_day"], tables["clinics"], "2024-01-01", "2024-01-31"
+        )
+    )
+    join = text.index("SortMergeJoin")
+    assert text.index("HashAggregate(keys=[clinic_id", join) > join
+
+
+def test_report_agrees_with_the_operators(spark):
+    t = derive_tables(spark, SF)
+    people, fact = t["patients"], t["fact_patient_day"]
+    window = (catalog.START, catalog.END)
+    got = {
+        (r.section, r.metric): r.value
+        for r in QUERIES["report_metrics"](spark, SF).collect()
+    }
+    billable = get_billable_patients(fact, *window).first()
+    assert got["overall", "billable_count"] == billable.billable_count
+    assert got["overall", "billable_total_patients"] == billable.total_patients
+    active = get_active_patients(fact, *window, patients=people).first()
+    assert got["overall", "active_count"] == active.active_count
+    total = get_total_active_rate(fact, *window).first()
+    assert got["active_days", "total_patient_days"] == total.total_patient_days
+    stats = active_day_statistics(get_patient_active_distribution(fact, *window)).first()
+    assert got["active_days", "median_active_days"] == stats.median
+    for r in get_patient_funnel(people, fact).collect():
+        assert got["funnel", f"count[{r.stage}]"] == r["count"]
+    conversion = funnel_conversion(people, fact).first()
+    assert got["funnel", "conversion"] == round(conversion.rate, 9)
+    curve = get_retention_by_active_days(get_active_days_in_first_30(people, fact))
+    for r in curve.collect():
+        key = ("retention", f"users_reached[{r.active_days_threshold}]")
+        assert got.get(key, r.users_reached) == r.users_reached
+    for r in get_enrollments_biweekly(people).collect():
+        assert got["trends", f"new_patients[{r.bi_week}]"] == r.new_patients
+
+
+def test_members_add_up_to_the_funnel(spark):
+    members = QUERIES["funnel_members"](spark, SF).groupBy("stage").count().collect()
+    counts = [r["count"] for r in QUERIES["patient_funnel"](spark, SF).collect()]
+    by_stage = {r.stage: r["count"] for r in members}
+    stages = ("enrolled", "installed", "first_data", "compliant")
+    assert [by_stage.get(s, 0) for s in stages] == counts
+
+
+def test_rolling_windows_grow(spark):
+    rolling = QUERIES["rolling_active_days"](spark, SF)
+    assert rolling.filter("active_7 > active_14 OR active_14 > active_30").count() == 0
+
+
+def test_clinic_days_do_not_exceed_the_total(spark):
+    by_clinic = QUERIES["active_rate_by_clinic"](spark, SF)
+    total = QUERIES["total_active_rate"](spark, SF).first()
+    assert by_clinic.agg(F.sum("active_days")).first()[0] <= total.total_active_days
+
+
+def test_ack_medians_match_the_builtin(spark):
+    alerts = derive_tables(spark, SF)["alerts"]
+    wait = F.timestamp_diff("MICROSECOND", F.col("created_ts"), F.col("ack_ts"))
+    expected = alerts.groupBy("alert_type").agg(F.median(wait) / 3_600_000_000)
+    assert rows(alert_ack(alerts), "alert_type", "median_hours_to_ack") == rows(expected)

@@ -1,0 +1,67 @@
+"""Periods and changes between them."""
+
+import math
+
+from conftest import day, rows
+from pulseplan import (
+    calculate_period_changes,
+    get_active_users_biweekly,
+    get_enrollments_biweekly,
+    period_change_rows,
+)
+
+
+def test_active_users_by_tuesday_week(fact):
+    table = fact(
+        ("a", "2025-12-01", 1),
+        ("a", "2025-12-02", 1),
+        ("a", "2025-12-03", 1),
+        ("b", "2025-12-02", 1),
+        ("b", "2025-12-08", 1),
+        ("c", "2025-12-02", 0),
+        ("c", "2025-12-04", 1),
+    )
+    got = rows(get_active_users_biweekly(table, active_threshold=2))
+    assert got == [(day("2025-12-02"), day("2025-12-08"), "2025-12-02/2025-12-08", 2)]
+
+
+def test_a_week_never_holds_eight_active_days(fact):
+    table = fact(*[("a", f"2025-12-{d:02d}", 1) for d in range(1, 31)])
+    assert rows(get_active_users_biweekly(table)) == []
+    assert [r[3] for r in rows(get_active_users_biweekly(table, weeks=2))] == [1, 1]
+
+
+def test_patients_without_enrollment_are_not_counted(patients):
+    people = patients(
+        ("a", "2025-12-01"), ("b", None), ("c", "2025-12-02"), ("d", "2025-12-08")
+    )
+    assert rows(get_enrollments_biweekly(people), "period_start", "new_patients") == [
+        (day("2025-11-25"), 1),
+        (day("2025-12-02"), 2),
+    ]
+
+
+def test_changes_use_the_previous_period_that_is_present(spark):
+    table = spark.createDataFrame(
+        [(3, 5), (4, 0), (9, 3), (1, 8)], "period_start int, v int"
+    )
+    got = calculate_period_changes(table, "v").orderBy("period_start").collect()
+    assert [(r.change, r.pct_change) for r in got] == [
+        (None, None),
+        (-3, -37.5),
+        (-5, -100.0),
+        (3, math.inf),
+    ]
+    assert [r.v for r in period_change_rows(table, "v").orderBy("v").collect()] == [
+        0,
+        3,
+        5,
+    ]
+
+
+def test_zero_after_zero_has_no_percentage(spark):
+    table = spark.createDataFrame([(1, 0), (2, 0)], "period_start int, v int")
+    assert rows(calculate_period_changes(table, "v"), "change", "pct_change") == [
+        (0, None),
+        (None, None),
+    ]
