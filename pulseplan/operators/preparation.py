@@ -55,7 +55,11 @@ def parsed_date(table: str, column: str, fmt: str) -> Column:
     kind = TABLE_SCHEMAS[table][column].dataType if table in TABLE_SCHEMAS else None
     if isinstance(kind, T.DateType):
         return F.try_to_date(F.col(column), fmt)
-    return F.try_to_timestamp(F.col(column), F.lit(fmt)).cast("timestamp_ntz")
+    # Read as UTC and counted from the epoch, so that a wall-clock time which the
+    # session's time zone skips in spring still comes out as written.
+    instant = F.try_to_timestamp(F.concat(F.col(column), F.lit("Z")), F.lit(f"{fmt}X"))
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
 def coerce_dates(

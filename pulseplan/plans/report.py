@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import settings
-from ..functions import as_date, guarded_percent, percent, within
+from ..functions import as_date, default_window, guarded_percent, percent, within
 from ..functions.calendar import DateLike
 from ..operators import active_days, funnel, overall, retention, trends
 from ..operators.activity import FIRST_MONTH_COLUMN, is_active
@@ -33,6 +33,15 @@ class ReportOptions:
     fall_risk_threshold: float = settings.FALL_RISK_THRESHOLD
     lookback_days: int = settings.FALL_RISK_LOOKBACK_DAYS
 
+    @classmethod
+    def for_day(cls, day: DateLike = settings.ANALYSIS_DATE) -> ReportOptions:
+        """The report of ``day``: last whole month for billing, last 30 days else."""
+        today = as_date(day)
+        month = today.replace(day=1)
+        before = (month - dt.timedelta(days=1)).replace(day=1)
+        start, end = default_window(today)
+        return cls(before, month, start, end, today)
+
 
 def _named(name: str, label: Column | None) -> Column:
     return F.lit(name) if label is None else F.format_string(f"{name}[%s]", label)

@@ -82,6 +82,18 @@ def test_one_format_per_timestamp_column(spark, text, expected):
     assert coerce_dates({"alerts": table})["alerts"].first()[0] == expected
 
 
+def test_wall_clock_times_do_not_depend_on_the_session_zone(spark):
+    table = spark.createDataFrame(
+        [("2025-03-09 02:30:00", None)], "created_ts string, ack_ts string"
+    )
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = coerce_dates({"alerts": table})["alerts"].first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == dt.datetime(2025, 3, 9, 2, 30)
+
+
 def test_conformance_counts_what_parses(spark, csv_dir):
     got = rows(date_conformance(load_tables(spark, csv_dir)))
     assert got == [
