@@ -109,7 +109,7 @@ def get_active_rate_by_day_since_enrollment(
             F.sum("active").alias("active_patients"),
         )
     )
-    days = patients.sparkSession.range(days_after_enrollment + 1).select(
+    days = patients.sparkSession.range(0, days_after_enrollment + 1, 1, 1).select(
         F.col("id").cast("int").alias("day_since_enrollment")
     )
     total, active = F.col("total_patients"), F.col("active_patients")

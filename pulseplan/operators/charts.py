@@ -24,7 +24,7 @@ def active_days_histogram(
         .groupBy(F.least(F.floor(days), F.lit(last)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("patients"))
     )
-    bins = distribution.sparkSession.range(last + 1).select(
+    bins = distribution.sparkSession.range(0, last + 1, 1, 1).select(
         F.col("id").cast("int").alias("bin")
     )
     # binned has at most 32 rows.

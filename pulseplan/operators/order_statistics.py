@@ -70,8 +70,10 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     for shift in _SHIFTS[1:]:
         inside = levels[shift].alias("c").join(
             found.alias("f"),
+            # Null-safe throughout: plain equality would add a null filter below
+            # the aggregation, and its shuffle could no longer be reused.
             _same("c", "f", keys)
-            & (F.shiftright("c.cell", _BITS) == F.col("f.parent")),
+            & F.shiftright("c.cell", _BITS).eqNullSafe(F.col("f.parent")),
         )
         ordered = Window.partitionBy(*keys, "side").orderBy("cell")
         found = _cell_of_rank(
