@@ -1,6 +1,14 @@
 """Column expressions and row filters shared by the operators."""
 
-from .arithmetic import guarded_percent, half_even, percent, ratio
+from .arithmetic import (
+    guarded_percent,
+    half_even,
+    half_even_sql,
+    percent,
+    percent_sql,
+    ratio,
+    ratio_sql,
+)
 from .calendar import (
     as_date,
     day_offset,
@@ -21,12 +29,15 @@ __all__ = [
     "floored_days",
     "guarded_percent",
     "half_even",
+    "half_even_sql",
     "has_dates",
     "percent",
+    "percent_sql",
     "period_end",
     "period_label",
     "period_start",
     "ratio",
+    "ratio_sql",
     "until",
     "within",
 ]

@@ -25,7 +25,7 @@ def get_total_active_rate(
         )
         .withColumn(
             "active_days_rate",
-            guarded_percent(F.col("total_active_days"), F.col("total_patient_days")),
+            guarded_percent("total_active_days", "total_patient_days"),
         )
     )
 
@@ -59,7 +59,7 @@ def get_active_rate_by_clinic(
             "clinic_name",
             "total_days",
             "active_days",
-            percent(F.col("active_days"), F.col("total_days")).alias("active_rate"),
+            percent("active_days", "total_days").alias("active_rate"),
         )
         .orderBy(F.desc("active_rate"), "clinic_id")
     )
@@ -120,7 +120,7 @@ def get_active_rate_by_day_since_enrollment(
             "day_since_enrollment",
             F.coalesce(total, F.lit(0)).alias("total_patients"),
             F.coalesce(active, F.lit(0)).alias("active_patients"),
-            F.coalesce(percent(active, total), F.lit(0.0)).alias("active_rate"),
+            F.coalesce(percent("active_patients", "total_patients"), F.lit(0.0)).alias("active_rate"),
         )
         .orderBy("day_since_enrollment")
     )

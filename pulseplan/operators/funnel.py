@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import floored_days, guarded_percent, half_even, has_dates, percent
+from ..functions import (
+    floored_days,
+    guarded_percent,
+    half_even_sql,
+    has_dates,
+    percent_sql,
+)
 from ..settings import BILLING_THRESHOLD, FIRST_DATA_WITHIN_DAYS, FIRST_MONTH_DAYS
 from .activity import FIRST_MONTH_COLUMN, activity_since
 
@@ -55,27 +61,34 @@ def stage_counts() -> list[Column]:
     return [F.count_if(key).alias(key) for key, _ in STAGES]
 
 
-def funnel_rows() -> list[Column]:
-    """One struct per stage, from the columns of `stage_counts`."""
-    keys = [key for key, _ in STAGES]
-    rows = []
+def stage_figures() -> list[tuple[str, dict[str, str]]]:
+    """Title of each stage, and its figures as SQL over `stage_counts`."""
+    figures = []
     for position, (key, title) in enumerate(STAGES):
-        count = F.col(key)
-        if position:
-            previous = half_even(percent(count, F.col(keys[position - 1])), 1)
-        else:
-            previous = F.lit(100.0)
-        rows.append(
-            F.struct(
-                F.lit(title).alias("stage"),
-                count.alias("count"),
-                half_even(percent(count, F.col(keys[0])), 1).alias(
-                    "rate_from_enrolled"
-                ),
-                previous.alias("rate_from_previous"),
+        previous = STAGES[position - 1][0]
+        from_previous = half_even_sql(percent_sql(key, previous), 1)
+        figures.append(
+            (
+                title,
+                {
+                    "count": key,
+                    "rate_from_enrolled": half_even_sql(percent_sql(key, "enrolled"), 1),
+                    "rate_from_previous": from_previous if position else "100.0D",
+                },
             )
         )
-    return rows
+    return figures
+
+
+def funnel_rows(counts: DataFrame) -> DataFrame:
+    """One row per stage from the one row of `stage_counts`."""
+    rows = [
+        f"struct('{title}' AS stage, "
+        + ", ".join(f"{value} AS {name}" for name, value in figures.items())
+        + ")"
+        for title, figures in stage_figures()
+    ]
+    return counts.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def get_patient_funnel(
@@ -85,7 +98,7 @@ def get_patient_funnel(
 ) -> DataFrame:
     """stage, count, rate_from_enrolled and rate_from_previous, four rows."""
     stages = patient_stages(patients, fact_patient_day, billing_compliance_threshold)
-    return stages.agg(*stage_counts()).select(F.inline(F.array(*funnel_rows())))
+    return funnel_rows(stages.agg(*stage_counts()))
 
 
 def get_stage_patients(
@@ -111,4 +124,4 @@ def funnel_conversion(
     return stages.agg(
         F.count_if("enrolled").alias("enrolled"),
         F.count_if("compliant").alias("compliant"),
-    ).withColumn("rate", guarded_percent(F.col("compliant"), F.col("enrolled")))
+    ).withColumn("rate", guarded_percent("compliant", "enrolled"))

@@ -158,11 +158,10 @@ def _completion_counts(assignments: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _with_completion_rates(counts: DataFrame) -> DataFrame:
-    assigned = F.col("assigned")
     return counts.withColumns(
         {
-            "completion_rate": guarded_percent(F.col("completed"), assigned),
-            "on_time_rate": guarded_percent(F.col("completed_on_time"), assigned),
+            "completion_rate": guarded_percent("completed", "assigned"),
+            "on_time_rate": guarded_percent("completed_on_time", "assigned"),
         }
     )
 
@@ -216,7 +215,7 @@ def alert_ack(alerts: DataFrame, by: Sequence[str] = ("alert_type",)) -> DataFra
     counts = (
         alerts.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("total"), F.count("ack_ts").alias("acked"))
-        .withColumn("ack_rate", guarded_percent(F.col("acked"), F.col("total")))
+        .withColumn("ack_rate", guarded_percent("acked", "total"))
     )
     waits = alerts.withColumn(
         "wait", F.timestamp_diff("MICROSECOND", F.col("created_ts"), F.col("ack_ts"))

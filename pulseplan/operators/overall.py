@@ -36,7 +36,7 @@ def _over_all_patients(
         return summary
     everyone = get_patient_count(patients).scalar()
     return summary.withColumn("all_patients", everyone).withColumn(
-        rate, percent(F.col(count), F.col("all_patients"))
+        rate, percent(count, "all_patients")
     )
 
 
@@ -58,7 +58,7 @@ def get_billable_patients(
         )
         .withColumn(
             "billable_rate",
-            guarded_percent(F.col("billable_count"), F.col("total_patients")),
+            guarded_percent("billable_count", "total_patients"),
         )
     )
 
@@ -96,7 +96,7 @@ def get_active_patients(
         )
         .withColumn(
             "active_rate",
-            guarded_percent(F.col("active_count"), F.col("total_patients")),
+            guarded_percent("active_count", "total_patients"),
         )
     )
     return _over_all_patients(summary, patients, "active_count", "active_rate_all")
@@ -139,7 +139,7 @@ def get_high_fall_risk_patients(
         )
         .withColumn(
             "high_risk_rate",
-            guarded_percent(F.col("high_risk_count"), F.col("total_patients")),
+            guarded_percent("high_risk_count", "total_patients"),
         )
     )
     return _over_all_patients(

@@ -91,7 +91,8 @@ def with_active_day(
     min_steps: float = MIN_STEPS,
 ) -> DataFrame:
     """Add is_active_day: 1 for enough background minutes or enough steps, else 0."""
-    minutes = F.coalesce("background_data_minutes", F.lit(0))
-    steps = F.coalesce("steps_count", F.lit(0))
-    active = (minutes >= min_minutes) | (steps >= min_steps)
+    active = F.expr(
+        f"coalesce(background_data_minutes, 0) >= {min_minutes} "
+        f"OR coalesce(steps_count, 0) >= {min_steps}"
+    )
     return df.withColumn("is_active_day", active.cast("int"))

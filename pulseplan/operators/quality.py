@@ -79,7 +79,7 @@ def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
-            half_even(F.col(f"{c}_null") * 100, 2).alias("null_pct"),
+            half_even(f"{c}_null * 100", 2).alias("null_pct"),
         )
         for c in columns
     ]

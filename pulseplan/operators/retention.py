@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import percent
+from ..functions import percent_sql
 from ..settings import (
     FIRST_MONTH_DAYS,
     RETENTION_MAX_DAYS,
@@ -42,29 +42,37 @@ def first_30_statistics(active_days: DataFrame) -> DataFrame:
     )
 
 
-def retention_counts(days: Column) -> list[Column]:
-    """Aggregates over patients: all of them, and those with 0, 1, .. 30 ``days``."""
-    reached = [F.count_if(days >= k) for k in range(RETENTION_MAX_DAYS + 1)]
-    return [F.count(days).alias("patients"), F.array(*reached).alias("reached")]
+def retention_counts(days: str = FIRST_MONTH_COLUMN) -> list[Column]:
+    """Aggregates over patients: all of them, and those with 0, 1, .. 30 days.
+
+    ``days`` is a SQL expression; a patient for whom it is NULL is left out.
+    """
+    reached = ", ".join(
+        f"count_if({days} >= {k})" for k in range(RETENTION_MAX_DAYS + 1)
+    )
+    return [
+        F.expr(f"count({days}) AS patients"),
+        F.expr(f"array({reached}) AS reached"),
+    ]
 
 
 def retention_rows(counts: DataFrame, *keep: str) -> DataFrame:
     """One row per threshold from the one row of `retention_counts`."""
-    users, patients = F.col("users_reached"), F.col("patients")
-    before = F.get("reached", F.col("active_days_threshold") - 1)
-    lost = before - users
-    return counts.select(
+    rows = counts.selectExpr(
         *keep,
         "patients",
         "reached",
-        F.posexplode("reached").alias("active_days_threshold", "users_reached"),
-    ).select(
+        "posexplode(reached) AS (active_days_threshold, users_reached)",
+    ).withColumn("before", F.expr("get(reached, active_days_threshold - 1)"))
+    share = percent_sql("users_reached", "patients")
+    lost = percent_sql("before - users_reached", "before")
+    return rows.selectExpr(
         *keep,
         "active_days_threshold",
         "users_reached",
-        F.coalesce(percent(users, patients), F.lit(0.0)).alias("pct_reached"),
-        F.coalesce(lost, F.lit(0)).alias("drop_from_previous"),
-        F.coalesce(percent(lost, before), F.lit(0.0)).alias("drop_pct"),
+        f"coalesce({share}, 0.0D) AS pct_reached",
+        "coalesce(before - users_reached, 0) AS drop_from_previous",
+        f"coalesce({lost}, 0.0D) AS drop_pct",
     )
 
 
@@ -74,9 +82,7 @@ def get_retention_by_active_days(active_days: DataFrame) -> DataFrame:
     One conditional count per threshold, all in a single pass over the patients;
     the 31 rows are then laid out from that one row, so no join or window runs.
     """
-    return retention_rows(
-        active_days.agg(*retention_counts(F.col(FIRST_MONTH_COLUMN)))
-    )
+    return retention_rows(active_days.agg(*retention_counts()))
 
 
 def top_dropoffs(retention: DataFrame, n: int = TOP_DROPOFFS) -> DataFrame:

@@ -63,12 +63,12 @@ def calculate_period_changes(
     ``df`` is a table of one row per period, so the window over all of it is
     bounded by the calendar, not by the data.
     """
-    value = F.col(value_col)
+    value = f"`{value_col}`"
     before = F.lag(value_col).over(Window.orderBy(order_col))
     return (
         df.withColumn("_before", before)
-        .withColumn("change", value - F.col("_before"))
-        .withColumn("pct_change", (ratio(value, F.col("_before")) - 1) * 100)
+        .withColumn("change", F.expr(f"{value} - _before"))
+        .withColumn("pct_change", (ratio(value, "_before") - 1) * 100)
         .drop("_before")
     )
 

@@ -43,34 +43,31 @@ class ReportOptions:
         return cls(before, month, start, end, today)
 
 
-def _named(name: str, label: Column | None) -> Column:
-    return F.lit(name) if label is None else F.format_string(f"{name}[%s]", label)
-
-
 def _cells(
-    section: str, values: Mapping[str, Column], label: Column | None = None
-) -> list[Column]:
+    section: str, metrics: Mapping[str, str], label: str | None = None
+) -> list[str]:
+    """(section, metric, value) structs, as SQL: metric name -> its expression."""
+    name = "'{}'" if label is None else f"concat('{{}}[', {label}, ']')"
     return [
-        F.struct(
-            F.lit(section).alias("section"),
-            _named(name, label).alias("metric"),
-            value.cast("double").alias("value"),
-        )
-        for name, value in values.items()
+        f"named_struct('section', '{section}', 'metric', {name.format(metric)}, "
+        f"'value', CAST({value} AS double))"
+        for metric, value in metrics.items()
     ]
 
 
-def _long(df: DataFrame, cells: list[Column]) -> DataFrame:
-    return df.select(F.inline(F.array(*cells)))
+def _same(*columns: str) -> dict[str, str]:
+    return {c: c for c in columns}
+
+
+def _long(df: DataFrame, cells: list[str]) -> DataFrame:
+    return df.selectExpr(f"inline(array_compact(array({', '.join(cells)})))")
 
 
 def _between(start: dt.date, end: dt.date) -> Column:
     return (F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end))
 
 
-def patient_overview(
-    patients: DataFrame, fact: DataFrame, options: ReportOptions
-) -> DataFrame:
+def patient_overview(fact: DataFrame, options: ReportOptions) -> DataFrame:
     """One row with the billable, active, fall-risk and active-day figures.
 
     Billing window, activity window and lookback are conditions inside one
@@ -102,140 +99,129 @@ def patient_overview(
     enough = F.col("billing_days") >= max(options.billing_threshold, 1)
     return per_patient.agg(
         F.count_if(known & enough).alias("billable_count"),
-        F.count_if(known & (F.col("billing_rows") > 0)).alias("billable_patients"),
+        F.count_if(known & (F.col("billing_rows") > 0)).alias("billable_total_patients"),
         F.count_if(known & (F.col("days") > 0)).alias("active_count"),
         F.count_if(known & (F.col("high_scores") > 0)).alias("high_risk_count"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_patient_days"),
         F.coalesce(F.sum("flags"), F.lit(0)).alias("total_active_days"),
-        F.avg(days).alias("mean"),
-        F.median(days).alias("median"),
-        F.min(days).alias("min"),
-        F.max(days).alias("max"),
-    ).withColumn("patient_count", overall.get_patient_count(patients).scalar())
+        F.avg(days).alias("mean_active_days"),
+        F.median(days).alias("median_active_days"),
+        F.min(days).alias("min_active_days"),
+        F.max(days).alias("max_active_days"),
+    )
 
 
-def _overview_cells() -> list[Column]:
-    everyone = F.col("patient_count")
-    return [
-        *_cells(
-            "overall",
+def _overview(
+    patients: DataFrame, fact: DataFrame, options: ReportOptions
+) -> DataFrame:
+    row = (
+        patient_overview(fact, options)
+        .withColumn("patient_count", overall.get_patient_count(patients).scalar())
+        .withColumns(
             {
-                "patient_count": everyone,
-                "billable_count": F.col("billable_count"),
-                "billable_total_patients": F.col("billable_patients"),
-                "billable_rate": guarded_percent(
-                    F.col("billable_count"), F.col("billable_patients")
-                ),
-                "active_count": F.col("active_count"),
-                "active_rate_all": percent(F.col("active_count"), everyone),
-                "high_risk_count": F.col("high_risk_count"),
-                "high_risk_rate_all": percent(F.col("high_risk_count"), everyone),
-            },
+                "billable_rate": guarded_percent("billable_count", "billable_total_patients"),
+                "active_rate_all": percent("active_count", "patient_count"),
+                "high_risk_rate_all": percent("high_risk_count", "patient_count"),
+                "active_days_rate": guarded_percent("total_active_days", "total_patient_days"),
+            }
+        )
+    )
+    cells = _cells(
+        "overall",
+        _same(
+            "patient_count",
+            "billable_count",
+            "billable_total_patients",
+            "billable_rate",
+            "active_count",
+            "active_rate_all",
+            "high_risk_count",
+            "high_risk_rate_all",
         ),
-        *_cells(
-            "active_days",
-            {
-                "total_patient_days": F.col("total_patient_days"),
-                "total_active_days": F.col("total_active_days"),
-                "active_days_rate": guarded_percent(
-                    F.col("total_active_days"), F.col("total_patient_days")
-                ),
-                "mean_active_days": F.col("mean"),
-                "median_active_days": F.col("median"),
-                "min_active_days": F.col("min"),
-                "max_active_days": F.col("max"),
-            },
+    ) + _cells(
+        "active_days",
+        _same(
+            "total_patient_days",
+            "total_active_days",
+            "active_days_rate",
+            "mean_active_days",
+            "median_active_days",
+            "min_active_days",
+            "max_active_days",
         ),
-    ]
+    )
+    return _long(row, cells)
 
 
 def _trend(df: DataFrame, value: str) -> DataFrame:
     changes = trends.calculate_period_changes(df, value)
-    cells = _cells(
-        "trends",
-        {
-            value: F.col(value),
-            f"{value}_change": F.col("change"),
-            f"{value}_pct_change": F.col("pct_change"),
-        },
-        F.col("bi_week"),
-    )
+    metrics = {
+        value: value,
+        f"{value}_change": "change",
+        f"{value}_pct_change": "pct_change",
+    }
     # The first period has no change to report.
-    return _long(changes, cells).filter(F.col("value").isNotNull())
+    return _long(changes, _cells("trends", metrics, "bi_week")).filter(
+        F.col("value").isNotNull()
+    )
 
 
 def _clinics(by_clinic: DataFrame) -> DataFrame:
-    cells = _cells(
-        "clinics",
-        {c: F.col(c) for c in ("total_days", "active_days", "active_rate")},
-        F.col("clinic_name"),
-    )
-    return _long(by_clinic, cells)
+    metrics = _same("total_days", "active_days", "active_rate")
+    return _long(by_clinic, _cells("clinics", metrics, "clinic_name"))
 
 
 def _curve(curve: DataFrame) -> DataFrame:
     summary = active_days.enrollment_curve_summary(curve)
-    return _long(summary, _cells("curve", {c: F.col(c) for c in summary.columns}))
+    return _long(summary, _cells("curve", _same(*summary.columns)))
 
 
 def _first_month(patients: DataFrame, fact: DataFrame, threshold: int) -> DataFrame:
     """Funnel, retention milestones and largest drop-offs.
 
-    Both rest on the active days of each patient's first month: one join and
-    one aggregation give a single row, from which all figures are laid out.
+    Both rest on the active days of each patient's first month: one join and one
+    aggregation give a single row, and all figures are laid out from it.
     """
-    stages = funnel.patient_stages(patients, fact, threshold)
-    days = F.when(F.col("enrolled"), F.col(FIRST_MONTH_COLUMN))
-    counts = stages.agg(
+    enrolled_days = f"CASE WHEN enrolled THEN {FIRST_MONTH_COLUMN} END"
+    counts = funnel.patient_stages(patients, fact, threshold).agg(
         *funnel.stage_counts(),
-        *retention.retention_counts(days),
-        F.avg(days).alias("mean"),
-        F.median(days).alias("median"),
-    ).withColumn("funnel", F.array(*funnel.funnel_rows()))
-    stage_keys = [key for key, _ in funnel.STAGES]
-    by_threshold = retention.retention_rows(
-        counts, "patients", "mean", "median", "funnel", *stage_keys
-    ).withColumn(
-        "conversion", guarded_percent(F.col("compliant"), F.col("enrolled"))
+        *retention.retention_counts(enrolled_days),
+        F.expr(f"avg({enrolled_days}) AS mean_active_days"),
+        F.expr(f"median({enrolled_days}) AS median_active_days"),
     )
-    k = F.col("active_days_threshold")
+    carried = ["mean_active_days", "median_active_days"]
+    carried += [key for key, _ in funnel.STAGES]
+    curve = retention.retention_rows(counts, "patients", *carried)
     # Position among the 30 drops, the lower threshold first on a tie.
-    drops = Window.orderBy((k == 0), F.desc("drop_from_previous"), k)
-    ranked = by_threshold.withColumn("position", F.row_number().over(drops))
-
-    once = _cells(
-        "retention",
+    k = F.col("active_days_threshold")
+    drops = Window.orderBy(k == 0, F.desc("drop_from_previous"), k)
+    curve = curve.withColumns(
         {
-            "patients": F.col("patients"),
-            "mean_active_days": F.col("mean"),
-            "median_active_days": F.col("median"),
-        },
-    ) + _cells("funnel", {"conversion": F.col("conversion")})
-    for i in range(len(funnel.STAGES)):
-        stage = F.col("funnel")[i]
-        once += _cells(
-            "funnel",
-            {c: stage[c] for c in ("count", "rate_from_enrolled", "rate_from_previous")},
-            stage["stage"],
-        )
-    top = _cells(
-        "retention",
-        {c: F.col(c) for c in ("drop_from_previous", "drop_pct")},
-        k.cast("string"),
+            "position": F.row_number().over(drops),
+            "conversion": guarded_percent("compliant", "enrolled"),
+        }
     )
-    milestone = _cells(
-        "retention",
-        {c: F.col(c) for c in ("users_reached", "pct_reached")},
-        k.cast("string"),
-    )
-    is_top = (k > 0) & (F.col("position") <= settings.TOP_DROPOFFS)
-    is_milestone = k.isin(*settings.RETENTION_MILESTONES)
-    cells = F.array(
-        *[F.when(k == 0, c) for c in once],
-        *[F.when(is_top, c) for c in top],
-        *[F.when(is_milestone, c) for c in milestone],
+    once = _cells(
+        "retention", _same("patients", "mean_active_days", "median_active_days")
+    ) + _cells("funnel", _same("conversion"))
+    for title, figures in funnel.stage_figures():
+        once += _cells("funnel", figures, f"'{title}'")
+    label = "CAST(active_days_threshold AS string)"
+    top = _cells("retention", _same("drop_from_previous", "drop_pct"), label)
+    milestone = _cells("retention", _same("users_reached", "pct_reached"), label)
+    marked = ", ".join(map(str, settings.RETENTION_MILESTONES))
+    conditions = [
+        ("active_days_threshold = 0", once),
+        (
+            f"active_days_threshold > 0 AND position <= {settings.TOP_DROPOFFS}",
+            top,
+        ),
+        (f"active_days_threshold IN ({marked})", milestone),
+    ]
+    return _long(
+        curve,
+        [f"CASE WHEN {test} THEN {cell} END" for test, cells in conditions for cell in cells],
     )
-    return ranked.select(F.inline(F.array_compact(cells)))
 
 
 def report_metrics(
@@ -250,7 +236,7 @@ def report_metrics(
         fact, options.active_threshold, options.weeks
     )
     parts = [
-        _long(patient_overview(patients, fact, options), _overview_cells()),
+        _overview(patients, fact, options),
         _trend(users, "active_users"),
         _trend(
             trends.get_enrollments_biweekly(patients, options.weeks), "new_patients"

@@ -10,105 +10,104 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.preparation import with_active_day
 
-UNKNOWN_CLINIC = "C099"
-
-
-def _clinic(number: Column) -> Column:
-    return F.concat(F.lit("C"), F.lpad(number.cast("string"), 3, "0"))
-
-
-def _activity_clinic(patient: Column) -> Column:
-    return F.when(patient % 23 == 0, F.lit(UNKNOWN_CLINIC)).otherwise(
-        _clinic(patient % 25 + 1)
-    )
+# Column expressions, as SQL text: the clinic of a number, and of an active patient.
+_CLINIC = "concat('C', lpad(CAST({} + 1 AS string), 3, '0'))"
+_UNKNOWN = "'C099'"
+_ACTIVITY_CLINIC = (
+    f"CASE WHEN {{0}} % 23 = 0 THEN {_UNKNOWN} ELSE {_CLINIC.format('{0} % 25')} END"
+)
+_ORIGIN = "DATE'2023-12-22'"
 
 
 def _clinics(nation: DataFrame) -> DataFrame:
-    return nation.select(
-        _clinic(F.col("n_nationkey") + 1).alias("clinic_id"),
-        F.col("n_name").alias("clinic_name"),
-        F.col("n_regionkey").cast("string").alias("region"),
+    return nation.selectExpr(
+        f"{_CLINIC.format('n_nationkey')} AS clinic_id",
+        "n_name AS clinic_name",
+        "CAST(n_regionkey AS string) AS region",
     )
 
 
 def _patients(customer: DataFrame, events: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    origin = F.lit("2023-12-22").cast("date")
-    shift = (key * 7 % 30).cast("int")
     first = events.groupBy(F.col("user_id").alias("c_custkey")).agg(
-        F.min(F.col("ts").cast("date")).alias("first_data_date")
+        F.expr("min(CAST(ts AS date)) AS first_data_date")
     )
-    return customer.join(first, "c_custkey", "left").select(
-        key.alias("patient_id"),
-        F.when(key % 29 == 0, F.lit(None))
-        .when(key % 23 == 0, F.lit(UNKNOWN_CLINIC))
-        .otherwise(_clinic(F.col("c_nationkey") + 1))
-        .alias("clinic_id"),
-        F.when(key % 17 != 0, F.date_add(origin, shift)).alias("enrollment_date"),
-        F.when(
-            key % 5 != 0, F.date_add(origin, shift + (key % 4).cast("int"))
-        ).alias("install_date"),
+    return customer.join(first, "c_custkey", "left").selectExpr(
+        "c_custkey AS patient_id",
+        f"CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN {_UNKNOWN} "
+        f"ELSE {_CLINIC.format('c_nationkey')} END AS clinic_id",
+        f"CASE WHEN c_custkey % 17 <> 0 THEN date_add({_ORIGIN}, "
+        "CAST(c_custkey * 7 % 30 AS int)) END AS enrollment_date",
+        f"CASE WHEN c_custkey % 5 <> 0 THEN date_add({_ORIGIN}, "
+        "CAST(c_custkey * 7 % 30 + c_custkey % 4 AS int)) END AS install_date",
         "first_data_date",
     )
 
 
 def _fact_patient_day(events: DataFrame) -> DataFrame:
-    kind, whole = F.col("event_type"), F.floor("value")
-    days = events.groupBy(
-        F.col("user_id").alias("patient_id"), F.col("ts").cast("date").alias("date")
-    ).agg(
-        F.coalesce(F.sum(F.when(kind.isin("view", "click"), whole)), F.lit(0)).alias(
-            "background_data_minutes"
-        ),
-        F.coalesce(F.sum(F.when(kind == "purchase", whole * 5)), F.lit(0)).alias(
-            "steps_count"
-        ),
-        F.max(F.when(kind == "error", F.least("value", F.lit(100.0)))).alias(
-            "fall_risk_score"
-        ),
-    )
-    return with_active_day(
-        days.withColumn("clinic_id", _activity_clinic(F.col("patient_id")))
+    days = (
+        events.selectExpr(
+            "user_id AS patient_id",
+            "CAST(ts AS date) AS date",
+            "event_type",
+            "value",
+            "floor(value) AS whole",
+        )
+        .groupBy("patient_id", "date")
+        .agg(
+            F.expr(
+                "coalesce(sum(CASE WHEN event_type IN ('view', 'click') THEN whole END), 0) "
+                "AS background_data_minutes"
+            ),
+            F.expr(
+                "coalesce(sum(CASE WHEN event_type = 'purchase' THEN whole * 5 END), 0) "
+                "AS steps_count"
+            ),
+            F.expr(
+                "max(CASE WHEN event_type = 'error' THEN least(value, 100.0D) END) "
+                "AS fall_risk_score"
+            ),
+        )
     )
+    clinic = F.expr(_ACTIVITY_CLINIC.format("patient_id"))
+    return with_active_day(days.withColumn("clinic_id", clinic))
 
 
 def _assignments(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     shipped = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.max("l_shipdate").alias("last_ship")
     )
-    done = F.col("o_orderstatus") == "F"
-    return orders.join(shipped, "o_orderkey", "left").select(
-        F.col("o_orderkey").alias("assignment_id"),
-        F.col("o_custkey").alias("patient_id"),
-        _activity_clinic(F.col("o_custkey")).alias("clinic_id"),
-        F.col("o_orderpriority").alias("assessment_type"),
-        F.col("o_orderdate").alias("assigned_ts"),
-        F.when(done, F.col("last_ship")).alias("completed_ts"),
-        F.date_add(F.col("o_orderdate").cast("date"), 30).alias("due_date"),
-        F.when(done, F.lit("completed")).otherwise(F.lit("assigned")).alias("status"),
+    return orders.join(shipped, "o_orderkey", "left").selectExpr(
+        "o_orderkey AS assignment_id",
+        "o_custkey AS patient_id",
+        f"{_ACTIVITY_CLINIC.format('o_custkey')} AS clinic_id",
+        "o_orderpriority AS assessment_type",
+        "o_orderdate AS assigned_ts",
+        "CASE WHEN o_orderstatus = 'F' THEN last_ship END AS completed_ts",
+        "date_add(CAST(o_orderdate AS date), 30) AS due_date",
+        "CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'assigned' END AS status",
     )
 
 
 def _alerts(events: DataFrame) -> DataFrame:
-    wait = F.make_dt_interval(mins=F.floor("value").cast("int"))
-    return events.select(
-        F.col("event_id").alias("alert_id"),
-        F.col("user_id").alias("patient_id"),
-        F.col("event_type").alias("alert_type"),
-        F.col("ts").alias("created_ts"),
-        F.when(F.col("event_id") % 3 != 0, F.col("ts") + wait).alias("ack_ts"),
+    return events.selectExpr(
+        "event_id AS alert_id",
+        "user_id AS patient_id",
+        "event_type AS alert_type",
+        "ts AS created_ts",
+        "CASE WHEN event_id % 3 <> 0 THEN ts + "
+        "make_dt_interval(0, 0, CAST(floor(value) AS int), 0) END AS ack_ts",
     )
 
 
 def _providers(supplier: DataFrame) -> DataFrame:
-    return supplier.select(
-        F.col("s_suppkey").alias("provider_id"),
-        _clinic(F.col("s_suppkey") % 25 + 1).alias("clinic_id"),
+    return supplier.selectExpr(
+        "s_suppkey AS provider_id",
+        f"{_CLINIC.format('s_suppkey % 25')} AS clinic_id",
     )
 
 
@@ -181,9 +180,11 @@ class DerivedTables(Mapping[str, DataFrame]):
     def _spoil(table: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
         return table.withColumns(
             {
-                c: F.when(F.col(key) % 41 == 0, F.lit("not a date"))
-                .when(F.col(key) % 37 == 0, F.lit("2024-13-45"))
-                .otherwise(F.col(c).cast("string"))
+                c: F.expr(
+                    f"CASE WHEN {key} % 41 = 0 THEN 'not a date' "
+                    f"WHEN {key} % 37 = 0 THEN '2024-13-45' "
+                    f"ELSE CAST({c} AS string) END"
+                )
                 for c in columns
             }
         )
