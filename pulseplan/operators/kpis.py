@@ -25,14 +25,21 @@ _MICROS_PER_HOUR = 3_600_000_000
 
 
 def rolling_active_days(
-    fact_patient_day: DataFrame, windows: Sequence[int] = ROLLING_WINDOWS
+    fact_patient_day: DataFrame,
+    windows: Sequence[int] = ROLLING_WINDOWS,
+    one_row_per_day: bool = False,
 ) -> DataFrame:
     """Per patient and day, the active days of the last N calendar days.
 
     The frames are ranges over the day number, so missing days count as days.
-    A patient's window holds at most one row per calendar day.
+    A patient's window must not hold more than a row per calendar day, so the
+    fact is reduced to that first. ``one_row_per_day=True`` leaves the reduction
+    and its shuffle out, for a table that is known to have that grain.
     """
-    daily = daily_activity(fact_patient_day)
+    if one_row_per_day:
+        daily = fact_patient_day.withColumnRenamed("is_active_day", "active_sum")
+    else:
+        daily = daily_activity(fact_patient_day)
     by_day = Window.partitionBy("patient_id").orderBy(F.unix_date("date"))
     return daily.select(
         "patient_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..settings import MIN_BACKGROUND_MINUTES, MIN_STEPS
-from ..sources.schema import DATE_COLUMNS, TABLE_SCHEMAS
+from ..sources.schema import DATE_COLUMNS, ISO_TEXT, TABLE_SCHEMAS
 
 # --- fixed values: names and regions of the clinics ---
 CLINIC_NAMES = {
@@ -52,12 +52,18 @@ def enrich_clinics(
 
 def parsed_date(table: str, column: str, fmt: str) -> Column:
     """The text column as a date or timestamp; NULL where it does not parse."""
-    kind = TABLE_SCHEMAS[table][column].dataType if table in TABLE_SCHEMAS else None
-    if isinstance(kind, T.DateType):
-        return F.try_to_date(F.col(column), fmt)
+    is_date = table in TABLE_SCHEMAS and isinstance(
+        TABLE_SCHEMAS[table][column].dataType, T.DateType
+    )
+    text = F.col(column)
+    if fmt in ISO_TEXT:
+        value = text.try_cast("date" if is_date else "timestamp_ntz")
+        return F.when(text.rlike(ISO_TEXT[fmt]), value)
+    if is_date:
+        return F.try_to_date(text, fmt)
     # Read as UTC and counted from the epoch, so that a wall-clock time which the
     # session's time zone skips in spring still comes out as written.
-    instant = F.try_to_timestamp(F.concat(F.col(column), F.lit("Z")), F.lit(f"{fmt}X"))
+    instant = F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(f"{fmt}X"))
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 

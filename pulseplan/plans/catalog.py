@@ -18,7 +18,13 @@ from ..operators import (
     retention,
     trends,
 )
-from ..sources import TABLE_SCHEMAS, load_tables, shared_folder, write_tables
+from ..sources import (
+    TABLE_SCHEMAS,
+    load_tables,
+    shared_folder,
+    stored,
+    write_tables,
+)
 from .report import ReportOptions, report_metrics
 from .star_schema import derive_raw_tables, derive_tables
 
@@ -77,6 +83,18 @@ def _enrollments(t: Tables) -> DataFrame:
     return trends.get_enrollments_biweekly(t["patients"])
 
 
+def _report(t: Tables) -> DataFrame:
+    """The report reads the fact five times: it is derived once and stored."""
+    columns = ["patient_id", "date", "clinic_id", "is_active_day", "fall_risk_score"]
+    fact = stored(t["fact_patient_day"].select(*columns), "report")
+    tables = {
+        "patients": t["patients"],
+        "clinics": t["clinics"],
+        "fact_patient_day": fact,
+    }
+    return _rounded(report_metrics(tables, report_options()), "value")
+
+
 # Query name -> result from the cleaned tables.
 _METRICS: dict[str, Callable[[Tables], DataFrame]] = {
     "patient_count": lambda t: overall.get_patient_count(t["patients"]),
@@ -141,9 +159,7 @@ _METRICS: dict[str, Callable[[Tables], DataFrame]] = {
     "retention_curve": _retention,
     "top_dropoffs": lambda t: retention.top_dropoffs(_retention(t)),
     "retention_milestones": lambda t: retention.retention_milestones(_retention(t)),
-    "report_metrics": lambda t: _rounded(
-        report_metrics(t, report_options()), "value"
-    ),
+    "report_metrics": _report,
     "table_profile": quality.table_profile,
     "null_rates": lambda t: quality.null_rates(
         t["patients"], ["clinic_id", "enrollment_date", "install_date", "first_data_date"]
@@ -156,7 +172,11 @@ _METRICS: dict[str, Callable[[Tables], DataFrame]] = {
     ).select(
         "patient_id", "date", "background_data_minutes", "steps_count", "is_active_day"
     ),
-    "rolling_active_days": lambda t: kpis.rolling_active_days(t["fact_patient_day"]),
+    # The derived fact is grouped by patient and day.
+    "rolling_active_days": lambda t: kpis.rolling_active_days(
+        t["fact_patient_day"].withColumn("is_active_day", F.col("is_active_day").cast("bigint")),
+        one_row_per_day=True,
+    ),
     "active_days_snapshot": lambda t: kpis.active_days_snapshot(
         t["fact_patient_day"], t["patients"], AS_OF
     ),

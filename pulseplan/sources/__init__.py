@@ -2,12 +2,13 @@
 
 from .csv_tables import load_tables, write_tables
 from .schema import DATE_COLUMNS, TABLE_SCHEMAS
-from .scratch import shared_folder
+from .scratch import shared_folder, stored
 
 __all__ = [
     "DATE_COLUMNS",
     "TABLE_SCHEMAS",
     "load_tables",
     "shared_folder",
+    "stored",
     "write_tables",
 ]

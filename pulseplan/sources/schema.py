@@ -56,6 +56,14 @@ TABLE_SCHEMAS: dict[str, T.StructType] = {
 DATE_FORMAT = "yyyy-MM-dd"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
+# What the texts of these two formats look like. Checking the look and casting is
+# about twice as fast as parsing with a pattern.
+ISO_TEXT = {
+    DATE_FORMAT: "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    TIMESTAMP_FORMAT: "^[0-9]{4}-[0-9]{2}-[0-9]{2} "
+    "[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?$",
+}
+
 # Columns that arrive as text and are turned into dates: table -> column -> format.
 DATE_COLUMNS: dict[str, dict[str, str]] = {
     "patients": {

@@ -23,43 +23,44 @@ def raw_dir(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("fmt", ["parquet", "csv"])
-def test_jobs_write_the_same_results_in_either_format(spark, raw_dir, tmp_path, fmt):
-    clean, checks, out, drop = (str(tmp_path / d) for d in ("clean", "checks", "out", "drop"))
+def run_jobs(spark, raw_dir, base, fmt):
+    """Runs all three jobs; returns the written tables and the report's figures."""
+    clean, checks, out, drop = (str(base / fmt / d) for d in ("clean", "checks", "out", "drop"))
     common = ["--format", fmt]
     jobs.main([*common, "prepare", raw_dir, clean, checks])
     jobs.main([*common, "report", clean, out, "--as-of", "2024-01-30"])
     jobs.main([*common, "dropoff", clean, drop])
-
-    quality = load_tables(spark, checks, fmt)
-    assert sorted(quality) == [
-        "date_conformance",
-        "date_range",
-        "null_rates",
-        "orphan_patients",
-        "table_profile",
-    ]
-    profile = {r.table_name: int(r.row_count) for r in quality["table_profile"].collect()}
-    assert profile["patients"] == 150 and profile["alerts"] == 1000
-
-    result = load_tables(spark, out, fmt)
-    metrics = {
+    quality, result, retention = (load_tables(spark, d, fmt) for d in (checks, out, drop))
+    figures = {
         (r.section, r.metric): float(r.value)
         for r in result["report_metrics"].collect()
-        if r.value not in (None, "")
+        if r.value is not None
     }
-    assert metrics["overall", "patient_count"] == 150
-    ids = result["stage_patients"].filter("stage = 'enrolled'").count()
-    assert metrics["funnel", "count[1. Enrolled]"] == ids
-    assert metrics["overall", "high_risk_count"] == result["high_fall_risk_ids"].count()
+    return quality, result, retention, figures
+
 
-    curve = load_tables(spark, drop, fmt)["retention_curve"]
-    assert curve.count() == 31
-    assert int(curve.filter("active_days_threshold = '0'").first().users_reached) == ids
-    # Both formats are compared with each other through these figures.
-    known = getattr(test_jobs_write_the_same_results_in_either_format, "seen", metrics)
-    assert metrics == known
-    test_jobs_write_the_same_results_in_either_format.seen = metrics
+def test_jobs_write_the_same_results_in_either_format(spark, raw_dir, tmp_path):
+    every = []
+    for fmt in ("parquet", "csv"):
+        quality, result, retention, figures = run_jobs(spark, raw_dir, tmp_path, fmt)
+        assert sorted(quality) == [
+            "date_conformance",
+            "date_range",
+            "null_rates",
+            "orphan_patients",
+            "table_profile",
+        ]
+        sizes = {r.table_name: int(r.row_count) for r in quality["table_profile"].collect()}
+        assert (sizes["patients"], sizes["alerts"]) == (150, 1000)
+        assert figures["overall", "patient_count"] == 150
+        enrolled = result["stage_patients"].filter("stage = 'enrolled'").count()
+        assert figures["funnel", "count[1. Enrolled]"] == enrolled
+        at_risk = result["high_fall_risk_ids"].count()
+        assert figures["overall", "high_risk_count"] == at_risk
+        curve = {int(r[0]): int(r[1]) for r in retention["retention_curve"].collect()}
+        assert sorted(curve) == list(range(31)) and curve[0] == enrolled
+        every.append(figures)
+    assert every[0] == every[1]
 
 
 def test_the_fact_is_not_kept_after_the_report(spark, raw_dir, tmp_path):

@@ -40,6 +40,18 @@ def test_rolling_windows_count_calendar_days(fact):
     ]
 
 
+def test_rolling_windows_of_repeated_rows(fact):
+    table = fact(*[("a", "2025-12-01", 1)] * 3, ("a", "2025-12-02", 0))
+    assert rows(rolling_active_days(table, (2,))) == [
+        ("a", day("2025-12-01"), 3, 3),
+        ("a", day("2025-12-02"), 0, 3),
+    ]
+    once = table.distinct()
+    assert rows(rolling_active_days(once, one_row_per_day=True)) == rows(
+        rolling_active_days(once)
+    )
+
+
 def test_snapshot_marks_who_is_too_new(fact, patients):
     people = patients(
         ("a", None, None, "2025-12-01"),

@@ -73,6 +73,11 @@ def test_unreadable_dates_become_null(spark, csv_dir):
         ("2025-12-01 10:20:30", dt.datetime(2025, 12, 1, 10, 20, 30)),
         ("2025-12-01 10:20:30.5", dt.datetime(2025, 12, 1, 10, 20, 30, 500000)),
         ("2025-12-01", None),  # another format than the declared one
+        ("2025-12-01 10:20:30Z", None),
+        ("2025-12-01 10:20:30.", None),
+        ("2025-12-1 10:20:30", None),
+        ("2025-02-29 10:20:30", None),
+        ("2025-12-01 24:00:00", None),
         ("bad", None),
         (None, None),
     ],
@@ -82,6 +87,43 @@ def test_one_format_per_timestamp_column(spark, text, expected):
     assert coerce_dates({"alerts": table})["alerts"].first()[0] == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("2025-12-01", "2025-12-01"),
+        ("2024-02-29", "2024-02-29"),
+        ("2025-02-29", None),
+        ("2025-12", None),
+        ("2025-12-01 00:00:00", None),
+        (" 2025-12-01", None),
+    ],
+)
+def test_one_format_per_date_column(spark, text, expected):
+    table = spark.createDataFrame([(text,)], "date string")
+    got = coerce_dates({"fact_patient_day": table})["fact_patient_day"].first()[0]
+    assert got == day(expected)
+
+
+def test_another_format_can_be_declared(spark):
+    patients = spark.createDataFrame(
+        [("01/12/2025",), ("2025-12-01",)], "enrollment_date string"
+    )
+    alerts = spark.createDataFrame(
+        [("09.03.2025 02:30",), ("2025-03-09 02:30:00",)], "created_ts string"
+    )
+    formats = {
+        "patients": {"enrollment_date": "dd/MM/yyyy"},
+        "alerts": {"created_ts": "dd.MM.yyyy HH:mm"},
+    }
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        typed = coerce_dates({"patients": patients, "alerts": alerts}, formats)
+        got = [[r[0] for r in typed[t].collect()] for t in ("patients", "alerts")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [[day("2025-12-01"), None], [dt.datetime(2025, 3, 9, 2, 30), None]]
+
+
 def test_wall_clock_times_do_not_depend_on_the_session_zone(spark):
     table = spark.createDataFrame(
         [("2025-03-09 02:30:00", None)], "created_ts string, ack_ts string"
