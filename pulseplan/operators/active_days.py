@@ -113,6 +113,7 @@ def get_active_rate_by_day_since_enrollment(
         F.col("id").cast("int").alias("day_since_enrollment")
     )
     total, active = F.col("total_patients"), F.col("active_patients")
+    rate = percent("active_patients", "total_patients")
     # by_day has at most days_after_enrollment + 1 rows.
     return (
         days.join(F.broadcast(by_day), "day_since_enrollment", "left")
@@ -120,7 +121,7 @@ def get_active_rate_by_day_since_enrollment(
             "day_since_enrollment",
             F.coalesce(total, F.lit(0)).alias("total_patients"),
             F.coalesce(active, F.lit(0)).alias("active_patients"),
-            F.coalesce(percent("active_patients", "total_patients"), F.lit(0.0)).alias("active_rate"),
+            F.coalesce(rate, F.lit(0.0)).alias("active_rate"),
         )
         .orderBy("day_since_enrollment")
     )

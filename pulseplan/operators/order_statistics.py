@@ -36,8 +36,8 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     Here values are counted first, then summed up into cells that share all but
     their last 20 and last 40 bits. Running counts from the coarsest cells down
     find the cell that holds the middle rank. A window spans the cells below one
-    parent only, at most 2**20, so one group with most of the rows still spreads
-    over all tasks.
+    parent only, at most 2**20 of them (2**24 at the top, if the values fill all
+    64 bits), so one group with most of the rows still spreads over all tasks.
     """
     keys = [f"_k{i}" for i in range(len(by) + 1)]
     named = [F.lit(0).alias(keys[0])]

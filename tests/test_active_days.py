@@ -105,7 +105,8 @@ def test_histogram_closes_the_last_bin(spark):
     distribution = spark.createDataFrame(
         [(0,), (31,), (32,), (33,), (16,)], "active_days int"
     )
-    got = {r.bin: (r.patients, r.is_threshold) for r in active_days_histogram(distribution).collect()}
+    bins = active_days_histogram(distribution).collect()
+    got = {r.bin: (r.patients, r.is_threshold) for r in bins}
     assert sorted(got) == list(range(32))
     assert (got[0], got[16], got[31]) == ((1, False), (1, True), (2, False))
     assert sum(n for n, _ in got.values()) == 4

@@ -20,6 +20,7 @@ from pulseplan import (
     get_patient_funnel,
     get_retention_by_active_days,
     get_total_active_rate,
+    orphan_patients,
 )
 from pulseplan.plans import catalog
 from pulseplan.plans.star_schema import derive_tables
@@ -50,7 +51,8 @@ def test_window_bounds_reach_the_scan(spark, name):
 
 def test_only_needed_columns_are_read(spark):
     text = plan(QUERIES["billable_patients"](spark, SF))
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in text
+    columns = "ts:timestamp_ntz,user_id:bigint,event_type:string,value:double"
+    assert f"ReadSchema: struct<{columns}>" in text
     text = plan(get_patient_count(derive_tables(spark, SF)["patients"]))
     assert "ReadSchema: struct<>" in text and "events" not in text
 
@@ -132,6 +134,19 @@ def test_a_hot_clinic_is_one_row_per_task_at_the_join(spark, small_shuffles):
     assert text.index("HashAggregate(keys=[clinic_id", join) > join
 
 
+def test_orphans_are_counted_per_clinic_before_the_join(spark, small_shuffles):
+    tables = derive_tables(spark, SF)
+    text = plan(orphan_patients(tables["patients"], tables["clinics"]))
+    join = text.index("SortMergeJoin")
+    assert text.index("HashAggregate(keys=[clinic_id", join) > join
+
+
+def test_medians_never_gather_a_group(spark):
+    text = plan(QUERIES["alert_ack"](spark, SF))
+    for node in ("median(", "percentile(", "collect_"):
+        assert node not in text
+
+
 def test_report_agrees_with_the_operators(spark):
     t = derive_tables(spark, SF)
     people, fact = t["patients"], t["fact_patient_day"]
