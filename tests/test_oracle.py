@@ -5,8 +5,10 @@ from conftest import TESTDATA
 
 import __spark_entry__ as entry_points
 import oracle
+from pulseplan.plans.catalog import all_queries
+from pulseplan.plans.oracle_sql import all_oracles
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 SCALES = [s for s in ("sf0.001", "sf0.01") if (TESTDATA / s).is_dir()]
 
 
@@ -18,6 +20,7 @@ def scale(request):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
