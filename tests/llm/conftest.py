@@ -1,0 +1 @@
+"""Helpers for the tests of this folder; the session comes from the tests above."""

@@ -1,0 +1,147 @@
+"""Token files and packing against the tokenizers library itself."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from pulseplan.llm import packing, simple8b, token_files
+from pulseplan.llm.tokens import WordEncoder
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+PLAIN = Tokenizer.from_file(PATH)
+TEXTS = [
+    "",
+    None,
+    " \n\t",
+    "Hello, world. It's 1999... don't; STOP.,  yes. no x",
+    "Été İstanbul İx ΣΑΣ. ́lone a.́ KK",
+    "<|endoftext|> and <|STARTOFTEXT|>x<|startoftext|>.",
+    "日本語、テスト。 Ünïcode. été.",
+    "word " * 5000,
+    "tail.",
+    "x\x1cy\x85z",
+]
+DOCS = "doc_id long, text string, start string, length string, task int, m string"
+
+
+def ids_of(text):
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def docs(spark, rows):
+    # Columns that clash with names the operators use themselves.
+    return spark.createDataFrame([(i, t, "s", "l", 7, "m") for i, t in rows], DOCS)
+
+
+def test_word_encoder_equals_the_library():
+    ids, lengths = WordEncoder(PATH).encode(pa.array(TEXTS))
+    parts = np.split(ids, np.cumsum(lengths)[:-1])
+    assert [p.tolist() for p in parts] == [ids_of(t) for t in TEXTS]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB .,'\n\té́ß日1%<|> "), max_size=30), max_size=5))
+def test_word_encoder_equals_the_library_on_any_text(texts):
+    ids, lengths = WordEncoder(PATH).encode(pa.array(texts, pa.string()))
+    want = [ids_of(t) for t in texts]
+    assert ids.tolist() == [i for w in want for i in w]
+    assert lengths.tolist() == [len(w) for w in want]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_simple8b_round_trip(data):
+    top = data.draw(st.sampled_from([1, 2, 200, 50_000, 1 << 30, 1 << 60, (1 << 64) - 1]))
+    block = data.draw(st.lists(st.integers(0, top), max_size=300))
+    values = np.array(block * data.draw(st.integers(1, 9)), dtype=np.uint64)
+    words, offsets = simple8b.encode(values)
+    assert simple8b.decode(words, len(values), offsets).tolist() == values.tolist()
+
+
+def test_simple8b_packs_many_small_values_in_a_word():
+    words, offsets = simple8b.encode(np.zeros(2048, dtype=np.uint64))
+    assert len(words) == 10 and offsets.tolist() == [0, 5]
+    assert len(simple8b.encode(np.full(1024, 40_000, dtype=np.uint64))[0]) == 342
+
+
+@pytest.mark.parametrize("repeat", [1, 3])
+def test_token_files(spark, repeat):
+    rows = [(9 - i, t) for i, t in enumerate(TEXTS)] * repeat
+    folder = token_files.write_token_files(docs(spark, rows), PATH)
+    got = sorted(map(tuple, token_files.read_token_digests(spark, folder).collect()))
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode())):
+        ids = [*ids_of(t), 2]
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == want
+    whole = token_files.read_token_ids(spark, folder).orderBy("start").collect()
+    assert [i for r in whole for i in r.ids] == [
+        i for d, t in sorted(rows, key=lambda r: (r[0], r[1] is not None)) for i in [*ids_of(t), 2]
+    ]
+
+
+def test_token_files_of_nothing(spark):
+    folder = token_files.write_token_files(docs(spark, []), PATH)
+    assert token_files.read_token_digests(spark, folder).collect() == []
+
+
+def test_best_fit_takes_the_tightest_bin():
+    bins = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
+    assert sorted(map(sorted, bins)) == [[0, 2], [1, 3, 4]]
+
+
+def check_packing(rows, want_pieces, capacity):
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want_pieces)
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for members in sequences.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+def test_packing_cuts_and_places_every_piece(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] * 2
+    got = packing.pack_documents(docs(spark, rows), PATH, capacity=100).collect()
+    want = []
+    for i, t in rows:
+        ids = [*ids_of(t), 1]
+        for p in range(0, len(ids), 100):
+            part = ids[p : p + 100]
+            want.append((i, p // 100, p, len(part), crc(part)))
+    used = check_packing(got, want, 100)
+    assert used <= -(-sum(w[3] for w in want) // 100) + 2
+
+
+def test_packing_merges_bins_of_many_partitions(spark):
+    sizes = np.random.default_rng(1).integers(1, 4097, 3000)
+    rows = [(int(i), 0, 0, int(n), int(n)) for i, n in enumerate(sizes)]
+    pieces = spark.createDataFrame(rows, packing.PIECES).repartition(10)
+    used = check_packing(packing.pack(pieces).collect(), rows, 4096)
+    assert used <= 1.03 * sizes.sum() / 4096 + 1
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack_documents(docs(spark, []), PATH).collect() == []
+
+
+def test_packing_keeps_a_null_document_id(spark):
+    got = packing.pack_documents(docs(spark, [(None, "a b"), (1, None)]), PATH).collect()
+    assert sorted((r.doc_id is None, r.length, r.offset) for r in got)[0][1] in (1, 3)
+    assert {r.doc_id for r in got} == {None, 1}
