@@ -49,7 +49,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has. A null text has none."""
-        texts = texts.fill_null("").cast(pa.large_string())
+        # A copy: some text functions of Arrow misread slices of a larger array.
+        texts = texts.take(pa.array(np.arange(len(texts)))).fill_null("").cast(pa.large_string())
         lower = pc.ascii_lower(texts)
         odd = np.zeros(len(texts), dtype=bool)
         for mark in self.special:

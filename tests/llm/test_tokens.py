@@ -50,6 +50,12 @@ def test_word_encoder_equals_the_library():
     assert [p.tolist() for p in parts] == [ids_of(t) for t in TEXTS]
 
 
+def test_word_encoder_reads_slices():
+    texts = pa.array(["Ünïcode, ÈÉ. " * 9, *TEXTS, "Ende."])
+    ids, _ = WordEncoder(PATH).encode(texts.slice(1, len(TEXTS)))
+    assert ids.tolist() == [i for t in TEXTS for i in ids_of(t)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aB .,'\n\té́ß日1%<|> "), max_size=30), max_size=5))
 def test_word_encoder_equals_the_library_on_any_text(texts):
