@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import mixing, packing, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,22 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
+    return plan.select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken"
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = token_files.write_token_files(docs, WORD_TOKENIZER, end_id=2)
     return token_files.read_token_digests(spark, folder)
 
 
+def op4_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_token_files": op2_token_files,
+        "op4_uniform_shards": op4_uniform_shards,
         "op5_best_fit_packing": op5_best_fit_packing,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op1_source_mixing": mixing.MIXING_SQL}
