@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, token_files
+from . import mixing, packing, secrets, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +40,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
         "op2_token_files": op2_token_files,
         "op4_uniform_shards": op4_uniform_shards,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
