@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets, sharding, token_files
+from . import mixing, packing, secrets, sharding, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -51,6 +55,7 @@ def all_queries() -> dict[str, Query]:
         "op4_uniform_shards": op4_uniform_shards,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op8_secret_scan": op8_secret_scan,
+        "op9_simhash_groups": op9_simhash_groups,
     }
 
 
