@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets, sharding, simhash, token_files
+from . import mixing, nearest, packing, secrets, sharding, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(spark, folder)
 
 
+def op3_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op7_nearest_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
@@ -52,12 +60,14 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
         "op2_token_files": op2_token_files,
+        "op3_topk_products": op3_topk_products,
         "op4_uniform_shards": op4_uniform_shards,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_nearest_cosine": op7_nearest_cosine,
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash_groups": op9_simhash_groups,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.MIXING_SQL}
+    return {"op1_source_mixing": mixing.MIXING_SQL, "op3_topk_products": topk.TOPK_SQL}
