@@ -20,32 +20,37 @@ ESCAPE = 0
 _PAYLOAD = (1 << 60) - 1
 
 
+# Selectors from few wide values to many narrow ones. What fits one fits all before it.
+_BY_COUNT = range(len(COUNTS) - 1, ESCAPE, -1)
+
+
 def bit_widths(values: np.ndarray) -> np.ndarray:
-    """Bits that each unsigned value needs; 0 for 0."""
-    widths = np.zeros(len(values), dtype=np.int64)
-    rest = values.astype(np.uint64)
-    for step in (32, 16, 8, 4, 2, 1):
-        large = rest >= np.uint64(1 << step)
-        widths[large] += step
-        rest = np.where(large, rest >> np.uint64(step), rest)
-    return widths + (rest > 0)
+    """Bits that each unsigned value needs; 0 for 0. May be one too many above 2^53."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.int8)
 
 
-def _selectors(widths: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At each value: the selector of the word that would start there, and its values.
+def _word_at(widths: np.ndarray, at: np.ndarray, left: np.ndarray):
+    """Selector and number of values of the words that start at ``at``.
 
-    ``left``: values up to the end of the block. The last word of a block may hold
-    fewer values than its selector allows.
+    ``left``: values up to the end of each block. The last word of a block may hold
+    fewer values than its selector allows; behind a block, ``widths`` is 0.
     """
-    n = len(widths)
-    place = np.arange(n)
-    selector, taken = np.full(n, ESCAPE), np.ones(n, dtype=np.int64)
-    for s in range(len(COUNTS) - 1, 0, -1):  # from few wide values to many narrow ones
-        wide = np.where(widths > WIDTHS[s], place, n)
-        run = np.minimum.accumulate(wide[::-1])[::-1] - place  # values that are narrow enough
-        want = np.minimum(COUNTS[s], left)
-        fits = (run >= want) & (want >= taken)
-        selector[fits], taken[fits] = s, want[fits]
+    selector, taken = np.full(len(at), ESCAPE), np.ones(len(at), dtype=np.int64)
+    open_, widest, seen = np.arange(len(at)), widths[at], 1
+    for s in _BY_COUNT:
+        while seen < COUNTS[s]:
+            widest = np.maximum(widest, widths[at[open_] + seen])
+            seen += 1
+        fits = widest <= WIDTHS[s]
+        if not fits.all():
+            open_, widest = open_[fits], widest[fits]
+        want = np.minimum(COUNTS[s], left[open_])
+        selector[open_], taken[open_] = s, want
+        more = want < left[open_]  # else the block ends with this word
+        if not more.all():
+            open_, widest = open_[more], widest[more]
+        if not len(open_):
+            break
     return selector, taken
 
 
@@ -55,34 +60,47 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<u4")
-    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
-    selector, taken = _selectors(bit_widths(values), left)
+    blocks = -(-n // BLOCK)
+    stride = BLOCK + int(COUNTS.max())
+    widths = np.zeros((blocks, stride), dtype=np.int8)
+    padded = np.zeros(blocks * BLOCK, dtype=np.int8)
+    padded[:n] = bit_widths(values)
+    widths[:, :BLOCK] = padded.reshape(blocks, BLOCK)
+    widths = widths.ravel()
     # Every block takes one word at a time, all blocks at once.
-    at, starts = np.arange(0, n, BLOCK), []
-    ends = np.minimum(at + BLOCK, n)
+    block, at = np.arange(blocks), np.zeros(blocks, dtype=np.int64)
+    ends = np.minimum(BLOCK, n - block * BLOCK)
+    firsts, selectors, counts = [], [], []
     while len(at):
-        starts.append(at)
-        at = at + taken[at]
+        selector, taken = _word_at(widths, block * stride + at, ends - at)
+        firsts.append(block * BLOCK + at)
+        selectors.append(selector)
+        counts.append(taken)
+        at = at + taken
         going = at < ends
-        at, ends = at[going], ends[going]
-    first = np.sort(np.concatenate(starts))
-    chosen, many = selector[first], taken[first]
+        if not going.all():
+            block, at, ends = block[going], at[going], ends[going]
+    first = np.concatenate(firsts)
+    order = np.argsort(first)
+    first = first[order]
+    chosen, many = np.concatenate(selectors)[order], np.concatenate(counts)[order]
     size = np.where(chosen == ESCAPE, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), dtype="<u8")
     words[place] = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen).tolist():
-        mine = chosen == s
+        mine = np.flatnonzero(chosen == s)
+        to, of, has = place[mine], first[mine], many[mine]
         if s == ESCAPE:
-            words[place[mine] + 1] = values[first[mine]]
-            continue
+            words[to + 1] = values[of]
         for k in range(int(COUNTS[s]) if s > 1 else 0):
-            has = mine & (many > k)
-            if not has.any():
-                break
-            words[place[has]] |= values[first[has] + k] << np.uint64(k * int(WIDTHS[s]))
-    blocks = place[np.searchsorted(first, np.arange(0, n, BLOCK))]
-    return words, blocks.astype("<u4")
+            if k:
+                some = has > k
+                if not some.all():
+                    to, of, has = to[some], of[some], has[some]
+            words[to] |= values[of + k] << np.uint64(k * int(WIDTHS[s]))
+    starts = place[np.searchsorted(first, np.arange(0, n, BLOCK))]
+    return words, starts.astype("<u4")
 
 
 def decode(words: np.ndarray, n: int, offsets: np.ndarray) -> np.ndarray:

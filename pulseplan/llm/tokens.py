@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +18,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts of one step, in bytes, and the words that a worker remembers.
-STEP_BYTES = 8 << 20
-CACHED_WORDS = 400_000
+STEP_BYTES = 4 << 20
+CACHED_WORDS = 500_000
 
 # A letter, then full stops or commas that end a word: two tokens of their own.
 _ENDED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,]+)([\x20\x09-\x0D]|$)"
 
 
+# Words of these letters alone are one pre-token each, of which the tokenizer's model
+# sees the bytes. Byte-level models write a byte as the character of the same number if
+# that is visible, and the other bytes, in order, as the characters from 256 on.
+_LETTERS = re.compile("[a-zà-öø-ÿ]+")
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+_BYTE_CHARS = [chr(b) if b in _VISIBLE else chr(256 + _HIDDEN.index(b)) for b in range(256)]
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer file that lowers case and splits at white space."""
 
@@ -32,20 +43,36 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _new_ids(self, words: list[str]) -> dict[str, list[int]]:
+        model, ids, others = self.tokenizer.model, {}, []
+        for word in words:
+            if not _LETTERS.fullmatch(word):
+                others.append(word)
+                continue
+            seen = word if word.isascii() else "".join([_BYTE_CHARS[b] for b in word.encode()])
+            ids[word] = [t.id for t in model.tokenize(seen)]
+        found = self.tokenizer.encode_batch(others, add_special_tokens=False)
+        return ids | {w: e.ids for w, e in zip(others, found, strict=True)}
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache, new = {}, words
+        """Words not met for long are forgotten: the older half of the cache goes first."""
+        if len(self.young) > CACHED_WORDS // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for word in words:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    new.append(word)
         for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            self.cache.update(
-                (w, np.array(e.ids, dtype="<u4").tobytes())
-                for w, e in zip(some, found, strict=True)
-            )
-        return [self.cache[w] for w in words]
+            for word, ids in self._new_ids(new[at : at + 20_000]).items():
+                young[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return [young[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has. A null text has none."""
