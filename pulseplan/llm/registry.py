@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nearest, packing, secrets, sharding, simhash, token_files, topk
+from . import (
+    mixing,
+    nearest,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    token_files,
+    topk,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +54,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_nearest_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -63,6 +77,7 @@ def all_queries() -> dict[str, Query]:
         "op3_topk_products": op3_topk_products,
         "op4_uniform_shards": op4_uniform_shards,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_toxicity": op6_toxicity,
         "op7_nearest_cosine": op7_nearest_cosine,
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash_groups": op9_simhash_groups,
