@@ -29,6 +29,8 @@ from .vectors import best_of, blocked_search, usable
 # Segments at each resolution, coarse to fine.
 LEVELS = (2, 8, 16, 32)
 _LARGEST = float(1 << 40)
+# Pairs whose vectors are laid side by side at once.
+PAIRS = 1 << 16
 
 
 def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -42,12 +44,21 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((mean * np.sqrt(sizes), spread), axis=1)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows; through longs where doubles could round."""
+def _paired(a: np.ndarray, q: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products of rows ``q`` of ``a`` with rows ``c`` of ``b``."""
+    out = np.empty(len(q), dtype=a.dtype)
+    for at in range(0, len(q), PAIRS):
+        some = slice(at, at + PAIRS)
+        np.einsum("ij,ij->i", a[q[some]], b[c[some]], out=out[some])
+    return out
+
+
+def _products(a: np.ndarray, q: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products; through longs where doubles could round."""
     limit = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if limit < 2**53:
-        return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+        return _paired(a, q, b, c).astype(np.int64)
+    return _paired(a.astype(np.int64), q, b.astype(np.int64), c)
 
 
 def build(ids: np.ndarray, vectors: np.ndarray):
@@ -68,15 +79,15 @@ def build(ids: np.ndarray, vectors: np.ndarray):
         rows = np.repeat(np.arange(len(queries)), first)
         seen = np.isfinite(bound[rows, top.ravel()])
         rows, columns = rows[seen], top.ravel()[seen]
-        score = _products(queries[rows], vectors[columns])
+        score = _products(queries, rows, vectors, columns)
         floor = _kth(rows, score, len(queries), k)
         bound[rows, columns] = -np.inf
         q, c = np.nonzero((bound >= floor[:, None]) & np.isfinite(bound))
         for asks, has in zip(asked[1:], stats[1:], strict=True):
-            fine = np.einsum("ij,ij->i", asks[q], has[c]) + slack[q, c]
+            fine = _paired(asks, q, has, c) + slack[q, c]
             alive = fine >= floor[q]
             q, c = q[alive], c[alive]
-        rest = _products(queries[q], vectors[c])
+        rest = _products(queries, q, vectors, c)
         q, c = np.concatenate((rows, q)), np.concatenate((columns, c))
         return best_of(q, c, np.concatenate((score, rest)), ids, k)
 

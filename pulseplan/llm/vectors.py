@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 # Expected candidates of a block: bounds a task's memory, whatever the table holds.
 BLOCK_ROWS = 16_384
-QUERY_STEP = 256
+QUERY_STEP = 128
 _ROWS = "block long, kind int, id long, v array<double>"
 # ids and vectors of a block -> a search of queries (ids, vectors) for their k best:
 # positions of queries, positions of candidates, scores. Not more than k for each query.
