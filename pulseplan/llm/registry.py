@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    line_dedup,
     mixing,
     nearest,
     packing,
@@ -70,6 +71,10 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -81,6 +86,7 @@ def all_queries() -> dict[str, Query]:
         "op7_nearest_cosine": op7_nearest_cosine,
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash_groups": op9_simhash_groups,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
