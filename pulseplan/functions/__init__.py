@@ -11,6 +11,7 @@ from .arithmetic import (
 )
 from .calendar import (
     as_date,
+    as_moment,
     day_offset,
     default_window,
     floored_days,
@@ -24,6 +25,7 @@ from .calendar import (
 
 __all__ = [
     "as_date",
+    "as_moment",
     "day_offset",
     "default_window",
     "floored_days",

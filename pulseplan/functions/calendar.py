@@ -17,13 +17,37 @@ _PERIOD_ORIGIN = -2
 _MICROS_PER_DAY = 86_400_000_000
 
 
+def as_moment(value: DateLike) -> dt.datetime:
+    """A point in time from an ISO string, a date or a datetime, all of it read."""
+    if isinstance(value, str):
+        value = dt.datetime.fromisoformat(value)
+    elif not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time.min)
+    if value.tzinfo is not None:
+        raise ValueError(f"a bound has no time zone: {value.isoformat()}")
+    return value
+
+
 def as_date(value: DateLike) -> dt.date:
-    """A calendar day from an ISO string, a date or a datetime."""
-    if isinstance(value, dt.datetime):
-        return value.date()
-    if isinstance(value, dt.date):
-        return value
-    return dt.date.fromisoformat(value[:10])
+    """A calendar day; a time of day other than midnight is an error."""
+    moment = as_moment(value)
+    if moment.time() != dt.time.min:
+        raise ValueError(f"not a whole day: {value}")
+    return moment.date()
+
+
+def _bound(value: DateLike, fact: DataFrame) -> tuple[Column, dt.datetime]:
+    """A bound as a literal that reaches the scan, and as a moment.
+
+    A time of day is kept where ``date`` is a timestamp. Where it is a date, such a
+    bound is an error instead of being cut to its day.
+    """
+    moment = as_moment(value)
+    if moment.time() == dt.time.min:
+        return F.lit(moment.date()), moment
+    if has_dates(fact, "date"):
+        raise ValueError(f"column date holds whole days, so {value} is no bound of it")
+    return F.lit(moment.isoformat(" ")).cast("timestamp_ntz"), moment
 
 
 def default_window(as_of: DateLike | None = None) -> tuple[dt.date, dt.date]:
@@ -48,20 +72,22 @@ def within(
         fallback = default_window()
         start = fallback[0] if start is None else start
         end = fallback[1] if end is None else end
-    first, last = as_date(start), as_date(end)
-    rows = fact.filter((F.col("date") >= F.lit(first)) & (F.col("date") < F.lit(last)))
+    (lower, first), (upper, last) = _bound(start, fact), _bound(end, fact)
+    rows = fact.filter((F.col("date") >= lower) & (F.col("date") < upper))
     if MONTH_PARTITION in fact.columns:
         month = F.col(MONTH_PARTITION)
+        # The last month begins before the bound, which may be its first midnight.
+        until_day = (last - dt.timedelta(microseconds=1)).date()
         rows = rows.filter(
-            (month >= F.lit(first.replace(day=1))) & (month < F.lit(last))
+            (month >= F.lit(first.date().replace(day=1))) & (month <= F.lit(until_day))
         )
     return rows
 
 
 def until(fact: DataFrame, as_of: DateLike) -> DataFrame:
-    """Rows with ``date <= as_of``: what was known on that day."""
+    """Rows up to the end of the day ``as_of``: what was known by then."""
     day = as_date(as_of)
-    rows = fact.filter(F.col("date") <= F.lit(day))
+    rows = fact.filter(F.col("date") < F.lit(day + dt.timedelta(days=1)))
     if MONTH_PARTITION in fact.columns:
         rows = rows.filter(F.col(MONTH_PARTITION) <= F.lit(day))
     return rows

@@ -34,7 +34,8 @@ def patient_stages(
 ) -> DataFrame:
     """Per patient, one flag for each stage, and the active days it rests on.
 
-    The stages are independent sets: a patient can be installed, not enrolled.
+    The stages are independent sets: a patient can be installed, not enrolled. They
+    count rows of ``patients``, which holds one row per patient.
     """
     if has_dates(patients, "enrollment_date", "first_data_date"):
         wait = F.datediff("first_data_date", "enrollment_date")
@@ -107,7 +108,13 @@ def get_stage_patients(
     billing_compliance_threshold: int = BILLING_THRESHOLD,
 ) -> DataFrame:
     """(stage, patient_id) of every patient in each stage."""
-    stages = patient_stages(patients, fact_patient_day, billing_compliance_threshold)
+    return stage_members(
+        patient_stages(patients, fact_patient_day, billing_compliance_threshold)
+    )
+
+
+def stage_members(stages: DataFrame) -> DataFrame:
+    """(stage, patient_id) from `patient_stages`."""
     reached = F.array_compact(
         F.array(*[F.when(F.col(key), F.lit(key)) for key, _ in STAGES])
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import as_date, guarded_percent, until, within
+from ..functions import as_date, as_moment, guarded_percent, until, within
 from ..functions.calendar import DateLike
 from ..settings import (
     BILLING_THRESHOLD,
@@ -44,7 +44,7 @@ def rolling_active_days(
     return daily.select(
         "patient_id",
         "date",
-        F.col("active_sum").alias("is_active_day"),
+        F.col("active_sum").cast("bigint").alias("is_active_day"),
         *[
             F.sum("active_sum").over(by_day.rangeBetween(1 - n, 0)).alias(f"active_{n}")
             for n in windows
@@ -173,26 +173,46 @@ def _with_completion_rates(counts: DataFrame) -> DataFrame:
     )
 
 
+def _assigned_within(
+    assignments: DataFrame, start: DateLike | None, end: DateLike | None
+) -> DataFrame:
+    """Rows assigned in ``[start, end)``; a bound that is not given is open."""
+    rows, column = assignments, F.col("assigned_ts")
+    if start is not None:
+        rows = rows.filter(column >= F.lit(as_moment(start).isoformat(" ")).cast("timestamp_ntz"))
+    if end is not None:
+        rows = rows.filter(column < F.lit(as_moment(end).isoformat(" ")).cast("timestamp_ntz"))
+    return rows
+
+
 def assessment_completion(
-    assignments: DataFrame, by: Sequence[str] = ASSESSMENT_DIMENSIONS
+    assignments: DataFrame,
+    by: Sequence[str] = ASSESSMENT_DIMENSIONS,
+    start: DateLike | None = None,
+    end: DateLike | None = None,
 ) -> DataFrame:
     """Assigned, completed and completed by the due date, for each ``by`` group.
 
+    Counts what was assigned in ``[start, end)``; without bounds, everything.
     ``week_start`` is the Monday of the week of assignment. Whether a late
     completion counts is left to the reader: both rates are there.
     """
-    return _with_completion_rates(_completion_counts(assignments, by))
+    rows = _assigned_within(assignments, start, end)
+    return _with_completion_rates(_completion_counts(rows, by))
 
 
 def assessment_completion_sets(
-    assignments: DataFrame, by: Sequence[str] = ASSESSMENT_DIMENSIONS
+    assignments: DataFrame,
+    by: Sequence[str] = ASSESSMENT_DIMENSIONS,
+    start: DateLike | None = None,
+    end: DateLike | None = None,
 ) -> DataFrame:
     """The same, once per single dimension: ``dimension`` names the one a row is for.
 
     The assignments are counted down to one row per combination first; only
     those rows are expanded into the grouping sets.
     """
-    cells = _completion_counts(assignments, by)
+    cells = _completion_counts(_assigned_within(assignments, start, end), by)
     grouped = cells.groupingSets(
         [[F.col(c)] for c in by], *[F.col(c) for c in by]
     ).agg(

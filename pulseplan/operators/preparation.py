@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..settings import MIN_BACKGROUND_MINUTES, MIN_STEPS
-from ..sources.schema import DATE_COLUMNS, ISO_TEXT, TABLE_SCHEMAS
+from ..sources.schema import (
+    DATE_COLUMNS,
+    DECLARED_DATES,
+    ISO,
+    ISO_TEXT,
+    TABLE_SCHEMAS,
+)
+
+__all__ = ["DATE_COLUMNS", "DECLARED_DATES", "coerce_dates", "enrich_clinics", "parsed_date", "with_active_day"]
 
 # --- fixed values: names and regions of the clinics ---
 CLINIC_NAMES = {
@@ -50,15 +58,27 @@ def enrich_clinics(
     )
 
 
-def parsed_date(table: str, column: str, fmt: str) -> Column:
-    """The text column as a date or timestamp; NULL where it does not parse."""
-    is_date = table in TABLE_SCHEMAS and isinstance(
-        TABLE_SCHEMAS[table][column].dataType, T.DateType
-    )
+def _is_date(table: str, column: str) -> bool:
+    schema = TABLE_SCHEMAS.get(table)
+    fields = {f.name: f.dataType for f in schema.fields} if schema else {}
+    return isinstance(fields.get(column), T.DateType)
+
+
+def parsed_date(table: str, column: str, fmt: str = ISO) -> Column:
+    """The text column as a date or timestamp; NULL where it does not parse.
+
+    `ISO` reads any usual ISO form: a day, or a day and a time of day after a blank or
+    a T. A date column takes the day of either; a timestamp column reads a bare day as
+    its midnight, as such columns are written when all their times are midnight. Any
+    other format is a pattern. A column outside the known schemas is a timestamp.
+    """
+    is_date = _is_date(table, column)
     text = F.col(column)
-    if fmt in ISO_TEXT:
-        value = text.try_cast("date" if is_date else "timestamp_ntz")
-        return F.when(text.rlike(ISO_TEXT[fmt]), value)
+    if fmt == ISO:
+        value = text.try_cast("timestamp_ntz")
+        if is_date:
+            value = F.coalesce(text.try_cast("date"), value.cast("date"))
+        return F.when(text.rlike(ISO_TEXT), value)
     if is_date:
         return F.try_to_date(text, fmt)
     # Read as UTC and counted from the epoch, so that a wall-clock time which the
@@ -70,12 +90,14 @@ def parsed_date(table: str, column: str, fmt: str) -> Column:
 
 def coerce_dates(
     tables: Mapping[str, DataFrame],
-    columns: Mapping[str, Mapping[str, str]] = DATE_COLUMNS,
+    columns: Mapping[str, Mapping[str, str]] = DECLARED_DATES,
 ) -> dict[str, DataFrame]:
     """Turn the text date columns of each table into dates and timestamps.
 
-    Each column has one declared format; a value in any other form is NULL.
-    Columns that are typed already are left alone.
+    ``columns``: table -> column -> `ISO` or a pattern; by default every column that
+    the schemas declare as a date or timestamp, in ISO form. A value in another form is
+    NULL; the `prepare` job
+    refuses columns of which nothing could be read. Columns that are typed already are left alone.
     """
     typed = dict(tables)
     for name, formats in columns.items():
@@ -91,14 +113,17 @@ def coerce_dates(
     return typed
 
 
+def _enough(column: str, least: float) -> Column:
+    """Whether a measure reaches ``least``; a missing one (NULL or NaN) is zero."""
+    value = F.col(column).cast("double")
+    return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(0.0)) >= F.lit(least)
+
+
 def with_active_day(
     df: DataFrame,
     min_minutes: float = MIN_BACKGROUND_MINUTES,
     min_steps: float = MIN_STEPS,
 ) -> DataFrame:
     """Add is_active_day: 1 for enough background minutes or enough steps, else 0."""
-    active = F.expr(
-        f"coalesce(background_data_minutes, 0) >= {min_minutes} "
-        f"OR coalesce(steps_count, 0) >= {min_steps}"
-    )
+    active = _enough("background_data_minutes", min_minutes) | _enough("steps_count", min_steps)
     return df.withColumn("is_active_day", active.cast("int"))

@@ -22,7 +22,6 @@ from ..sources import (
     TABLE_SCHEMAS,
     load_tables,
     shared_folder,
-    stored,
     write_tables,
 )
 from .report import ReportOptions, report_metrics
@@ -33,6 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # The derived events span January 2024.
 START, END, AS_OF = "2024-01-01", "2024-01-31", "2024-01-30"
+# The derived assignments span the years 1992 to 1998.
+TASKS_START, TASKS_END = "1995-01-01", "1995-04-01 12:00:00"
 # Seven days hold at most seven active days, so the weekly query asks for four.
 WEEKLY_THRESHOLD = 4
 STRICT_FALL_RISK = 75
@@ -84,15 +85,7 @@ def _enrollments(t: Tables) -> DataFrame:
 
 
 def _report(t: Tables) -> DataFrame:
-    """The report reads the fact five times: it is derived once and stored."""
-    columns = ["patient_id", "date", "clinic_id", "is_active_day", "fall_risk_score"]
-    fact = stored(t["fact_patient_day"].select(*columns), "report")
-    tables = {
-        "patients": t["patients"],
-        "clinics": t["clinics"],
-        "fact_patient_day": fact,
-    }
-    return _rounded(report_metrics(tables, report_options()), "value")
+    return _rounded(report_metrics(t, report_options()), "value")
 
 
 # Query name -> result from the cleaned tables.
@@ -174,8 +167,7 @@ _METRICS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     # The derived fact is grouped by patient and day.
     "rolling_active_days": lambda t: kpis.rolling_active_days(
-        t["fact_patient_day"].withColumn("is_active_day", F.col("is_active_day").cast("bigint")),
-        one_row_per_day=True,
+        t["fact_patient_day"], one_row_per_day=True
     ),
     "active_days_snapshot": lambda t: kpis.active_days_snapshot(
         t["fact_patient_day"], t["patients"], AS_OF
@@ -189,6 +181,9 @@ _METRICS: dict[str, Callable[[Tables], DataFrame]] = {
     "assessment_completion": lambda t: kpis.assessment_completion(
         t["assessment_assignments"]
     ),
+    "assessment_completion_window": lambda t: kpis.assessment_completion(
+        t["assessment_assignments"], start=TASKS_START, end=TASKS_END
+    ),
     "assessment_completion_sets": lambda t: kpis.assessment_completion_sets(
         t["assessment_assignments"]
     ),
@@ -230,6 +225,15 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.coerce_dates(load_tables(spark, folder, schemas=schemas))["patients"]
 
 
+def _csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their line breaks, quotes and blanks, as CSV and read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    folder = shared_folder(spark, "csv-texts")
+    write_tables({"documents": docs}, folder, fmt="csv")
+    schemas = {"documents": docs.schema}
+    return load_tables(spark, folder, schemas=schemas, multiline=True)["documents"]
+
+
 def _on(build: Callable[[Tables], DataFrame], derive: Callable) -> Query:
     return lambda spark, sf_dir: build(derive(spark, sf_dir))
 
@@ -238,4 +242,5 @@ def all_queries() -> dict[str, Query]:
     named = {name: _on(build, derive_tables) for name, build in _METRICS.items()}
     named |= {name: _on(build, derive_raw_tables) for name, build in _CLEANING.items()}
     named["csv_roundtrip"] = _csv_roundtrip
+    named["csv_texts"] = _csv_texts
     return named

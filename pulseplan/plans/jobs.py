@@ -12,31 +12,88 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulseplan import settings
+from pulseplan.functions import half_even
 from pulseplan.operators import (
-    active_days,
     charts,
     funnel,
-    overall,
     preparation,
     quality,
     retention,
     trends,
 )
-from pulseplan.plans.report import ReportOptions, report_metrics
-from pulseplan.sources import load_tables, write_tables
+from pulseplan.plans.report import (
+    ReportOptions,
+    billable_ids,
+    distribution,
+    high_risk_ids,
+    report_metrics,
+    shared_results,
+)
+from pulseplan.sources import load_tables, stored, write_tables
+
+def _read(
+    spark: SparkSession, data_dir: str, fmt: str, multiline: bool = False
+) -> dict[str, DataFrame]:
+    return preparation.coerce_dates(load_tables(spark, data_dir, fmt, multiline=multiline))
 
-# The columns of the fact table that the report reads.
-_FACT_COLUMNS = ["patient_id", "date", "clinic_id", "is_active_day", "fall_risk_score"]
 
+# Counts over one table, taken while it is written.
+_Counts = dict[str, dict]
 
-def _read(spark: SparkSession, data_dir: str, fmt: str) -> dict[str, DataFrame]:
-    return preparation.coerce_dates(load_tables(spark, data_dir, fmt))
+
+def _observed(
+    name: str, raw: DataFrame, clean: DataFrame, formats: Mapping[str, str]
+) -> tuple[DataFrame, Observation]:
+    """``clean``, counting its rows, date texts and NULLs as it is written."""
+    seen = Observation(name)
+    texts = [c for c in formats if c in raw.columns]
+    counts = [F.count(F.lit(1)).alias("rows")]
+    for c in texts:
+        counts += [F.count(f"_text_{c}").alias(f"{c}_set"), F.count(c).alias(f"{c}_ok")]
+    if name == "fact_patient_day" and "date" in clean.columns:
+        counts += [F.min("date").alias("min_date"), F.max("date").alias("max_date")]
+    return clean.observe(seen, *counts).drop(*[f"_text_{c}" for c in texts]), seen
+
+
+def _quality(
+    spark: SparkSession, counts: _Counts, columns: Mapping[str, int], formats: Mapping
+) -> dict[str, DataFrame]:
+    """The quality tables, a few rows each, from the counts of the write."""
+    dates = [
+        (t, c, counts[t]["rows"], counts[t][f"{c}_set"], counts[t][f"{c}_ok"])
+        for t in counts
+        for c in formats.get(t, {})
+        if f"{c}_set" in counts[t]
+    ]
+    profile = [(t, counts[t]["rows"], n) for t, n in columns.items()]
+    found = spark.createDataFrame(
+        dates, "table_name string, column_name string, row_count long, non_null long, parseable long"
+    )
+    share = "(row_count - parseable) / if(row_count = 0, NULL, row_count) * 100"
+    checks = {
+        "table_profile": spark.createDataFrame(
+            profile, "table_name string, row_count long, column_count int"
+        ),
+        "date_conformance": found.withColumn("unparseable", F.expr("non_null - parseable")),
+        "null_rates": found.select(
+            "column_name", half_even(share, 2).alias("null_pct"), "table_name"
+        ),
+    }
+    fact = counts.get("fact_patient_day", {})
+    if "min_date" in fact:
+        days = spark.createDataFrame(
+            [(fact["min_date"], fact["max_date"])], "min_date date, max_date date"
+        )
+        checks["date_range"] = days.withColumn(
+            "day_difference", F.datediff("min_date", "max_date")
+        )
+    return checks
 
 
 def prepare(
@@ -45,82 +102,83 @@ def prepare(
     clean_dir: str,
     quality_dir: str,
     fmt: str = "parquet",
+    formats: Mapping[str, Mapping[str, str]] | None = None,
+    multiline: bool = False,
 ) -> None:
     """Clean the CSV tables of ``raw_dir`` into ``clean_dir`` and check them.
 
-    The checks read the written tables, so the raw text is parsed only once
-    more, for the counts of unreadable dates.
+    ``formats``: table -> column -> pattern, for dates in another form than ISO. The raw
+    text is read once: what the checks count is counted while the tables are written.
+    A date column that has values, none of them readable, is an error.
     """
-    raw = load_tables(spark, raw_dir)
-    clean = preparation.coerce_dates(raw)
+    given = formats or {}
+    declared = {
+        t: {**preparation.DECLARED_DATES.get(t, {}), **given.get(t, {})}
+        for t in {*preparation.DECLARED_DATES, *given}
+    }
+    raw = load_tables(spark, raw_dir, multiline=multiline)
+    texts = {
+        t: table.withColumns(
+            {f"_text_{c}": F.col(c) for c in declared.get(t, {}) if c in table.columns}
+        )
+        for t, table in raw.items()
+    }
+    clean = preparation.coerce_dates(texts, declared)
     if "clinics" in clean:
         clean["clinics"] = preparation.enrich_clinics(clean["clinics"])
     fact = clean.get("fact_patient_day")
     if fact is not None and "is_active_day" not in fact.columns:
         clean["fact_patient_day"] = preparation.with_active_day(fact)
-    write_tables(clean, clean_dir, fmt)
+    watched = {t: _observed(t, raw[t], clean[t], declared.get(t, {})) for t in clean}
+    tables = {t: table for t, (table, _) in watched.items()}
+    write_tables(tables, clean_dir, fmt)
 
-    stored = _read(spark, clean_dir, fmt)
-    checks = {
-        "table_profile": quality.table_profile(stored),
-        "date_conformance": quality.date_conformance(raw),
+    counts = {t: seen.get for t, (_, seen) in watched.items()}
+    # A stored fact has its month beside its own columns.
+    columns = {
+        t: len(table.columns) + (t == "fact_patient_day" and fmt == "parquet")
+        for t, table in tables.items()
     }
-    rates = [
-        quality.null_rates(stored[name], list(columns)).withColumn(
-            "table_name", F.lit(name)
-        )
-        for name, columns in preparation.DATE_COLUMNS.items()
-        if name in stored
+    unread = [
+        f"{t}.{c}"
+        for t, some in declared.items()
+        for c in some
+        if t in counts and counts[t].get(f"{c}_set") and not counts[t][f"{c}_ok"]
     ]
-    if rates:
-        checks["null_rates"] = reduce(DataFrame.unionByName, rates)
-    if "fact_patient_day" in stored:
-        checks["date_range"] = quality.date_range(stored["fact_patient_day"])
-    if "patients" in stored and "clinics" in stored:
-        checks["orphan_patients"] = quality.orphan_patients(
-            stored["patients"], stored["clinics"]
-        )
+    if unread:
+        raise ValueError(f"no date could be read in {', '.join(sorted(unread))}: give a format")
+    checks = _quality(spark, counts, columns, preparation.DATE_COLUMNS)
+    if "patients" in clean and "clinics" in clean:
+        kept = load_tables(spark, clean_dir, fmt)
+        checks["orphan_patients"] = quality.orphan_patients(kept["patients"], kept["clinics"])
     write_tables(checks, quality_dir, fmt)
 
 
 def report_tables(
-    tables: Mapping[str, DataFrame], options: ReportOptions
+    tables: Mapping[str, DataFrame],
+    options: ReportOptions,
+    shared: Mapping[str, DataFrame],
 ) -> dict[str, DataFrame]:
-    """The long table of all figures, and the tables and id lists behind them."""
-    patients, fact = tables["patients"], tables["fact_patient_day"]
-    users = trends.get_active_users_biweekly(
-        fact, options.active_threshold, options.weeks
-    )
+    """The long table of all figures, and the tables and id lists behind them.
+
+    Everything comes from ``shared`` and the small tables; none reads the fact table.
+    """
+    patients, stages = tables["patients"], shared["stages"]
     enrollments = trends.get_enrollments_biweekly(patients, options.weeks)
-    distribution = active_days.get_patient_active_distribution(
-        fact, options.start, options.end
-    )
-    curve = active_days.get_active_rate_by_day_since_enrollment(patients, fact)
+    seen = distribution(shared["roll_up"])
+    curve = shared["curve"].orderBy("day_since_enrollment")
     return {
-        "report_metrics": report_metrics(tables, options),
-        "billable_patient_ids": overall.get_billable_patient_ids(
-            fact, options.billing_start, options.billing_end, options.billing_threshold
-        ),
-        "high_fall_risk_ids": overall.get_high_fall_risk_patient_ids(
-            fact,
-            options.analysis_date,
-            options.lookback_days,
-            options.fall_risk_threshold,
-        ),
-        "active_users": trends.calculate_period_changes(users, "active_users"),
+        "report_metrics": report_metrics(tables, options, shared),
+        "billable_patient_ids": billable_ids(shared["roll_up"], options),
+        "high_fall_risk_ids": high_risk_ids(shared["roll_up"]),
+        "active_users": trends.calculate_period_changes(shared["users"], "active_users"),
         "enrollments": trends.calculate_period_changes(enrollments, "new_patients"),
-        "active_rate_by_clinic": active_days.get_active_rate_by_clinic(
-            fact, tables["clinics"], options.start, options.end
-        ),
-        "active_day_distribution": distribution,
-        "active_days_histogram": charts.active_days_histogram(distribution),
+        "active_rate_by_clinic": shared["by_clinic"].orderBy(F.desc("active_rate"), "clinic_id"),
+        "active_day_distribution": seen,
+        "active_days_histogram": charts.active_days_histogram(seen),
         "enrollment_curve": charts.enrollment_curve_chart(curve),
-        "patient_funnel": funnel.get_patient_funnel(
-            patients, fact, options.billing_threshold
-        ),
-        "stage_patients": funnel.get_stage_patients(
-            patients, fact, options.billing_threshold
-        ),
+        "patient_funnel": funnel.funnel_rows(stages.agg(*funnel.stage_counts())),
+        "stage_patients": funnel.stage_members(stages),
     }
 
 
@@ -133,17 +191,12 @@ def report(
 ) -> None:
     """Write every table of the report.
 
-    All of them read the fact table, so its needed columns are kept in memory
-    and on local disk while the job runs. A lost executor costs a recomputation
-    of its part from the stored table, nothing else.
+    The fact table is read five times and joined with the patients twice, for the
+    results that all others are derived from; those are stored in the shared folder.
     """
     tables = _read(spark, clean_dir, fmt)
-    fact = tables["fact_patient_day"].select(*_FACT_COLUMNS).persist()
-    try:
-        results = report_tables({**tables, "fact_patient_day": fact}, options)
-        write_tables(results, out_dir, fmt)
-    finally:
-        fact.unpersist()
+    shared = {k: stored(v, f"report-{k}") for k, v in shared_results(tables, options).items()}
+    write_tables(report_tables(tables, options, shared), out_dir, fmt)
 
 
 def dropoff(
@@ -172,6 +225,20 @@ def dropoff(
     )
 
 
+# Options of a report beside its day: name -> type.
+_REPORT_OPTIONS = {
+    "billing_start": str,
+    "billing_end": str,
+    "start": str,
+    "end": str,
+    "billing_threshold": int,
+    "active_threshold": int,
+    "weeks": int,
+    "fall_risk_threshold": float,
+    "lookback_days": int,
+}
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="pulseplan", description=__doc__.split("\n")[0])
     parser.add_argument("--format", choices=("parquet", "csv"), default="parquet")
@@ -179,10 +246,14 @@ def main(argv: Sequence[str] | None = None) -> None:
     job = jobs.add_parser("prepare")
     for folder in ("raw_dir", "clean_dir", "quality_dir"):
         job.add_argument(folder)
+    job.add_argument("--date-format", action="append", default=[], metavar="TABLE.COLUMN=PATTERN")
+    job.add_argument("--multiline", action="store_true", help="fields may hold line breaks")
     job = jobs.add_parser("report")
     for folder in ("clean_dir", "out_dir"):
         job.add_argument(folder)
     job.add_argument("--as-of", default=settings.ANALYSIS_DATE)
+    for name, kind in _REPORT_OPTIONS.items():
+        job.add_argument(f"--{name.replace('_', '-')}", type=kind)
     job = jobs.add_parser("dropoff")
     for folder in ("clean_dir", "out_dir"):
         job.add_argument(folder)
@@ -190,9 +261,16 @@ def main(argv: Sequence[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName(f"pulseplan {args.job}").getOrCreate()
     if args.job == "prepare":
-        prepare(spark, args.raw_dir, args.clean_dir, args.quality_dir, args.format)
+        formats: dict[str, dict[str, str]] = {}
+        for text in args.date_format:
+            column, _, pattern = text.partition("=")
+            table, _, column = column.partition(".")
+            formats.setdefault(table, {})[column] = pattern
+        folders = (args.raw_dir, args.clean_dir, args.quality_dir)
+        prepare(spark, *folders, args.format, formats, args.multiline)
     elif args.job == "report":
-        options = ReportOptions.for_day(args.as_of)
+        given = {n: getattr(args, n) for n in _REPORT_OPTIONS if getattr(args, n) is not None}
+        options = replace(ReportOptions.for_day(args.as_of), **given)
         report(spark, args.clean_dir, args.out_dir, options, args.format)
     else:
         dropoff(spark, args.clean_dir, args.out_dir, args.format)

@@ -7,6 +7,13 @@ nothing with the DataFrame code.
 
 from __future__ import annotations
 
+# --- fixed values: the texts that stand for a missing value in a CSV field ---
+_NA = (
+    "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
+    "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
+)
+# --- end of fixed values ---
+
 _TABLES = """
 WITH clinics AS (
   SELECT 'C' || lpad(CAST(n_nationkey + 1 AS varchar), 3, '0') AS clinic_id,
@@ -174,7 +181,7 @@ _STEPS: dict[str, str] = {
         AND datediff('day', p.first_data_date, f.date) BETWEEN 0 AND 29
       GROUP BY p.patient_id""",
     "tasks": """
-      SELECT CAST(date_trunc('week', assigned_ts) AS date) AS week_start, clinic_id,
+      SELECT assigned_ts, CAST(date_trunc('week', assigned_ts) AS date) AS week_start, clinic_id,
              assessment_type, status = 'completed' AS done,
              status = 'completed' AND CAST(completed_ts AS date) <= due_date AS in_time
       FROM assignments""",
@@ -510,6 +517,11 @@ FROM (SELECT p.patient_id, l.last_active_date FROM patients p LEFT JOIN (
         "assessment_completion": _sql("tasks", f"""
 SELECT week_start, clinic_id, assessment_type, {task_counts}
 FROM tasks GROUP BY week_start, clinic_id, assessment_type"""),
+        "assessment_completion_window": _sql("tasks", f"""
+SELECT week_start, clinic_id, assessment_type, {task_counts}
+FROM tasks
+WHERE assigned_ts >= TIMESTAMP '1995-01-01' AND assigned_ts < TIMESTAMP '1995-04-01 12:00:00'
+GROUP BY week_start, clinic_id, assessment_type"""),
         "assessment_completion_sets": _sql("tasks", f"""
 SELECT CASE WHEN grouping(week_start) = 0 THEN 'week_start'
             WHEN grouping(clinic_id) = 0 THEN 'clinic_id'
@@ -558,4 +570,8 @@ SELECT alert_id, {_clean('alert_id', 'created_ts', 'timestamp')},
        {_clean('alert_id', 'ack_ts', 'timestamp')}
 FROM alerts"""),
         "csv_roundtrip": _sql("", "SELECT * FROM patients"),
+        "csv_texts": f"""
+SELECT doc_id, CASE WHEN text NOT IN ({_NA}) THEN text END AS text,
+       CASE WHEN source NOT IN ({_NA}) THEN source END AS source
+FROM documents""",
     }

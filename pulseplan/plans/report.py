@@ -67,11 +67,11 @@ def _between(start: dt.date, end: dt.date) -> Column:
     return (F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end))
 
 
-def patient_overview(fact: DataFrame, options: ReportOptions) -> DataFrame:
-    """One row with the billable, active, fall-risk and active-day figures.
+def patient_roll_up(fact: DataFrame, options: ReportOptions) -> DataFrame:
+    """One row per patient seen in any of the windows, with what each window counts.
 
-    Billing window, activity window and lookback are conditions inside one
-    roll-up per patient, so the three read and shuffle the fact table once.
+    Billing window, activity window and lookback are conditions inside one roll-up, so
+    the three read and shuffle the fact table once.
     """
     billing = (as_date(options.billing_start), as_date(options.billing_end))
     window = (as_date(options.start), as_date(options.end))
@@ -83,17 +83,36 @@ def patient_overview(fact: DataFrame, options: ReportOptions) -> DataFrame:
     spans = (billing, window, lookback)
     rows = within(fact, min(s for s, _ in spans), max(e for _, e in spans))
     billed, seen, recent = (_between(*span) for span in spans)
-    per_patient = rows.groupBy("patient_id").agg(
+    return rows.groupBy("patient_id").agg(
         F.count_if(billed).alias("billing_rows"),
         F.count_if(billed & is_active()).alias("billing_days"),
         F.count_if(seen).alias("rows"),
         F.count_if(seen & is_active()).alias("days"),
         F.sum(F.when(seen, F.col("is_active_day"))).alias("flags"),
-        F.count_if(recent).alias("recent_rows"),
         F.count_if(recent & overall.at_risk(options.fall_risk_threshold)).alias(
             "high_scores"
         ),
     )
+
+
+def billable_ids(roll_up: DataFrame, options: ReportOptions) -> DataFrame:
+    enough = F.col("billing_days") >= max(options.billing_threshold, 1)
+    return roll_up.filter(F.col("patient_id").isNotNull() & enough).select("patient_id")
+
+
+def high_risk_ids(roll_up: DataFrame) -> DataFrame:
+    high = F.col("patient_id").isNotNull() & (F.col("high_scores") > 0)
+    return roll_up.filter(high).select("patient_id")
+
+
+def distribution(roll_up: DataFrame) -> DataFrame:
+    """(patient_id, active_days) of every patient seen in the activity window."""
+    seen = F.col("patient_id").isNotNull() & (F.col("rows") > 0)
+    return roll_up.filter(seen).select("patient_id", F.col("days").alias("active_days"))
+
+
+def patient_overview(per_patient: DataFrame, options: ReportOptions) -> DataFrame:
+    """One row with the billable, active, fall-risk and active-day figures."""
     known = F.col("patient_id").isNotNull()
     days = F.when(known & (F.col("rows") > 0), F.col("days"))
     enough = F.col("billing_days") >= max(options.billing_threshold, 1)
@@ -112,10 +131,10 @@ def patient_overview(fact: DataFrame, options: ReportOptions) -> DataFrame:
 
 
 def _overview(
-    patients: DataFrame, fact: DataFrame, options: ReportOptions
+    patients: DataFrame, roll_up: DataFrame, options: ReportOptions
 ) -> DataFrame:
     row = (
-        patient_overview(fact, options)
+        patient_overview(roll_up, options)
         .withColumn("patient_count", overall.get_patient_count(patients).scalar())
         .withColumns(
             {
@@ -176,14 +195,14 @@ def _curve(curve: DataFrame) -> DataFrame:
     return _long(summary, _cells("curve", _same(*summary.columns)))
 
 
-def _first_month(patients: DataFrame, fact: DataFrame, threshold: int) -> DataFrame:
+def _first_month(stages: DataFrame) -> DataFrame:
     """Funnel, retention milestones and largest drop-offs.
 
-    Both rest on the active days of each patient's first month: one join and one
-    aggregation give a single row, and all figures are laid out from it.
+    Both rest on the active days of each patient's first month: one aggregation gives a
+    single row, and all figures are laid out from it.
     """
     enrolled_days = f"CASE WHEN enrolled THEN {FIRST_MONTH_COLUMN} END"
-    counts = funnel.patient_stages(patients, fact, threshold).agg(
+    counts = stages.agg(
         *funnel.stage_counts(),
         *retention.retention_counts(enrolled_days),
         F.expr(f"avg({enrolled_days}) AS mean_active_days"),
@@ -224,29 +243,48 @@ def _first_month(patients: DataFrame, fact: DataFrame, threshold: int) -> DataFr
     )
 
 
-def report_metrics(
+def shared_results(
     tables: Mapping[str, DataFrame], options: ReportOptions
+) -> dict[str, DataFrame]:
+    """The five results that everything in the report is derived from.
+
+    Each reads the fact table once, two of them join it with the patients. All are small
+    against the fact: a row per patient, period, clinic or day.
+    """
+    patients, fact = tables["patients"], tables["fact_patient_day"]
+    return {
+        "roll_up": patient_roll_up(fact, options),
+        "users": trends.get_active_users_biweekly(
+            fact, options.active_threshold, options.weeks
+        ),
+        "by_clinic": active_days.get_active_rate_by_clinic(
+            fact, tables["clinics"], options.start, options.end
+        ),
+        "curve": active_days.get_active_rate_by_day_since_enrollment(patients, fact),
+        "stages": funnel.patient_stages(patients, fact, options.billing_threshold),
+    }
+
+
+def report_metrics(
+    tables: Mapping[str, DataFrame],
+    options: ReportOptions,
+    shared: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """(section, metric, value) of everything the report shows.
 
-    Five passes over the fact table; persist it first if it is costly to read.
+    ``shared``: the `shared_results`, if they are stored already; otherwise they are
+    part of the plan, with five passes over the fact table.
     """
-    patients, fact = tables["patients"], tables["fact_patient_day"]
-    users = trends.get_active_users_biweekly(
-        fact, options.active_threshold, options.weeks
-    )
+    shared = shared or shared_results(tables, options)
+    patients = tables["patients"]
     parts = [
-        _overview(patients, fact, options),
-        _trend(users, "active_users"),
+        _overview(patients, shared["roll_up"], options),
+        _trend(shared["users"], "active_users"),
         _trend(
             trends.get_enrollments_biweekly(patients, options.weeks), "new_patients"
         ),
-        _clinics(
-            active_days.get_active_rate_by_clinic(
-                fact, tables["clinics"], options.start, options.end
-            )
-        ),
-        _curve(active_days.get_active_rate_by_day_since_enrollment(patients, fact)),
-        _first_month(patients, fact, options.billing_threshold),
+        _clinics(shared["by_clinic"]),
+        _curve(shared["curve"]),
+        _first_month(shared["stages"]),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -35,9 +35,14 @@ NA_TOKENS = (
 )
 # --- end of fixed values ---
 
-# Quotes inside a field are doubled. Records stay on one line, so that Spark can
-# split a large file between tasks.
-_CSV = {"header": True, "quote": '"', "escape": '"'}
+# Quotes inside a field are doubled, and blanks around a field belong to it.
+_CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def list_tables(spark: SparkSession, data_dir: str, suffix: str) -> dict[str, str]:
@@ -73,9 +78,17 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return text.alias(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
-    """One CSV table: columns of ``schema`` typed, any other column as text."""
-    rows = spark.read.options(**_CSV).csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None, multiline: bool = False
+) -> DataFrame:
+    """One CSV table: columns of ``schema`` typed, any other column as text.
+
+    Without ``multiline`` a record is a line, so that Spark can split a large file
+    between tasks; a record with a line break in a field then fails the read instead of
+    coming back in pieces. With it, fields may hold line breaks and a file is one task.
+    """
+    options = {**_CSV, "mode": "FAILFAST", "multiLine": multiline}
+    rows = spark.read.options(**options).csv(path)
     kinds = {f.name: f.dataType for f in schema.fields} if schema else {}
     return rows.select(*[_typed(c, kinds.get(c, T.StringType())) for c in rows.columns])
 
@@ -85,15 +98,18 @@ def load_tables(
     data_dir: str,
     fmt: str = "csv",
     schemas: Mapping[str, T.StructType] = TABLE_SCHEMAS,
+    multiline: bool = False,
 ) -> dict[str, DataFrame]:
     """Every table in ``data_dir``, keyed by file stem.
 
+    ``multiline``: CSV fields may hold line breaks (see `read_csv`).
+
     From CSV, date columns are still text: `operators.preparation.coerce_dates`
     turns them into dates. Parquet keeps its own types.
     """
     found = list_tables(spark, data_dir, f".{fmt}")
     if fmt == "csv":
-        return {t: read_csv(spark, p, schemas.get(t)) for t, p in found.items()}
+        return {t: read_csv(spark, p, schemas.get(t), multiline) for t, p in found.items()}
     return {t: spark.read.format(fmt).load(p) for t, p in found.items()}
 
 
@@ -110,6 +126,22 @@ def _as_text(df: DataFrame) -> DataFrame:
     )
 
 
+def _resolved(spark: SparkSession, path: str) -> str:
+    """The full path, as Hadoop's file system names it."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(given).toString().rstrip("/")
+
+
+def _refuse_inputs(table: DataFrame, path: str) -> None:
+    """An error if writing to ``path`` would replace files that ``table`` reads."""
+    target = _resolved(table.sparkSession, path)
+    for name in table.inputFiles():
+        source = _resolved(table.sparkSession, name)
+        if source == target or source.startswith(f"{target}/"):
+            raise ValueError(f"{target} is read by the table that would replace it")
+
+
 def write_tables(
     tables: Mapping[str, DataFrame],
     out_dir: str,
@@ -118,12 +150,17 @@ def write_tables(
 ) -> None:
     """Write each table to ``out_dir/<name>.<fmt>``, replacing what is there.
 
+    Refuses to replace files that any of the tables reads, before it writes anything.
     Parquet output partitions ``fact_patient_day`` by month, so that date
     windows read only their months. The rebalance hint lets adaptive execution
     split a month that holds most of the rows and merge the small ones.
     """
+    paths = {name: f"{out_dir.rstrip('/')}/{name}.{fmt}" for name in tables}
+    for table in tables.values():
+        for path in paths.values():
+            _refuse_inputs(table, path)
     for name, table in tables.items():
-        path = f"{out_dir.rstrip('/')}/{name}.{fmt}"
+        path = paths[name]
         if fmt == "csv":
             _as_text(table).write.mode("overwrite").options(**_CSV).csv(path)
         elif fact_by_month and name == "fact_patient_day":

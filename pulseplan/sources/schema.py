@@ -53,28 +53,30 @@ TABLE_SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
-DATE_FORMAT = "yyyy-MM-dd"
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+# The form of date columns unless a pattern is given: a day, with a time of day or not.
+ISO = "ISO"
+# What such a text looks like. Checking the look and casting is about twice as fast as
+# parsing with a pattern, and refuses what a cast alone would take for a date.
+ISO_TEXT = (
+    "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    "([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?)?$"
+)
 
-# What the texts of these two formats look like. Checking the look and casting is
-# about twice as fast as parsing with a pattern.
-ISO_TEXT = {
-    DATE_FORMAT: "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
-    TIMESTAMP_FORMAT: "^[0-9]{4}-[0-9]{2}-[0-9]{2} "
-    "[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?$",
+# Every column that a schema declares as a date or timestamp.
+DECLARED_DATES: dict[str, dict[str, str]] = {
+    table: {
+        f.name: ISO
+        for f in schema.fields
+        if isinstance(f.dataType, T.DateType | T.TimestampNTZType)
+    }
+    for table, schema in TABLE_SCHEMAS.items()
 }
+DECLARED_DATES = {table: columns for table, columns in DECLARED_DATES.items() if columns}
 
-# Columns that arrive as text and are turned into dates: table -> column -> format.
+# The columns whose readability is reported: table -> column -> format.
 DATE_COLUMNS: dict[str, dict[str, str]] = {
-    "patients": {
-        "enrollment_date": DATE_FORMAT,
-        "install_date": DATE_FORMAT,
-        "first_data_date": DATE_FORMAT,
-    },
-    "fact_patient_day": {"date": DATE_FORMAT},
-    "assessment_assignments": {
-        "assigned_ts": TIMESTAMP_FORMAT,
-        "completed_ts": TIMESTAMP_FORMAT,
-    },
-    "alerts": {"created_ts": TIMESTAMP_FORMAT, "ack_ts": TIMESTAMP_FORMAT},
+    "patients": {"enrollment_date": ISO, "install_date": ISO, "first_data_date": ISO},
+    "fact_patient_day": {"date": ISO},
+    "assessment_assignments": {"assigned_ts": ISO, "completed_ts": ISO},
+    "alerts": {"created_ts": ISO, "ack_ts": ISO},
 }

@@ -4,7 +4,6 @@ import pytest
 from conftest import TESTDATA, rows
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from pulseplan import (
     active_day_statistics,
     alert_ack,
@@ -26,7 +25,7 @@ from pulseplan.plans import catalog
 from pulseplan.plans.star_schema import derive_tables
 
 SF = str(TESTDATA / "sf0.001")
-QUERIES = entry_points.queries()
+QUERIES = catalog.all_queries()
 
 
 def plan(df):
