@@ -7,10 +7,12 @@ that earlier line stays itself. Lines without words always stay.
 1. Words are counted over all lines, in ``BUCKETS`` counters; a word's key begins with
    its counter's size class, so keys in ascending order go from rare to frequent words.
 2. Equal sets become one: the first line that holds the set. All later ones go.
-3. Sets with similarity t share a word among the first n - ceil(t n) + 1 of their keys
-   (prefix filter). Pairs that share one must also fit in size (length filter) and have
-   enough words left behind the shared one to reach the overlap (positional filter).
-4. What is left is verified on the words themselves.
+3. Sets with similarity t share a word among the first n - ceil(t n) + 1 keys of the
+   larger and the first n - ceil(2 t n / (1 + t)) + 1 of the other (prefix filter). Pairs
+   that share one must also fit in size (length filter), have enough words left behind
+   the shared one to reach the overlap (positional filter), and differ in few bits of
+   their sketches: in each of 64 bits, whether an odd number of words falls there.
+4. What is left is verified on all words, by their 64-bit hashes.
 
 Near copies of one line would make a square of pairs. So each set first meets only the
 earliest set under its last prefix keys, a pair per key at most; sets that go by this
@@ -33,12 +35,12 @@ from pyspark.sql import functions as F
 from ..sources import stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 # Similarity as a fraction: overlap >= NUM / (NUM + DEN) of both sizes together.
 NUM, DEN = 4, 5
 # Last keys of the prefix under which a set meets the earliest one.
 FIRST_LOOK = 3
-FILTER_BYTES = 1 << 18
+FILTER_BYTES = 1 << 17
 _CLASS_BITS = 7
 _HASH_BITS = 63 - _CLASS_BITS
 
@@ -74,15 +76,26 @@ def _byte(table: bytes, at: Column) -> Column:
     return F.ascii(one.cast("string"))
 
 
+def _as_table(values: DataFrame, size: int) -> bytes:
+    """A fixed table from rows (id, value), each value below 128: size / 256 rows come here."""
+    row, column = F.call_function("div", "id", F.lit(256)), (F.col("id") % 256).cast("int")
+    own = F.map_from_entries(F.collect_list(F.struct(column, "value")))
+    digits = F.transform(
+        F.sequence(F.lit(0), F.lit(255)),
+        lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(own, i), F.lit(0))), 2, "0"),
+    )
+    table = bytearray(size)
+    for at, text in values.groupBy(row.alias("row")).agg(F.array_join(digits, "")).collect():
+        table[256 * at : 256 * at + 256] = bytes.fromhex(text)
+    return bytes(table)
+
+
 def size_classes(docs: DataFrame) -> bytes:
-    """For each bucket of words, twice the logarithm of its count; at most BUCKETS rows."""
+    """For each bucket of words, twice the logarithm of its count."""
     words = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("word"))
-    bucket = F.pmod(_hash(F.col("word")), F.lit(BUCKETS)).alias("bucket")
+    bucket = F.pmod(_hash(F.col("word")), F.lit(BUCKETS)).alias("id")
     size = F.least(F.floor(2 * F.log2(F.count(F.lit(1)).cast("double"))), F.lit(127))
-    table = bytearray(BUCKETS)
-    for at, value in words.groupBy(bucket).agg(size.cast("int")).collect():
-        table[at] = value
-    return bytes(table)
+    return _as_table(words.groupBy(bucket).agg(size.cast("int").alias("value")), BUCKETS)
 
 
 def keys(line: Column, classes: bytes) -> Column:
@@ -97,6 +110,16 @@ def keys(line: Column, classes: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
 
 
+def _sketch(keys: Column) -> Column:
+    """Words that two sets do not share change at most one bit each."""
+
+    def flip(bits: Column, key: Column) -> Column:
+        spot = key.bitwiseAND(F.lit(63)).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), spot))
+
+    return F.aggregate(keys, F.lit(0).cast("long"), flip)
+
+
 def line_sets(docs: DataFrame) -> DataFrame:
     """Each set of words once: (doc_id, place) of its first line, size n, prefix keys."""
     classes = size_classes(docs)
@@ -108,12 +131,13 @@ def line_sets(docs: DataFrame) -> DataFrame:
         F.xxhash64("keys", F.lit(1)).alias("id2"),
         F.struct("doc_id", "place").alias("at"),
         n.alias("n"),
+        _sketch(F.col("keys")).alias("sketch"),
         F.slice("keys", 1, prefix).alias("prefix"),
     )
     first = marked.groupBy("id", "id2").agg(
-        F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
     )
-    return stored(first.select("at.doc_id", "at.place", "n", "prefix"), "line-sets")
+    return stored(first.select("at.doc_id", "at.place", "n", "sketch", "prefix"), "line-sets")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -121,25 +145,34 @@ def _earlier(a: str, b: str) -> Column:
     return left < right
 
 
-def _fit(a: str, b: str) -> Column:
-    """Length and positional filter; ``left`` is the words from the shared one on."""
+def _sets_fit(a: str, b: str) -> Column:
+    """Length filter, and sketches that differ in as few bits as the sets may in words."""
     a_n, b_n = F.col(f"{a}_n"), F.col(f"{b}_n")
     sizes = F.lit(DEN) * F.least(a_n, b_n) >= F.lit(NUM) * F.greatest(a_n, b_n)
+    bits = F.bit_count(F.col(f"{a}_sketch").bitwiseXOR(F.col(f"{b}_sketch")))
+    return sizes & (F.lit(NUM + DEN) * bits <= F.lit(DEN - NUM) * (a_n + b_n))
+
+
+def _places_fit(a: str, b: str) -> Column:
+    """Positional filter for the first shared word; ``left`` is the words from it on."""
+    a_n, b_n = F.col(f"{a}_n"), F.col(f"{b}_n")
     left = F.least(F.col(f"{a}_left"), F.col(f"{b}_left"))
-    return sizes & (F.lit(NUM + DEN) * left >= F.lit(NUM) * (a_n + b_n))
+    return F.lit(NUM + DEN) * left >= F.lit(NUM) * (a_n + b_n)
 
 
-def _postings(sets: DataFrame, side: str, last: int | None = None) -> DataFrame:
-    """key, and the set's doc, place, n and left, for all prefix keys or the ``last`` ones."""
-    skip = F.lit(0) if last is None else F.greatest(F.size("prefix") - last, F.lit(0))
-    some = F.slice("prefix", skip + 1, F.size("prefix"))
-    rows = sets.select("doc_id", "place", "n", skip.alias("skip"), F.posexplode(some).alias("pos", "key"))
+def _postings(sets: DataFrame, side: str, chosen: Column, *keep: str) -> DataFrame:
+    """key, and the set's doc, place, n, sketch and left, for the keys ``chosen``."""
+    rows = sets.select(
+        "doc_id", "place", "n", "sketch", *keep, F.posexplode(chosen).alias("pos", "key")
+    )
     return rows.select(
         "key",
         F.col("doc_id").alias(f"{side}_doc"),
         F.col("place").alias(f"{side}_place"),
         F.col("n").alias(f"{side}_n"),
-        (F.col("n") - F.col("pos") - F.col("skip")).alias(f"{side}_left"),
+        F.col("sketch").alias(f"{side}_sketch"),
+        (F.col("n") - F.col("pos")).alias(f"{side}_left"),
+        *[F.col(c).alias(f"{side}_{c}") for c in keep],
     )
 
 
@@ -151,14 +184,11 @@ def _spot() -> Column:
 
 
 def _bits(refs: DataFrame) -> bytes:
-    """A Bloom filter of (doc_id, place), seven bits a byte; at most FILTER_BYTES rows."""
+    """A Bloom filter of (doc_id, place), seven bits a byte."""
     spot = refs.select(_spot().alias("spot"))
-    byte = F.call_function("div", "spot", F.lit(7)).alias("byte")
+    byte = F.call_function("div", "spot", F.lit(7)).alias("id")
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("spot") % 7).cast("int")))
-    table = bytearray(FILTER_BYTES)
-    for at, value in spot.groupBy(byte).agg(bits).collect():
-        table[at] = value
-    return bytes(table)
+    return _as_table(spot.groupBy(byte).agg(bits.alias("value")), FILTER_BYTES)
 
 
 def _maybe(bits: bytes) -> Column:
@@ -175,9 +205,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, place) of each x whose words are similar enough to those of its y."""
     both = _refs(pairs, "x").unionByName(_refs(pairs, "y"))
     asked = lines(docs).filter(_maybe(_bits(both)))
-    words = asked.select("doc_id", "place", F.array_distinct(_words(F.col("line"))).alias("words"))
-    # Rows that repeat a document have the same lines.
-    words = words.groupBy("doc_id", "place").agg(F.first("words").alias("words"))
+    # Rows that repeat a document have the same lines: they repeat pairs, no more.
+    hashed = F.array_distinct(F.transform(_words(F.col("line")), _hash))
+    words = asked.select("doc_id", "place", hashed.alias("words"))
 
     def of(side: str) -> DataFrame:
         return words.select(
@@ -194,38 +224,64 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _first_looks(sets: DataFrame) -> DataFrame:
-    """Pairs of a set and the earliest one under one of its last prefix keys."""
-    looks = _postings(sets, "x", FIRST_LOOK)
-    own = F.struct("x_doc", "x_place", "x_n", "x_left")
+    """Pairs of a set and the earliest one under one of its last prefix keys.
+
+    Their shared word need not be the first one, so its place says nothing here.
+    """
+    skip = F.greatest(F.size("prefix") - FIRST_LOOK, F.lit(0))
+    looks = _postings(sets, "x", F.slice("prefix", skip + 1, F.size("prefix"))).drop("x_left")
+    own = F.struct("x_doc", "x_place", "x_n", "x_sketch")
     groups = looks.groupBy("key").agg(F.min(own).alias("y"), F.count(F.lit(1)).alias("many"))
     groups = groups.filter("many > 1").select(
-        "key",
-        F.col("y.x_doc").alias("y_doc"),
-        F.col("y.x_place").alias("y_place"),
-        F.col("y.x_n").alias("y_n"),
-        F.col("y.x_left").alias("y_left"),
+        "key", *[F.col(f"y.x_{c}").alias(f"y_{c}") for c in ("doc", "place", "n", "sketch")]
     )
-    met = looks.join(groups, (looks.key == groups.key) & _earlier("y", "x") & _fit("x", "y"))
-    return met.select(*_PAIR).distinct()
+    fits = _earlier("y", "x") & _sets_fit("x", "y")
+    return looks.join(groups, (looks.key == groups.key) & fits).select(*_PAIR).distinct()
+
 
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs of a set that still ``asks`` and any earlier one that passes all filters.
 
-def _candidates(asking: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a set that asks and any earlier one that passes all filters."""
-    x, y = _postings(asking, "x"), _postings(sets, "y")
-    met = x.join(y, (x.key == y.key) & _earlier("y", "x") & _fit("x", "y"))
-    return met.select(*_PAIR).distinct()
+    ``shared``: under how many keys they met. The side ``a`` is the larger set, of equal ones the later.
+    """
+    n = F.col("n")
+    index = n - F.ceil(F.lit(2 * NUM) * n / F.lit(NUM + DEN)).cast("int") + 1
+    a = _postings(sets, "a", F.col("prefix"), "asks")
+    b = _postings(sets, "b", F.slice("prefix", 1, index), "asks")
+    a_later = _earlier("b", "a")
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & a_later)
+    asks = F.when(a_later, F.col("a_asks")).otherwise(F.col("b_asks"))
+    apart = a_later | _earlier("a", "b")
+    fits = larger & apart & asks & _sets_fit("a", "b") & _places_fit("a", "b")
+    pairs = a.join(b, (a.key == b.key) & fits)
+    later = {
+        f"x_{c}": F.when(a_later, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) for c in ("doc", "place")
+    }
+    earlier = {
+        f"y_{c}": F.when(a_later, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")) for c in ("doc", "place")
+    }
+    named = pairs.select(*[v.alias(c) for c, v in (later | earlier).items()])
+    return named.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def similar_later_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, place) of each set that an earlier one is similar to."""
     gone = stored(_verified(stored(_first_looks(sets), "looks"), docs), "gone")
-    maybe = _maybe(_bits(gone))
     # Most sets cannot be among those; only the others are compared with them.
-    asking = sets.filter(~maybe).unionByName(
-        sets.filter(maybe).join(gone, ["doc_id", "place"], "left_anti")
+    maybe = _maybe(_bits(gone))
+    found = gone.withColumn("asks", F.lit(False))
+    some = sets.filter(maybe).join(found, ["doc_id", "place"], "left").fillna(True, ["asks"])
+    marked = sets.filter(~maybe).withColumn("asks", F.lit(True)).unionByName(some)
+    pairs = stored(_candidates(marked), "candidates")
+    # One pair for each set decides most; only sets that it leaves verify all of theirs.
+    best = pairs.groupBy("x_doc", "x_place").agg(
+        F.max(F.struct("shared", "y_doc", "y_place")).alias("y")
     )
-    more = _verified(stored(_candidates(asking, sets), "candidates"), docs)
-    return gone.unionByName(more)
+    best = best.select("x_doc", "x_place", "y.y_doc", "y.y_place")
+    by_best = stored(_verified(best, docs), "gone")
+    done = by_best.select(F.col("doc_id").alias("x_doc"), F.col("place").alias("x_place"))
+    rest = stored(pairs.join(done, ["x_doc", "x_place"], "left_anti").select(*_PAIR), "rest")
+    return gone.unionByName(by_best).unionByName(_verified(rest, docs))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
