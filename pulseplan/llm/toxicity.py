@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .tokens import steps
 
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 800
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 DIMENSION = 4
@@ -44,7 +44,7 @@ EPOCHS = 25
 RATE = 0.03
 SEED = 11
 THRESHOLD = 0.3
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def subwords(word: str) -> list[int]:
 
 def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((x for part in lists for x in part), dtype=np.int64, count=int(sizes.sum()))
+    flat = np.fromiter((x for part in lists for x in part), dtype=np.int32, count=int(sizes.sum()))
     return flat, sizes
 
 
@@ -74,12 +74,13 @@ class _Mean:
     """Weighted sums of rows of one matrix into rows of another, and their gradient."""
 
     def __init__(self, source: np.ndarray, sizes: np.ndarray, weights: np.ndarray):
-        self.source, self.weights = source, weights[:, None].astype(np.float32)
+        self.source = source.astype(np.int32)
+        self.weights = weights[:, None].astype(np.float32)
         self.starts = np.cumsum(sizes) - sizes
-        target = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(source, kind="stable")
+        target = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(self.source, kind="stable").astype(np.int32)
         self.back, self.back_weights = target[order], self.weights[order]
-        self.touched, self.back_starts = np.unique(source[order], return_index=True)
+        self.touched, self.back_starts = np.unique(self.source[order], return_index=True)
 
     def forward(self, rows: np.ndarray) -> np.ndarray:
         return np.add.reduceat(rows[self.source] * self.weights, self.starts, axis=0)
@@ -100,17 +101,26 @@ def _texts_of_buckets(grams, gram_sizes, words, sizes, y) -> np.ndarray:
     return found
 
 
+def _without_rare(grams, sizes, common) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common buckets of each word, how many, and weights; one of no weight if it has none."""
+    starts = np.cumsum(sizes) - sizes
+    keep = common[grams]
+    none = np.add.reduceat(keep.astype(np.int32), starts) == 0
+    keep[starts[none]] = True
+    weights = (common[grams] / np.repeat(sizes, sizes)).astype(np.float32)
+    return grams[keep], np.add.reduceat(keep.astype(np.int64), starts), weights[keep]
+
+
 def train(texts: list[str], labels: list[int], toxic_share: float) -> Model:
     """Fits vectors and softmax over all given texts; each has a word."""
     y = np.array(labels, dtype=np.int64)
-    split = [t.split() for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in split for w in own))}
+    vocabulary: dict[str, int] = {}
+    flat, sizes = _ragged([[vocabulary.setdefault(w, len(vocabulary)) for w in t.split()] for t in texts])
     grams, gram_sizes = _ragged([subwords(w) for w in vocabulary])
-    flat, sizes = _ragged([[vocabulary[w] for w in own] for own in split])
     found = _texts_of_buckets(grams, gram_sizes, flat, sizes, y)
     # Rare buckets would tell texts apart, not classes.
     common = found.sum(axis=0) >= MIN_TEXTS
-    of_word = _Mean(grams, gram_sizes, common[grams] / np.repeat(gram_sizes, gram_sizes))
+    of_word = _Mean(*_without_rare(grams, gram_sizes, common))
     edges, passages = passage_edges(sizes)
     lengths = np.diff(np.concatenate((edges, [len(flat)])))
     of_passage = _Mean(flat, lengths, 1 / np.repeat(lengths, lengths))
