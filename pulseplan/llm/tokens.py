@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 # Texts of one step, in bytes, and the words that a worker remembers.
 STEP_BYTES = 4 << 20
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 # A letter, then full stops or commas that end a word: two tokens of their own.
 _ENDED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,]+)([\x20\x09-\x0D]|$)"
@@ -96,7 +96,8 @@ class WordEncoder:
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         counts = sizes[index] if len(index) else np.zeros(0, dtype=np.int64)
         ends = np.concatenate(([0], np.cumsum(counts)))
-        at = np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], counts)
+        shift = (first[index] - ends[:-1]).astype(np.int32)  # a step has far fewer ids
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat(shift, counts)
         ids = table[at] if len(at) else np.zeros(0, dtype="<u4")
         offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         lengths = ends[offsets[1:]] - ends[offsets[:-1]]
