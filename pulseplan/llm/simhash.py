@@ -228,23 +228,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     return marked.join(of_fp, "fp")
 
 
-def first_of_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without near copies: of each group, what has its smallest id stays.
-
-    Rows that repeat an id and its text stay once. Rows that share an id but not the text
-    stay if that id is the smallest of their group; null is smaller than any only where a
-    group has no other.
-    """
-    groups = near_duplicates(docs, size, radius)
-    none = F.lit(-(1 << 63))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = first.select(F.coalesce("doc_id", none).alias("sh_id")).distinct()
-    keyed = docs.withColumn("sh_id", F.coalesce(F.col("doc_id").cast("long"), none))
-    # The texts are dealt out by id once, for both steps.
-    kept = keyed.join(ids, "sh_id", "left_semi").dropDuplicates(["sh_id", "text"])
-    return kept.select(*docs.columns)
-
-
 def digests(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint in hexadecimal digits and component_id."""
     found = near_duplicates(docs, size, radius)

@@ -1,0 +1,64 @@
+"""The near-dedup stage against a comparison of every two documents' shingles."""
+
+import random
+
+import pytest
+from test_simhash import groups
+
+import corpus_pipeline
+from pulseplan.llm import near_copies, simhash
+
+
+def expected(rows, size=corpus_pipeline.SHINGLE):
+    """Group ids and the pairs of at least 4/5 Jaccard similarity, by brute force."""
+    sets = [set(simhash.shingles(t or "", size)) for _, t in rows]
+    near = [
+        (i, j) for i in range(len(rows)) for j in range(i)
+        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))
+    ]
+    return groups([r[0] for r in rows], near), near
+
+
+def planted(seed, bases, copies, words, pool=50_000):
+    """Texts of random words, and copies of them with some words replaced here and there."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(bases):
+        base = [f"w{rng.randrange(pool)}" for _ in range(rng.randint(6, words))]
+        rows.append(base)
+        for _ in range(copies):
+            copy = list(rng.choice(rows[-copies:]))
+            for _ in range(rng.randint(0, max(1, len(copy) // 40))):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(pool)}"
+            rows.append(copy)
+    rng.shuffle(rows)
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rows", [
+    planted(1, 60, 4, 300),
+    planted(2, 3, 60, 120),
+    planted(3, 100, 2, 12, pool=6),
+    [(5, "a b c"), (3, "A  b\nc"), (7, "a b"), (1, None), (4, ""), (2, " \n"), (9, "x " * 50), (8, "x " * 60)],
+])
+def test_groups_by_brute_force(spark, rows):
+    want, near = expected(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(frame, corpus_pipeline.SHINGLE).collect()}
+    assert got == dict(zip([r[0] for r in rows], want, strict=True))
+    assert near
+
+
+def test_stage_finds_what_fingerprints_miss(spark):
+    rows = planted(4, 40, 2, 400)
+    want, near = expected(rows)
+    fps = [simhash.fingerprint(t, corpus_pipeline.SHINGLE) for _, t in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() > corpus_pipeline.RADIUS for i, j in near) > 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in left) == sorted(set(want))
+
+
+def test_nothing(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, frame, "").collect() == []
