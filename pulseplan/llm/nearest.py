@@ -6,7 +6,8 @@ chi-square law with that many degrees of freedom. A block's projections lie in a
 A query visits leaves in order of projected distance and verifies each leaf's vectors
 against the original ones; when the next leaf's distance d and the k-th best true
 distance r have chi2(d^2 / r^2) >= ``CONFIDENCE``, a nearer vector would have shown up
-by then with that probability, and the search ends.
+by then with that probability, and the search ends. What is as near as the k-th best but
+for rounding, such as equal vectors in many leaves, is always visited.
 
 Nearness is the cosine in double precision. Vectors null, empty, zero, or with null or
 non-finite components take no part.
@@ -26,6 +27,10 @@ PROJECTIONS = 8
 CONFIDENCE = 0.95
 LEAF = 32
 SEED = 7
+# More than rounding takes from a cosine or from the squared distance of unit vectors.
+SLACK = 1e-12
+# Pairs found after which only each query's best so far are kept.
+HELD = 1 << 16
 
 
 def chi_square(x: float, degrees: int) -> float:
@@ -86,30 +91,31 @@ def build(ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(gap, axis=1, kind="stable")
         gap = np.take_along_axis(gap, order, axis=1)
         best = np.full((len(queries), k), -np.inf)  # true cosines of the best so far
-        found_q, found_c = [], []
+        none = np.zeros(0, dtype=np.int64)
+        found, many = [(none, none, np.zeros(0))], 0
         active = np.arange(len(queries))
         for turn in range(len(leaves)):
             reach = 2 - 2 * best[active, -1]  # squared distance of unit vectors
-            going = ~(gap[active, turn] >= stop * np.maximum(reach, 0)) | ~np.isfinite(reach)
-            active = active[going]
+            ends = gap[active, turn] > stop * (np.maximum(reach, 0) + SLACK)
+            active = active[~ends | ~np.isfinite(reach)]
             if not len(active):
                 break
             c = members[order[active, turn]]
             cosine = np.einsum("qd,qmd->qm", asked[active], whole[c])
             cosine[(c < 0) | (ids[c] == query_ids[active][:, None])] = -np.inf
-            near = cosine >= best[active, -1][:, None]
+            near = cosine >= best[active, -1][:, None] - SLACK
             near &= np.isfinite(cosine)
             q, m = np.nonzero(near)
-            found_q.append(active[q])
-            found_c.append(c[q, m])
+            q, c = active[q], c[q, m]
+            # The same sum for every pair, so that equal vectors score alike.
+            found.append((q, c, (asked[q] * whole[c]).sum(axis=1)))
+            many += len(q)
+            if many > HELD:
+                found, many = [best_of(*map(np.concatenate, zip(*found, strict=True)), ids, k)], 0
             both = np.concatenate((best[active], cosine), axis=1)
             best[active] = -np.partition(-both, k - 1, axis=1)[:, :k]
             best[active] = -np.sort(-best[active], axis=1)
-        none = np.zeros(0, dtype=np.int64)
-        q, c = np.concatenate([none, *found_q]), np.concatenate([none, *found_c])
-        # The same sum for every pair, so that equal vectors score alike.
-        score = np.einsum("ij,ij->i", asked[q], whole[c])
-        return best_of(q, c, score, ids, k)
+        return best_of(*map(np.concatenate, zip(*found, strict=True)), ids, k)
 
     return search
 

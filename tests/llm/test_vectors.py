@@ -108,6 +108,25 @@ def test_nearest_of_nothing(spark):
     assert cosines(table(spark, [])) == []
 
 
+@pytest.mark.parametrize("dimension", [3, 33])
+def test_equal_vectors_go_by_id(spark, monkeypatch, dimension):
+    """Groups of equal vectors larger than a leaf, over one block and over several."""
+    rng = np.random.default_rng(dimension)
+    pool = rng.standard_normal((4, dimension)).astype(np.float32).tolist()
+    order = rng.permutation(1200).tolist()
+    rows = [(i, pool[0] if n < 700 else pool[1 + n % 3]) for n, i in enumerate(order)]
+    vector = dict(rows)
+    for block in (vectors.BLOCK_ROWS, 300):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+        found = {}
+        for r in sorted(cosines(table(spark, rows)), key=lambda r: r.rank):
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        assert found == {
+            q: sorted(i for i in vector if i != q and vector[i] == vector[q])[:5]
+            for q in vector if q % 50 == 0
+        }
+
+
 def recall(got, rows, every, k):
     ids = np.array([i for i, _ in rows])
     whole = nearest.unit(np.array([v for _, v in rows], dtype=np.float64))
