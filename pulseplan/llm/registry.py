@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    collocations,
+    decontamination,
+    hard_negatives,
     line_dedup,
     mixing,
     nearest,
@@ -75,6 +78,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -87,8 +104,17 @@ def all_queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash_groups": op9_simhash_groups,
         "op10_line_dedup": op10_line_dedup,
+        "op11_decontamination": op11_decontamination,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.MIXING_SQL, "op3_topk_products": topk.TOPK_SQL}
+    return {
+        "op1_source_mixing": mixing.MIXING_SQL,
+        "op3_topk_products": topk.TOPK_SQL,
+        "op11_decontamination": decontamination.CONTAMINATION_SQL,
+        "op12_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL,
+        "op13_collocations": collocations.COLLOCATIONS_SQL,
+    }
