@@ -40,28 +40,13 @@ _GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _KEY = ["key1", "key2"]
 
 
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, f"[{_GAP}]+", -1), "")
+
+
 def words(text: Column) -> Column:
     """The lower-cased words of a text; none of a null one."""
-    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.array_remove(F.split(low, f"[{_GAP}]+", -1), "")
-
-
-def _windows(part: Column, lengths: list[int], starts: Column, first: Column) -> Column:
-    """(start, length, window) of each window of ``part`` that begins at its first ``starts`` words."""
-
-    def of(length: int) -> Column:
-        last = F.least(starts, F.size(part) - (length - 1)) - 1
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            at,
-            lambda i: F.struct(
-                (first + i).alias("start"),
-                F.lit(length).alias("length"),
-                F.array_join(F.slice(part, i + 1, F.lit(length)), " ").alias("window"),
-            ),
-        )
-
-    return F.flatten(F.array(*map(of, lengths)))
+    return _split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER))
 
 
 def benchmark_windows(
@@ -84,32 +69,71 @@ def _keys(doc_id: str, text: str) -> list[Column]:
     ]
 
 
-def hit_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], slices: int = 1) -> DataFrame:
-    """(key1, key2, start, length, items): where a window of the set stands in a document.
+def _hash(columns: list) -> Column:
+    return F.xxhash64(F.lit(len(columns)), *columns)
 
-    ``windows`` (window, items) is a set of bounded size, or ``slices`` such sets.
-    """
-    widest = max(lengths)
-    own = words(F.col("text"))
-    parts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH))
+
+def _lead_words(docs: DataFrame, widest: int) -> DataFrame:
+    """key1, key2, start, w1, ...: each word of a text and those behind it; null behind the end."""
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH))
     stretch = F.transform(
-        parts,
+        starts,
         lambda a: F.struct(
             a.alias("first"), F.slice("words", a + 1, F.lit(STRETCH + widest - 1)).alias("part")
         ),
     )
     cut = (
-        docs.select(*_keys("doc_id", "text"), own.alias("words"))
+        docs.select(*_keys("doc_id", "text"), words(F.col("text")).alias("words"))
         .filter(F.size("words") > 0)
-        .select(*_KEY, F.explode(stretch).alias("s"))
+        .select(*_KEY, F.inline(stretch).alias("first", "part"))
+    )
+    begun = F.least(F.size("part"), F.lit(STRETCH))
+    columns = [F.slice("part", F.lit(k), begun) for k in range(1, widest + 1)]
+    rows = cut.select(*_KEY, "first", F.posexplode(F.arrays_zip(*columns)).alias("pos", "w"))
+    # Fields of a zipped array are named by their places.
+    named = [F.col("w")[str(k)].alias(f"w{k + 1}") for k in range(widest)]
+    return rows.select(*_KEY, (F.col("first") + F.col("pos")).alias("start"), *named)
+
+
+def hit_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], slices: int = 1) -> DataFrame:
+    """(key1, key2, start, length, items): where a window of the set stands in a document.
+
+    ``windows`` (window, length, items) is a set of bounded size, or ``slices`` such sets.
+    """
+    columns = [f"w{k}" for k in range(1, max(lengths) + 1)]
+    rows = _lead_words(docs, max(lengths))
+    each = [
+        F.when(
+            F.isnotnull(f"w{n}"),
+            F.struct(F.lit(n).alias("length"), _hash(columns[:n]).alias("hash")),
+        )
+        for n in lengths
+    ]
+    if len(each) == 1:
+        scanned = rows.filter(F.isnotnull(columns[-1])).withColumn("own", each[0])
+    else:
+        scanned = rows.withColumn("own", F.explode(F.array_compact(F.array(*each))))
+    scanned = scanned.select(*_KEY, "start", *columns, "own.*")
+    # The words of a window, to be put together where the hash is in the set.
+    text = F.concat_ws(" ", *[F.when(F.col("length") > k, F.col(c)) for k, c in enumerate(columns)])
+    # The same words, said so that they are not looked up but compared after the hash is found.
+    verified = (text >= F.col("window")) & (text <= F.col("window"))
+    parts = F.split("window", " ", -1)
+    known = windows.select(
+        "window",
+        "items",
+        F.col("length").alias("n"),
+        F.coalesce(
+            *[F.when(F.col("length") == n, _hash([parts[k] for k in range(n)])) for n in lengths]
+        ).alias("known"),
     )
-    each = _windows(F.col("s.part"), lengths, F.lit(STRETCH), F.col("s.first"))
-    scanned = cut.select(*_KEY, F.explode(each).alias("w")).select(*_KEY, "w.*")
 
     def meet(n: int) -> DataFrame:
-        mine = windows if slices == 1 else windows.filter(_slice(slices) == n)
+        mine = known if slices == 1 else known.filter(_slice(slices) == n)
         # Measured: a slice takes about SET_BYTES at most.
-        return scanned.join(F.broadcast(mine), "window").select(*_KEY, "start", "length", "items")
+        same = (F.col("hash") == F.col("known")) & (F.col("length") >= F.col("n"))
+        found = scanned.join(F.broadcast(mine), same & (F.col("length") <= F.col("n")) & verified)
+        return found.select(*_KEY, "start", "length", "items")
 
     return reduce(DataFrame.unionByName, map(meet, range(slices)))
 
@@ -135,7 +159,7 @@ def hits(
     lists = listed.select("items", "list").distinct()
     item = lists.select("items", F.explode_outer("list").alias("item"))
     slices = max(1, -(-(taken or 0) // set_bytes))
-    found = hit_windows(docs, listed.select("window", "items"), sorted(lengths), slices)
+    found = hit_windows(docs, listed.select("window", "length", "items"), sorted(lengths), slices)
     # Sets, which combine in each task: copies of a row add nothing.
     by_doc = found.groupBy(*_KEY).agg(
         F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items")
@@ -155,7 +179,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, size: int = SIZE, set_bytes: int = SET_BYTES
 ) -> DataFrame:
     """doc_id, n_words, n_hit and item_ids (in order, as text) for each row of ``docs``."""
-    n_words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(f"[^{_GAP}]+")), F.lit(0))
+    n_words = F.size(_split(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = docs.select("doc_id", n_words.cast("long").alias("n_words"), *_keys("doc_id", "text"))
     found = hits(docs, benchmark, size, set_bytes)
     found = found.select(*_KEY, F.size("hit").cast("long").alias("n_hit"), "item_ids")
