@@ -22,7 +22,7 @@ gives no rows. Columns that a document brings keep their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +37,7 @@ from .components import connected_components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SEED = 42
+SHINGLE, RADIUS = 3, 2
 BLOCK = 2048
 _STEP = 1 << 16  # shingles whose bits are counted at once
 
@@ -63,8 +64,8 @@ def fingerprint(text: str, size: int) -> int:
     return int(np.packbits(2 * ones > len(parts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and ``fp``, the 64 bits as a signed number, for each row."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` (longs) and ``fp``, the 64 bits as a signed number, for each row."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,12 +74,11 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
                 texts = part.column("text")
                 found = [fingerprint(t.as_py() or "", size) for t in texts]
                 signed = np.array(found, dtype=np.uint64).view(np.int64)
-                yield pa.record_batch(
-                    {"doc_id": part.column("doc_id"), "fp": pa.array(signed, pa.int64())}
-                )
+                own = {c: part.column(c) for c in keep}
+                yield pa.record_batch(own | {"fp": pa.array(signed, pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(mapper, "doc_id long, fp long")
+    rows = docs.select(*[F.col(c).cast("long") for c in keep], F.col("text").cast("string"))
+    return rows.mapInArrow(mapper, ", ".join(f"{c} long" for c in (*keep, "fp")))
 
 
 def _keys(radius: int) -> Column:
@@ -215,20 +215,48 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+def _labels(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct`` (with ``fp``) with ``label``, the same for all of a group."""
+    groups = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    joined = distinct.join(groups, F.col("fp") == F.col("node"), "left")
+    return joined.withColumn("label", F.coalesce("label", "fp")).drop("node")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, ``fp`` and ``component_id`` (the smallest id of the group) for each row."""
     marked = stored(fingerprints(docs, size), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    groups = connected_components(fingerprint_links(distinct, radius))
-    labelled = distinct.join(groups, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label")
-    )
+    labelled = _labels(distinct, radius)
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = labelled.join(least, "label").select("fp", "component_id")
     return marked.join(of_fp, "fp")
 
 
-def digests(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+def first_of_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group: that of the smallest id, of a null id only if there is no other.
+
+    Of texts that share that id, one goes by its checksums; of rows that share id and text,
+    any one. Documents are told apart by 128 bits of id and text.
+    """
+    keys = ["key1", "key2"]
+    told = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    hashed = [F.xxhash64(F.lit(n), F.isnull(told[0]), *told).alias(k) for n, k in enumerate(keys)]
+    narrow = docs.select(told[0].alias("doc_id"), told[1].alias("text"), *hashed)
+    marked = stored(fingerprints(narrow, size, ("doc_id", *keys)), "fingerprints")
+    order = F.struct(F.isnull("doc_id"), "doc_id", *keys)
+    distinct = stored(marked.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    first = _labels(distinct, radius).groupBy("label").agg(F.min("first").alias("first"))
+    # How often the chosen documents occur; most do once, and are not shuffled for it.
+    times = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    chosen = first.select(*[f"first.{k}" for k in keys]).join(times, keys)
+    chosen = stored(chosen, "chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *hashed)
+    once = rows.join(chosen.filter("times = 1"), keys).select("doc.*")
+    repeated = rows.join(chosen.filter("times > 1"), keys).dropDuplicates(keys).select("doc.*")
+    return once.unionByName(repeated)
+
+
+def digests(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint in hexadecimal digits and component_id."""
     found = near_duplicates(docs, size, radius)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))

@@ -1,10 +1,12 @@
 """Toxicity of whole texts: subword bags, averaged into a linear softmax.
 
-A word is the mean of the vectors of its character n-grams and of itself, a passage of
-``PASSAGE`` words is the mean of its words, and a linear softmax tells toxic from clean.
-A text is as toxic as its worst passage, so that length does not thin a slur out. Vectors
-and softmax are trained together, in numpy, through the worst passage of each text.
+A word is the mean of the vectors of its character n-grams and of itself, a passage is the
+mean of two words side by side (a word alone if the text has no other), and a linear
+softmax tells toxic from clean. A text is as toxic as the worst of all its passages, so
+that length does not thin a slur out, and words put before it do not change how it is cut.
+Vectors and softmax are trained together, in numpy, through the worst passage of each text.
 Misspellings that no training text holds share n-grams, and so vectors, with words that do.
+Training and scoring split and lower-case texts with the same function, `split_words`.
 
 Training sees at most ``TRAIN_ROWS`` labelled texts of each class, chosen by a hash of
 their id; they alone come to the driver. Class weights restore the share of toxic texts
@@ -14,7 +16,9 @@ part in the score is one number, kept for the words that a worker has met.
 Nulls: a null text is empty. A text without words scores by the bias alone. Labels that
 are null, repeated or without a document train nothing or each on their own. Without
 labelled rows of both classes, all texts score the share of toxic ones (0 if none).
-Repeated documents score alike; an empty table gives no rows.
+Repeated documents score alike; an empty table gives no rows. Columns that a document brings
+keep their names, unless one is called `toxicity`, which `score` refuses; `toxicity_of`
+gives the score as a column without a name.
 """
 
 from __future__ import annotations
@@ -28,9 +32,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tokens import steps
 
@@ -38,7 +41,6 @@ TRAIN_ROWS = 800
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 DIMENSION = 4
-PASSAGE = 2
 MIN_TEXTS = 3
 EPOCHS = 25
 RATE = 0.03
@@ -90,6 +92,18 @@ class _Mean:
         return np.add.reduceat(gradient[self.back] * self.back_weights, self.back_starts, axis=0)
 
 
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different lower-cased words of all texts, each word's number, and words per text."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
+    flat = split.flatten()
+    filled = pc.not_equal(flat, "")  # white space at either end leaves an empty word
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    counts = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False).astype(np.int64))))
+    coded = flat.filter(filled).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False) if len(coded) else np.zeros(0, dtype=np.int32)
+    return coded.dictionary.to_pylist(), codes, np.diff(counts[offsets - offsets[0]])
+
+
 def _texts_of_buckets(grams, gram_sizes, words, sizes, y) -> np.ndarray:
     """How many clean and how many toxic texts hold each bucket."""
     starts, ends = np.cumsum(gram_sizes) - gram_sizes, np.cumsum(sizes)
@@ -111,21 +125,27 @@ def _without_rare(grams, sizes, common) -> tuple[np.ndarray, np.ndarray, np.ndar
     return grams[keep], np.add.reduceat(keep.astype(np.int64), starts), weights[keep]
 
 
+def passages(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the two words of each passage among all words, and passages per text."""
+    many = np.where(sizes > 0, np.maximum(sizes - 1, 1), 0)
+    first = np.cumsum(sizes) - sizes
+    number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    left = (np.repeat(first, many) + number).astype(np.int32)
+    right = np.minimum(left + 1, np.repeat(first + sizes - 1, many)).astype(np.int32)
+    return left, right, many
+
+
 def train(texts: list[str], labels: list[int], toxic_share: float) -> Model:
     """Fits vectors and softmax over all given texts; each has a word."""
     y = np.array(labels, dtype=np.int64)
-    vocabulary: dict[str, int] = {}
-    flat, sizes = _ragged([[vocabulary.setdefault(w, len(vocabulary)) for w in t.split()] for t in texts])
+    vocabulary, flat, sizes = split_words(pa.array(texts, pa.large_string()))
     grams, gram_sizes = _ragged([subwords(w) for w in vocabulary])
     found = _texts_of_buckets(grams, gram_sizes, flat, sizes, y)
     # Rare buckets would tell texts apart, not classes.
     common = found.sum(axis=0) >= MIN_TEXTS
     of_word = _Mean(*_without_rare(grams, gram_sizes, common))
-    edges, passages = passage_edges(sizes)
-    lengths = np.diff(np.concatenate((edges, [len(flat)])))
-    of_passage = _Mean(flat, lengths, 1 / np.repeat(lengths, lengths))
-    of_text = np.repeat(np.arange(len(texts)), passages)
-    first = np.cumsum(passages) - passages
+    left, right, many = passages(sizes)
+    first = np.cumsum(many) - many
 
     # Vectors begin with how much likelier a bucket is in toxic texts, and small noise.
     rates = (found + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
@@ -144,17 +164,19 @@ def train(texts: list[str], labels: list[int], toxic_share: float) -> Model:
     for step in range(1, EPOCHS + 1):
         own, softmax, bias = (s[0] for s in state)
         vectors[touched] = own
-        means = of_passage.forward(of_word.forward(vectors))
+        words = of_word.forward(vectors)
+        odds = (words @ (softmax[:, 1] - softmax[:, 0]))[flat]  # all is linear up to here
+        margin = odds[left] + odds[right]
+        worst = _worst(margin, first, many)
+        pair = flat[left[worst]], flat[right[worst]]
+        means = (words[pair[0]] + words[pair[1]]) / 2
         logits = means @ softmax + bias
-        margin = logits[:, 1] - logits[:, 0]
-        worst = np.flatnonzero(margin == np.maximum.reduceat(margin, first)[of_text])
-        worst = worst[np.unique(of_text[worst], return_index=True)[1]]
-        p = np.exp(logits[worst] - logits[worst].max(axis=1, keepdims=True))
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
         error = (p / p.sum(axis=1, keepdims=True) - goal) * weight
-        back = np.zeros((len(means), DIMENSION), dtype=np.float32)
-        back[worst] = error @ softmax.T
-        up = of_passage.backward(back)  # every word of the vocabulary is touched
-        gradients = (of_word.backward(up), means[worst].T @ error, error.sum(axis=0))
+        up = np.zeros_like(words)
+        for side in pair:
+            np.add.at(up, side, error @ softmax.T / 2)
+        gradients = (of_word.backward(up), means.T @ error, error.sum(axis=0))
         for (value, mean, square), g in zip(state, gradients, strict=True):
             mean += 0.1 * (g - mean)
             square += 0.01 * (g * g - square)
@@ -166,11 +188,11 @@ def train(texts: list[str], labels: list[int], toxic_share: float) -> Model:
     return Model(np.where(common, weights, np.float32(0)), float(bias[1] - bias[0]))
 
 
-def passage_edges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each passage starts among all words, and how many passages each text has."""
-    passages = -(-sizes // PASSAGE)
-    number = np.arange(passages.sum()) - np.repeat(np.cumsum(passages) - passages, passages)
-    return np.repeat(np.cumsum(sizes) - sizes, passages) + PASSAGE * number, passages
+def _worst(margin: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The first passage of the highest margin of each text."""
+    of_text = np.repeat(np.arange(len(many)), many)
+    tops = np.flatnonzero(margin == np.maximum.reduceat(margin, first)[of_text])
+    return tops[np.unique(of_text[tops], return_index=True)[1]]
 
 
 class Scorer:
@@ -192,19 +214,14 @@ class Scorer:
         return np.array([self.seen[w] for w in words])
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
-        coded = split.flatten().dictionary_encode()
-        words = self._words(coded.dictionary.to_pylist())
-        flat = words[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0)
-        sizes = np.diff(split.offsets.to_numpy().astype(np.int64))
+        vocabulary, codes, sizes = split_words(texts)
         odds = np.full(len(sizes), self.model.bias)
-        edges, passages = passage_edges(sizes)
-        if len(edges):
-            lengths = np.diff(np.concatenate((edges, [len(flat)])))
-            mean = np.add.reduceat(flat, edges) / lengths
-            has = passages > 0
-            first = (np.cumsum(passages) - passages)[has]
-            odds[has] += np.maximum.reduceat(mean, first)
+        left, right, many = passages(sizes)
+        if len(left):
+            flat = self._words(vocabulary)[codes]
+            mean = (flat[left] + flat[right]) / 2
+            has = many > 0
+            odds[has] += np.maximum.reduceat(mean, (np.cumsum(many) - many)[has])
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
@@ -228,28 +245,37 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column) -> Model:
     """A model of the labelled rows that ``is_training`` (a condition on doc_id) selects."""
     rows = sorted(map(tuple, training_rows(docs, labels, is_training).collect()))
     share = rows[0][3] if rows else 0.0
-    rows = [r for r in ((i, t.lower(), y) for i, t, y, _ in rows) if r[1].split()]
+    has_words = split_words(pa.array([r[1] for r in rows], pa.large_string()))[2] > 0
+    rows = [r for r, has in zip(rows, has_words, strict=True) if has]
     if len({r[2] for r in rows}) < 2:
         odds = math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0)
         return Model(np.zeros(BUCKETS, dtype=np.float32), odds)
     return train([r[1] for r in rows], [r[2] for r in rows], share)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity`` between 0 and 1, from ``text`` alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+def toxicity_of(spark: SparkSession, model: Model, text: str = "text") -> Column:
+    """The toxicity of a text column, between 0 and 1; only the texts go to Python."""
+    sent = spark.sparkContext.broadcast(model)  # one number a bucket
 
-    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for part in steps(batch, "text"):
-                texts = part.column("text").take(pa.array(np.arange(part.num_rows)))
-                found = scorer.score(texts.fill_null("").cast(pa.large_string()))
-                arrays = [*part.columns, pa.array(found)]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "toxicity"])
+            rows = pa.record_batch({"text": batch})
+            parts = [
+                scorer.score(part.column("text").take(pa.array(np.arange(part.num_rows))))
+                for part in steps(rows, "text")
+            ]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    udf = F.arrow_udf(scores, "double")
+    return udf(F.col(text).cast("string"))
+
 
-    return docs.mapInArrow(mapper, schema)
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``toxicity`` between 0 and 1, from ``text`` alone."""
+    if "toxicity" in docs.columns:
+        raise ValueError("docs have a column called toxicity already")
+    return docs.withColumn("toxicity", toxicity_of(docs.sparkSession, model))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -57,25 +57,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Re
                 yield int(block[a]), int(kind[a]), part.take(pa.array(np.arange(part.num_rows)))
 
 
-def _fresh(ids: np.ndarray, last: int | None) -> np.ndarray:
-    """Of rows in order of id, the first of each id."""
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = ids[1:] != ids[:-1]
-    if last is not None and len(ids) and ids[0] == last:
-        new &= ids != last
-    return new
-
-
 def _searching(build: Build, k: int, score_type: pa.DataType):
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, search, parts, last = None, None, [], (None, None)
+        here, search, parts = None, None, []
         for block, kind, rows in _groups(batches):
             if block != here:
                 here, search, parts = block, None, []
-            ids = rows.column("id").to_numpy(zero_copy_only=False)
-            new = _fresh(ids, last[1] if last[0] == (block, kind) else None)
-            last = ((block, kind), int(ids[-1]))
-            ids, vectors = ids[new], _matrix(rows)[new]
+            ids, vectors = rows.column("id").to_numpy(zero_copy_only=False), _matrix(rows)
             if kind == 0:
                 parts.append((ids, vectors))
                 continue
@@ -102,8 +90,8 @@ def blocked_search(
     """query_id, rank, vec_id, score: for each query row of ``rows`` (id, v), the best k.
 
     Higher scores are better, ties go to the smaller id. Only vectors of the same
-    dimension meet. An id that occurs more than once counts once, with the vector that
-    is first in order; a query never meets its own id.
+    dimension meet. Every row is a candidate, however often its id or its vector occurs;
+    a query never meets rows of its own id. Queries that share an id share their k best.
     """
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     deal = lambda b: F.xxhash64(F.size("v"), b.cast("long"))

@@ -9,11 +9,13 @@ from test_line_dedup import WORD
 from test_line_dedup import expected as expected_lines
 from test_mixing_sharding import targets
 from test_simhash import expected as expected_groups
+from test_simhash import groups as join_groups
+from test_simhash import plain_fingerprint
 from test_tokens import check_packing, crc, ids_of
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from pulseplan.llm import registry, toxicity
+from pulseplan.llm import registry, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SF = str(TESTDATA / "sf0.001")
@@ -21,7 +23,7 @@ SF = str(TESTDATA / "sf0.001")
 
 def plain_score(model, text):
     words = text.lower().split()
-    parts = [words[i : i + toxicity.PASSAGE] for i in range(0, len(words), toxicity.PASSAGE)]
+    parts = [words[i : i + 2] for i in range(max(1, len(words) - 1))] if words else []
     odds = [sum(model.weights[toxicity.subwords(w)].mean() for w in p) / len(p) for p in parts]
     return max(odds, default=0) + model.bias
 
@@ -31,6 +33,13 @@ def copies(doc_id, rate):
     return int(rate) + (int(digits, 16) / 2**52 < rate - int(rate))
 
 
+def groups_of(rows):
+    """(doc_id, text, smallest id of the group) of each row, in the given order."""
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS]
+    return [(r[0], r[1], c) for r, c in zip(rows, join_groups([r[0] for r in rows], near), strict=True)]
+
+
 def stages(spark, docs, sf_dir, path):
     """Runs the stages as the tool does, and gives each one's input and output."""
     found = []
@@ -70,11 +79,15 @@ def test_stages(spark, tmp_path, extra):
     assert Counter(map(tuple, after.collect())) == Counter(want)
 
     name, rows, after = plain[2]
-    groups = expected_groups([x[:2] for x in rows], corpus_pipeline.SHINGLE, corpus_pipeline.RADIUS)
-    first = {i for i, _, c in groups if i == c}
-    want = {(r[0], r[1]) for r in rows if r[0] in first}
-    got = [tuple(r) for r in after.select("doc_id", "text").collect()]
-    assert set(got) == want and len(got) == len(want)
+    groups = expected_groups([x[:2] for x in rows], simhash.SHINGLE, simhash.RADIUS)
+    component = {(i, f"{plain_fingerprint(t):016x}"): c for (i, t, *_), (_, _, c) in zip(rows, groups_of(rows), strict=True)}
+    got = [tuple(r) for r in after.select(*COLUMNS).collect()]
+    assert not Counter(got) - Counter(rows)
+    # One row of each group, with the group's smallest id.
+    of_group = Counter(component[(r[0], f"{plain_fingerprint(r[1]):016x}")] for r in got)
+    assert all(r[0] == component[(r[0], f"{plain_fingerprint(r[1]):016x}")] for r in got)
+    assert set(of_group) == {c for _, _, c in groups}
+    assert all(n == 1 for c, n in of_group.items() if c is not None)
 
     name, rows, after = plain[3]
     words = Counter()

@@ -66,6 +66,22 @@ def test_nothing(spark):
     check(spark, [])
 
 
+def test_first_of_groups(spark):
+    """One row of each group stays, of null and repeated ids too; columns keep their values."""
+    base = "the quick brown fox jumps over the lazy dog again and again until it sleeps " * 8
+    schema = "doc_id long, text string, fp int, node string, label int, key1 string, times int, first int, doc string"
+    rows = [
+        (5, base), (3, base), (3, base), (None, base.upper()), (None, "null alone"), (None, "null alone"), (None, "another null"),
+        (7, "seven"), (7, "of the same id"), (8, "eight"), (9, None), (10, ""),
+    ]
+    frame = spark.createDataFrame([(*r, 1, "n", n, "k", 2, 3, "d") for n, r in enumerate(rows)], schema)
+    got = simhash.first_of_groups(frame)
+    assert got.schema == frame.schema
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert kept == sorted([(3, base), (None, "null alone"), (None, "another null"), (7, "seven"), (7, "of the same id"), (8, "eight"), (9, None)], key=repr)
+    assert simhash.first_of_groups(frame.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_given_tables(spark, radius):
     rows = [(r.doc_id, r.text) for r in registry.table(spark, str(TESTDATA / "sf0.001"), "documents").collect()]
