@@ -31,7 +31,7 @@ from .operators.overall import (
     get_high_fall_risk_patients,
     get_patient_count,
 )
-from .operators.preparation import coerce_dates, enrich_clinics, with_active_day
+from .operators.preparation import coerce_dates, enrich_clinics, infer_date_formats, with_active_day
 from .operators.quality import (
     date_conformance,
     date_range,

@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 from ..settings import MIN_BACKGROUND_MINUTES, MIN_STEPS
 from ..sources.schema import (
     DATE_COLUMNS,
+    DATE_FORMS,
     DECLARED_DATES,
     ISO,
     ISO_TEXT,
     TABLE_SCHEMAS,
 )
 
-__all__ = ["DATE_COLUMNS", "DECLARED_DATES", "coerce_dates", "enrich_clinics", "parsed_date", "with_active_day"]
+__all__ = ["DATE_COLUMNS", "DECLARED_DATES", "coerce_dates", "enrich_clinics", "infer_date_formats", "parsed_date", "with_active_day"]
 
 # --- fixed values: names and regions of the clinics ---
 CLINIC_NAMES = {
@@ -88,6 +89,59 @@ def parsed_date(table: str, column: str, fmt: str = ISO) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
+def _candidates(table: str, column: str) -> list[list[tuple[str, Column]]]:
+    """For each look of a text: the forms that may read it, and the column read in each."""
+    text = F.col(column)
+    found = [[(ISO, parsed_date(table, column))]]
+    for look, patterns in DATE_FORMS.items():
+        read = [F.when(text.rlike(look), parsed_date(table, column, p)) for p in patterns]
+        found.append(list(zip(patterns, read, strict=True)))
+    return found
+
+
+def infer_date_formats(
+    tables: Mapping[str, DataFrame],
+    columns: Mapping[str, Mapping[str, str]] = DECLARED_DATES,
+) -> dict[str, dict[str, str]]:
+    """Table -> text column -> the form that reads most of its values, for `coerce_dates`.
+
+    All values of all columns are read in every form of `DATE_FORMS` and in ISO form, by one
+    aggregate per table, of which one row of counts comes back. Values in another form than
+    the column's are NULL later. Two forms that read equally many values, most of all, are
+    an error if there is a value which they read differently; it names both. A column
+    without a readable value stays with the form that ``columns`` gives.
+    """
+    found: dict[str, dict[str, str]] = {}
+    for table, formats in columns.items():
+        if table not in tables:
+            continue
+        kinds = {f.name: f.dataType for f in tables[table].schema.fields}
+        texts = [c for c in formats if isinstance(kinds.get(c), T.StringType)]
+        if not texts:
+            continue
+        counts, told = [], {}
+        for c in texts:
+            for n, forms in enumerate(_candidates(table, c)):
+                for i, (form, value) in enumerate(forms):
+                    counts.append(F.count(value).alias(f"{c}_{n}_{i}"))
+                    told[c, n, i] = form
+                    # A text of this look may be two different days in two forms.
+                    apart = [~value.eqNullSafe(other) for _, other in forms[:i]]
+                    counts += [F.count_if(a).alias(f"{c}_{n}_{j}_{i}") for j, a in enumerate(apart)]
+        seen = tables[table].agg(*counts).first()
+        found[table] = {}
+        for c in texts:
+            forms = [(n, i) for column, n, i in told if column == c]
+            most = max(seen[f"{c}_{n}_{i}"] for n, i in forms)
+            (n, i), *others = [f for f in forms if seen[f"{c}_{f[0]}_{f[1]}"] == most]
+            for m, j in others if most else []:
+                if m != n or seen[f"{c}_{n}_{i}_{j}"]:
+                    names = f"{told[c, n, i]} and as {told[c, m, j]}"
+                    raise ValueError(f"{table}.{c} reads as {names}: give a format")
+            found[table][c] = told[c, n, i] if most else formats[c]
+    return found
+
+
 def coerce_dates(
     tables: Mapping[str, DataFrame],
     columns: Mapping[str, Mapping[str, str]] = DECLARED_DATES,
@@ -95,8 +149,8 @@ def coerce_dates(
     """Turn the text date columns of each table into dates and timestamps.
 
     ``columns``: table -> column -> `ISO` or a pattern; by default every column that
-    the schemas declare as a date or timestamp, in ISO form. A value in another form is
-    NULL; the `prepare` job
+    the schemas declare as a date or timestamp, in ISO form; `infer_date_formats` finds the
+    forms of the data. A value in another form is NULL; the `prepare` job
     refuses columns of which nothing could be read. Columns that are typed already are left alone.
     """
     typed = dict(tables)

@@ -37,6 +37,7 @@ TASKS_START, TASKS_END = "1995-01-01", "1995-04-01 12:00:00"
 # Seven days hold at most seven active days, so the weekly query asks for four.
 WEEKLY_THRESHOLD = 4
 STRICT_FALL_RISK = 75
+LARGE_ORDER = 150_000
 
 # Means over floating-point rates depend on the order of addition in the last
 # digit; the queries that carry one round it to this many digits.
@@ -200,10 +201,32 @@ def _coerced(t: Tables, name: str) -> DataFrame:
     return preparation.coerce_dates({name: t[name]})[name]
 
 
+# Other forms of the dates of patients, each column in its own.
+_OTHER_FORMS = {
+    "enrollment_date": "MM/dd/yyyy",
+    "install_date": "dd.MM.yyyy",
+    "first_data_date": "yyyy/MM/dd",
+}
+
+
+def _dates_inferred(t: Tables) -> DataFrame:
+    """The patients, whose dates come in other forms that nobody declares."""
+    people = t["patients"].withColumns(
+        {
+            c: F.coalesce(F.date_format(F.try_to_date(F.col(c), "yyyy-MM-dd"), form), F.col(c))
+            for c, form in _OTHER_FORMS.items()
+        }
+    )
+    tables = {"patients": people}
+    formats = preparation.infer_date_formats(tables)
+    return preparation.coerce_dates(tables, formats)["patients"]
+
+
 # Query name -> result from the tables before cleaning.
 _CLEANING: dict[str, Callable[[Tables], DataFrame]] = {
     "date_conformance": quality.date_conformance,
     "dates_coerced": lambda t: _coerced(t, "patients"),
+    "dates_inferred": _dates_inferred,
     "dates_coerced_fact": lambda t: _coerced(t, "fact_patient_day").select(
         "patient_id", "date", "is_active_day"
     ),
@@ -234,6 +257,19 @@ def _csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_tables(spark, folder, schemas=schemas, multiline=True)["documents"]
 
 
+def _csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, a table that no schema names, as CSV and read back with inferred types."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns(
+        {
+            "o_large": F.col("o_totalprice") > LARGE_ORDER,
+            "o_day": F.col("o_orderdate").cast("date"),
+        }
+    )
+    folder = shared_folder(spark, "csv-inferred")
+    write_tables({"orders": orders}, folder, fmt="csv")
+    return load_tables(spark, folder, infer=True)["orders"]
+
+
 def _on(build: Callable[[Tables], DataFrame], derive: Callable) -> Query:
     return lambda spark, sf_dir: build(derive(spark, sf_dir))
 
@@ -243,4 +279,5 @@ def all_queries() -> dict[str, Query]:
     named |= {name: _on(build, derive_raw_tables) for name, build in _CLEANING.items()}
     named["csv_roundtrip"] = _csv_roundtrip
     named["csv_texts"] = _csv_texts
+    named["csv_inferred"] = _csv_inferred
     return named

@@ -107,16 +107,23 @@ def prepare(
 ) -> None:
     """Clean the CSV tables of ``raw_dir`` into ``clean_dir`` and check them.
 
-    ``formats``: table -> column -> pattern, for dates in another form than ISO. The raw
-    text is read once: what the checks count is counted while the tables are written.
-    A date column that has values, none of them readable, is an error.
+    ``formats``: table -> column -> pattern of its dates. Of other date columns the form that
+    reads most values is taken; that reads their texts once. The tables are read once more
+    to be written, and what the checks count is counted meanwhile. A date column that has
+    values, none of them readable, or that two forms read equally well, is an error. On any
+    error before all tables are written, those that were there stay.
     """
     given = formats or {}
+    raw = load_tables(spark, raw_dir, multiline=multiline)
+    open_ = {
+        t: {c: form for c, form in some.items() if c not in given.get(t, {})}
+        for t, some in preparation.DECLARED_DATES.items()
+    }
+    inferred = preparation.infer_date_formats(raw, open_)
     declared = {
-        t: {**preparation.DECLARED_DATES.get(t, {}), **given.get(t, {})}
+        t: {**preparation.DECLARED_DATES.get(t, {}), **inferred.get(t, {}), **given.get(t, {})}
         for t in {*preparation.DECLARED_DATES, *given}
     }
-    raw = load_tables(spark, raw_dir, multiline=multiline)
     texts = {
         t: table.withColumns(
             {f"_text_{c}": F.col(c) for c in declared.get(t, {}) if c in table.columns}
@@ -131,22 +138,26 @@ def prepare(
         clean["fact_patient_day"] = preparation.with_active_day(fact)
     watched = {t: _observed(t, raw[t], clean[t], declared.get(t, {})) for t in clean}
     tables = {t: table for t, (table, _) in watched.items()}
-    write_tables(tables, clean_dir, fmt)
-
-    counts = {t: seen.get for t, (_, seen) in watched.items()}
+    counts: _Counts = {}
+
+    def refuse_unread() -> None:
+        counts.update({t: seen.get for t, (_, seen) in watched.items()})
+        unread = [
+            f"{t}.{c}"
+            for t, some in declared.items()
+            for c in some
+            if t in counts and counts[t].get(f"{c}_set") and not counts[t][f"{c}_ok"]
+        ]
+        if unread:
+            names = ", ".join(sorted(unread))
+            raise ValueError(f"no date could be read in {names}: give a format")
+
+    write_tables(tables, clean_dir, fmt, check=refuse_unread)
     # A stored fact has its month beside its own columns.
     columns = {
         t: len(table.columns) + (t == "fact_patient_day" and fmt == "parquet")
         for t, table in tables.items()
     }
-    unread = [
-        f"{t}.{c}"
-        for t, some in declared.items()
-        for c in some
-        if t in counts and counts[t].get(f"{c}_set") and not counts[t][f"{c}_ok"]
-    ]
-    if unread:
-        raise ValueError(f"no date could be read in {', '.join(sorted(unread))}: give a format")
     checks = _quality(spark, counts, columns, preparation.DATE_COLUMNS)
     if "patients" in clean and "clinics" in clean:
         kept = load_tables(spark, clean_dir, fmt)

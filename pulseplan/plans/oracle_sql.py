@@ -558,6 +558,11 @@ FROM retention WHERE active_days_threshold > 0"""),
 SELECT patient_id, clinic_id, {_clean('patient_id', 'enrollment_date', 'date')},
        {_clean('patient_id', 'install_date', 'date')},
        {_clean('patient_id', 'first_data_date', 'date')}
+FROM patients"""),
+        "dates_inferred": _sql("", f"""
+SELECT patient_id, clinic_id, {_clean('patient_id', 'enrollment_date', 'date')},
+       {_clean('patient_id', 'install_date', 'date')},
+       {_clean('patient_id', 'first_data_date', 'date')}
 FROM patients"""),
         "dates_coerced_fact": _sql("", f"""
 SELECT patient_id, {_clean('patient_id', 'date', 'date')}, is_active_day FROM fact"""),
@@ -569,6 +574,8 @@ FROM assignments"""),
 SELECT alert_id, {_clean('alert_id', 'created_ts', 'timestamp')},
        {_clean('alert_id', 'ack_ts', 'timestamp')}
 FROM alerts"""),
+        "csv_inferred": """
+SELECT *, o_totalprice > 150000 AS o_large, CAST(o_orderdate AS DATE) AS o_day FROM orders""",
         "csv_roundtrip": _sql("", "SELECT * FROM patients"),
         "csv_texts": f"""
 SELECT doc_id, CASE WHEN text NOT IN ({_NA}) THEN text END AS text,

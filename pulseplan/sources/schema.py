@@ -62,6 +62,20 @@ ISO_TEXT = (
     "([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?)?$"
 )
 
+# Other usual forms: what such a text looks like -> the patterns that may read it. A time of
+# day may follow the day after a blank.
+_TIME_TEXT = "( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
+_TIME = "[ H:mm[:ss]]"
+DATE_FORMS: dict[str, tuple[str, ...]] = {
+    f"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}{_TIME_TEXT}": (f"M/d/yyyy{_TIME}", f"d/M/yyyy{_TIME}"),
+    f"^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}{_TIME_TEXT}": (f"M-d-yyyy{_TIME}", f"d-M-yyyy{_TIME}"),
+    f"^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}{_TIME_TEXT}": (f"d.M.yyyy{_TIME}",),
+    f"^[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}{_TIME_TEXT}": (f"yyyy/M/d{_TIME}",),
+    "^[0-9]{8}$": ("yyyyMMdd",),
+    f"^[0-9]{{1,2}} [A-Z][a-z]{{2}} [0-9]{{4}}{_TIME_TEXT}": (f"d MMM yyyy{_TIME}",),
+    f"^[A-Z][a-z]{{2}} [0-9]{{1,2}}, [0-9]{{4}}{_TIME_TEXT}": (f"MMM d, yyyy{_TIME}",),
+}
+
 # Every column that a schema declares as a date or timestamp.
 DECLARED_DATES: dict[str, dict[str, str]] = {
     table: {

@@ -79,3 +79,30 @@ def test_options_of_a_day():
         dt.date(2026, 1, 1),
     )
     assert (options.start, options.end) == (dt.date(2025, 12, 8), dt.date(2026, 1, 7))
+
+
+PEOPLE = "patient_id,clinic_id,enrollment_date,install_date,first_data_date\n"
+
+
+def test_prepare_reads_the_form_of_the_data_and_a_failure_keeps_the_old_tables(spark, tmp_path):
+    raw, clean, checks = (tmp_path / d for d in ("raw", "clean", "checks"))
+    raw.mkdir()
+
+    def prepare(text):
+        (raw / "patients.csv").write_text(PEOPLE + text)
+        jobs.prepare(spark, str(raw), str(clean), str(checks))
+
+    def people():
+        return rows(load_tables(spark, str(clean), "parquet")["patients"])
+
+    prepare("a,C1,01/31/2024,31.01.2024,2024/01/30\nb,C1,02/01/2024,,NA\n")
+    first = people()
+    assert [tuple(map(str, r)) for r in first] == [
+        ("a", "C1", "2024-01-31", "2024-01-31", "2024-01-30"),
+        ("b", "C1", "2024-02-01", "None", "None"),
+    ]
+    with pytest.raises(ValueError, match="patients.enrollment_date reads as"):
+        prepare("a,C1,02/01/2024,,\n")
+    with pytest.raises(ValueError, match="no date could be read in patients.install_date"):
+        prepare("a,C1,2024-01-31,soon,\n")
+    assert people() == first

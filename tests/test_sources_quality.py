@@ -11,6 +11,7 @@ from pulseplan import (
     date_range,
     enrich_clinics,
     get_billable_patients,
+    infer_date_formats,
     load_tables,
     null_rates,
     orphan_patients,
@@ -18,6 +19,7 @@ from pulseplan import (
     write_tables,
 )
 from pulseplan.sources import shared_folder
+from pulseplan.sources.inference import infer_types
 
 
 @pytest.fixture
@@ -210,3 +212,124 @@ def test_scratch_folder_follows_the_cluster_setting(spark):
     assert folder != shared_folder(spark, "csv")
     if configured:
         assert folder.startswith(configured)
+
+
+def written(spark, folder, **texts):
+    for name, text in texts.items():
+        (folder / f"{name}.csv").write_text(text)
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "record",
+    ['1,"line1\nline2,x"', '1,"a\nb"', '1,"a ""b""\nc"', '"1\n2","3\n4"', '1,"\n"'],
+)
+def test_torn_records_fail_whatever_their_commas(spark, tmp_path, record):
+    folder = written(spark, tmp_path, notes=f"id,note\n{record}\n2,plain\n")
+    # Spark itself refuses pieces with too few fields, if it meets them first.
+    with pytest.raises(Exception, match="records that span lines|Malformed|MALFORMED"):
+        load_tables(spark, folder)["notes"].collect()
+    with pytest.raises(Exception, match="records that span lines|Malformed|MALFORMED"):
+        load_tables(spark, folder)["notes"].select("id").collect()
+    whole = load_tables(spark, folder, multiline=True)["notes"]
+    assert whole.count() == 2
+
+
+def test_whole_records_with_quotes_pass(spark, tmp_path):
+    folder = written(spark, tmp_path, notes='id,note\n1,"a ""b"", c"\n2,"""x"""\n3,\n')
+    got = rows(load_tables(spark, folder)["notes"])
+    assert got == [("1", 'a "b", c'), ("2", '"x"'), ("3", None)]
+
+
+def test_types_are_inferred_from_all_values(spark, tmp_path):
+    text = (
+        "flag,n,x,mixed,day,ts,word,empty,zip\n"
+        "true,1,1,1,2024-01-31,2024-01-31 10:00:00,a,,007\n"
+        "FALSE,-20,2.5e3,2.5,2024-02-29,2024-01-31,1,NA,12\n"
+        "NA,,.5,x,,,true,,\n"
+    )
+    table = load_tables(spark, written(spark, tmp_path, other=text), infer=True)["other"]
+    assert dict(table.dtypes) == {
+        "flag": "boolean", "n": "bigint", "x": "double", "mixed": "string", "day": "date",
+        "ts": "timestamp_ntz", "word": "string", "empty": "string", "zip": "bigint",
+    }
+    first = table.first()
+    assert (first.flag, first.n, first.x, first.day, first.zip) == (True, 1, 1.0, day("2024-01-31"), 7)
+    assert table.filter("flag is null and n is null and x = 0.5").count() == 1
+
+
+@pytest.mark.parametrize("text", ["2024-02-30", "1d", "99999999999999999999", "2024", "0x1F", " 1"])
+def test_odd_values_are_not_narrowed_too_far(spark, text):
+    found = infer_types(spark.createDataFrame([(text,)], "v string"), ["v"])["v"].simpleString()
+    assert found == {"2024": "bigint", "99999999999999999999": "double"}.get(text, "string")
+
+
+def test_declared_columns_keep_their_types(spark, tmp_path):
+    folder = written(spark, tmp_path, clinics="clinic_id,beds\n1,20\n2,30\n")
+    assert load_tables(spark, folder, infer=True)["clinics"].dtypes == [("clinic_id", "string"), ("beds", "bigint")]
+    assert load_tables(spark, folder)["clinics"].dtypes == [("clinic_id", "string"), ("beds", "string")]
+
+
+def test_inference_over_no_rows(spark, tmp_path):
+    table = load_tables(spark, written(spark, tmp_path, other="a,b\n"), infer=True)["other"]
+    assert table.dtypes == [("a", "string"), ("b", "string")] and table.count() == 0
+
+
+@pytest.mark.parametrize(
+    "texts, form, days",
+    [
+        (["01/31/2024", "02/01/2024", "junk"], "M/d/yyyy[ H:mm[:ss]]", ["2024-01-31", "2024-02-01", None]),
+        (["31.01.2024", "1.2.2024", None], "d.M.yyyy[ H:mm[:ss]]", ["2024-01-31", "2024-02-01", None]),
+        (["13/02/2024", "03/04/2024"], "d/M/yyyy[ H:mm[:ss]]", ["2024-02-13", "2024-04-03"]),
+        (["2024-01-31", "2024-02-01", "01/02/2024"], "ISO", ["2024-01-31", "2024-02-01", None]),
+        (["20240131", "20240230"], "yyyyMMdd", ["2024-01-31", None]),
+        (["31 Jan 2024", "1 Feb 2024"], "d MMM yyyy[ H:mm[:ss]]", ["2024-01-31", "2024-02-01"]),
+        (["04/04/2024", "05/05/2024"], "M/d/yyyy[ H:mm[:ss]]", ["2024-04-04", "2024-05-05"]),
+        (["x", None], "ISO", [None, None]),
+    ],
+)
+def test_the_form_of_dates_is_that_of_the_data(spark, texts, form, days):
+    table = spark.createDataFrame([(t,) for t in texts], "enrollment_date string")
+    formats = infer_date_formats({"patients": table})
+    assert formats == {"patients": {"enrollment_date": form}}
+    got = coerce_dates({"patients": table}, formats)["patients"]
+    assert [r[0] for r in got.collect()] == [day(d) for d in days]
+
+
+def test_times_of_day_in_other_forms(spark):
+    table = spark.createDataFrame([("31.01.2024 9:05",), ("31.01.2024",)], "created_ts string")
+    formats = infer_date_formats({"alerts": table})
+    got = [r[0] for r in coerce_dates({"alerts": table}, formats)["alerts"].collect()]
+    assert got == [dt.datetime(2024, 1, 31, 9, 5), dt.datetime(2024, 1, 31)]
+
+
+@pytest.mark.parametrize("texts", [["03/04/2024", "05/06/2024"], ["2024-01-31", "01/31/2024"]])
+def test_ambiguous_dates_name_both_forms(spark, texts):
+    table = spark.createDataFrame([(t,) for t in texts], "enrollment_date string")
+    with pytest.raises(ValueError, match="patients.enrollment_date reads as .* and as .*: give a format"):
+        infer_date_formats({"patients": table})
+
+
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    def content():
+        found = {t: rows(df) for t, df in load_tables(spark, str(tmp_path), "parquet").items()}
+        return found, sorted(p.name for p in tmp_path.iterdir())
+
+    one = {t: spark.createDataFrame([(n,)], "v int") for n, t in enumerate(("a", "b"))}
+    write_tables(one, str(tmp_path))
+    before = content()
+    assert before[1] == ["a.parquet", "b.parquet"]
+    bad = {"a": spark.createDataFrame([(7,)], "v int"), "b": spark.range(1).selectExpr("raise_error('no') AS v")}
+    with pytest.raises(Exception, match="no"):
+        write_tables(bad, str(tmp_path))
+    assert content() == before
+
+    def refuse():
+        raise ValueError("refused")
+
+    with pytest.raises(ValueError, match="refused"):
+        write_tables({"a": bad["a"], "c": bad["a"]}, str(tmp_path), check=refuse)
+    assert content() == before
+    write_tables({"a": bad["a"], "c": bad["a"]}, str(tmp_path))
+    assert content()[0] == {"a": [(7,)], "b": [(1,)], "c": [(7,)]}
+    assert content()[1] == ["a.parquet", "b.parquet", "c.parquet"]
