@@ -18,7 +18,7 @@ from ..settings import (
     ROLLING_WINDOWS,
 )
 from .activity import activity_since, daily_activity, is_active
-from .order_statistics import exact_median
+from .order_statistics import exact_median, median_in_cells, top_cells
 
 ASSESSMENT_DIMENSIONS = ("week_start", "clinic_id", "assessment_type")
 _MICROS_PER_HOUR = 3_600_000_000
@@ -234,21 +234,35 @@ def assessment_completion_sets(
     return _with_completion_rates(named)
 
 
-def alert_ack(alerts: DataFrame, by: Sequence[str] = ("alert_type",)) -> DataFrame:
+def alert_ack(
+    alerts: DataFrame, by: Sequence[str] = ("alert_type",), rescan: bool = False
+) -> DataFrame:
     """Alerts, acknowledged alerts, rate and exact median hours to acknowledge.
 
     An alert without ``ack_ts`` lowers the rate and is not in the median.
+
+    ``rescan``: for very many alerts. They are read three times, but no distinct wait is
+    shuffled outside the cell that holds the median; the first of these passes also counts
+    them. Counts of the first two are stored when this is called.
     """
-    counts = (
-        alerts.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("total"), F.count("ack_ts").alias("acked"))
-        .withColumn("ack_rate", guarded_percent("acked", "total"))
-    )
     waits = alerts.withColumn(
         "wait", F.timestamp_diff("MICROSECOND", F.col("created_ts"), F.col("ack_ts"))
     )
     median = (F.col("median") / _MICROS_PER_HOUR).alias("median_hours_to_ack")
-    medians = exact_median(waits, by, "wait")
+    if rescan:
+        cells = top_cells(waits, by, "wait", F.count("ack_ts").alias("acked"))
+        none = F.lit(0).cast("bigint")
+        counts = cells.groupBy(*[F.col(f"_k{i + 1}").alias(c) for i, c in enumerate(by)]).agg(
+            F.coalesce(F.sum("n"), none).alias("total"),
+            F.coalesce(F.sum("acked"), none).alias("acked"),
+        )
+        medians = median_in_cells(waits, by, "wait", cells)
+    else:
+        counts = alerts.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("total"), F.count("ack_ts").alias("acked")
+        )
+        medians = exact_median(waits, by, "wait")
+    counts = counts.withColumn("ack_rate", guarded_percent("acked", "total"))
     if not by:
         return counts.withColumn("median_hours_to_ack", medians.select(median).scalar())
     matches = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]

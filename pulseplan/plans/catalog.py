@@ -190,6 +190,7 @@ _METRICS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "alert_ack": lambda t: kpis.alert_ack(t["alerts"]),
     "alert_ack_overall": lambda t: kpis.alert_ack(t["alerts"], by=()),
+    "alert_ack_rescan": lambda t: kpis.alert_ack(t["alerts"], rescan=True),
     "hist_active_days": lambda t: charts.active_days_histogram(_distribution(t)),
     "curve_chart": lambda t: _rounded(
         charts.enrollment_curve_chart(_curve(t)), "mean_rate"

@@ -532,6 +532,11 @@ FROM tasks GROUP BY GROUPING SETS ((week_start), (clinic_id), (assessment_type))
 SELECT alert_type, count(*) AS total, count(ack_ts) AS acked,
        {_rate('count(ack_ts)', 'count(*)')} AS ack_rate,
        median(wait) / 3600000000 AS median_hours_to_ack
+FROM waits GROUP BY alert_type"""),
+        "alert_ack_rescan": _sql("waits", f"""
+SELECT alert_type, count(*) AS total, count(ack_ts) AS acked,
+       {_rate('count(ack_ts)', 'count(*)')} AS ack_rate,
+       median(wait) / 3600000000 AS median_hours_to_ack
 FROM waits GROUP BY alert_type"""),
         "alert_ack_overall": _sql("waits", f"""
 SELECT count(*) AS total, count(ack_ts) AS acked,

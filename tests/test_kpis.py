@@ -17,7 +17,7 @@ from pulseplan import (
     rolling_active_days,
     with_active_day,
 )
-from pulseplan.operators.order_statistics import exact_median
+from pulseplan.operators.order_statistics import exact_median, median_in_cells, top_cells
 
 
 def test_active_day_needs_minutes_or_steps(spark):
@@ -155,13 +155,17 @@ def alerts(spark):
     )
 
 
-def test_unacknowledged_alerts_lower_the_rate_only(alerts):
-    assert rows(alert_ack(alerts)) == [
+@pytest.mark.parametrize("rescan", [False, True])
+def test_unacknowledged_alerts_lower_the_rate_only(alerts, rescan):
+    assert rows(alert_ack(alerts, rescan=rescan)) == [
         (None, 1, 1, 100.0, 0.5),
         ("fall", 3, 2, 2 / 3 * 100, 2.5),
         ("quiet", 1, 0, 0.0, None),
     ]
-    assert rows(alert_ack(alerts, by=())) == [(5, 3, 60.0, 1.0)]
+    assert rows(alert_ack(alerts, by=(), rescan=rescan)) == [(5, 3, 60.0, 1.0)]
+    empty = alerts.limit(0)
+    assert rows(alert_ack(empty, rescan=rescan)) == []
+    assert rows(alert_ack(empty, by=(), rescan=rescan)) == rows(alert_ack(empty, by=()))
 
 
 def test_exact_median_of_wide_skewed_and_negative_values(spark):
@@ -179,3 +183,23 @@ def test_exact_median_of_wide_skewed_and_negative_values(spark):
     table = spark.createDataFrame(data, "g string, v bigint")
     got = dict(tuple(r) for r in exact_median(table, ["g"], "v").collect())
     assert got == {g: float(m) for g, m in expected.items()}
+    cells = top_cells(table, ["g"], "v")
+    narrowed = median_in_cells(table, ["g"], "v", cells)
+    assert dict(tuple(r) for r in narrowed.collect()) == got
+
+
+def test_rescanning_shuffles_cells_and_not_the_values(spark):
+    """100,000 distinct values over a day: what is stored of each pass is a few cells."""
+    table = spark.range(100_000).selectExpr("'g' AS g", "id * 864001 AS v")
+    cells = top_cells(table, ["g"], "v")
+    assert cells.count() <= 2
+    narrowed = median_in_cells(table, ["g"], "v", cells)
+    assert rows(narrowed) == [("g", (49_999 + 50_000) / 2 * 864001)]
+    lines = narrowed._jdf.queryExecution().executedPlan().toString().splitlines()
+    # The rows of the last scan meet the cell of the median, and are counted, before any shuffle.
+    scans = [n for n, line in enumerate(lines) if "Range (0, 100000" in line]
+    assert scans
+    for n in scans:
+        above = max(m for m, line in enumerate(lines[:n]) if "Exchange hashpartitioning" in line)
+        between = "\n".join(lines[above:n])
+        assert "partial_count" in between and "BroadcastHashJoin" in between
