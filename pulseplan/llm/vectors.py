@@ -1,4 +1,4 @@
-"""The frame of both vector searches: stated queries against all rows, in blocks.
+"""A frame for vector searches: stated queries against all rows, in blocks.
 
 Candidates are dealt into blocks by a hash of their id, and each query goes to every
 block. A task reads its block's candidates first, builds what it needs of them, and then
@@ -10,7 +10,7 @@ What is sent: each vector once, and each query once per block of ``BLOCK_ROWS``
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,31 +39,32 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite)
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+def matrix(batch: pa.RecordBatch) -> np.ndarray:
     """The vectors of rows that all have the same dimension."""
     return pc.list_flatten(batch.column("v")).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """Runs of equal block and kind, in pieces of at most `QUERY_STEP` rows."""
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of rows equal in ``keys`` (numbers), in pieces of at most `QUERY_STEP` rows."""
     for batch in batches:
-        block = batch.column("block").to_numpy(zero_copy_only=False)
-        kind = batch.column("kind").to_numpy(zero_copy_only=False)
-        new = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-        edges = [0, *new.tolist(), batch.num_rows]
+        values = [batch.column(key).to_numpy(zero_copy_only=False) for key in keys]
+        new = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+        for value in values:
+            new |= np.diff(value) != 0
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             for at in range(a, b, QUERY_STEP):
                 part = batch.slice(at, min(QUERY_STEP, b - at))
-                yield int(block[a]), int(kind[a]), part.take(pa.array(np.arange(part.num_rows)))
+                yield tuple(int(v[a]) for v in values), part.take(pa.array(np.arange(part.num_rows)))
 
 
 def _searching(build: Build, k: int, score_type: pa.DataType):
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, search, parts = None, None, []
-        for block, kind, rows in _groups(batches):
+        for (block, kind), rows in runs(batches, ("block", "kind")):
             if block != here:
                 here, search, parts = block, None, []
-            ids, vectors = rows.column("id").to_numpy(zero_copy_only=False), _matrix(rows)
+            ids, vectors = rows.column("id").to_numpy(zero_copy_only=False), matrix(rows)
             if kind == 0:
                 parts.append((ids, vectors))
                 continue

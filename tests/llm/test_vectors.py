@@ -113,8 +113,8 @@ def test_equal_vectors_go_by_id(spark, monkeypatch, dimension):
     order = rng.permutation(1200).tolist()
     rows = [(i, pool[0] if n < 700 else pool[1 + n % 3]) for n, i in enumerate(order)]
     vector = dict(rows)
-    for block in (vectors.BLOCK_ROWS, 300):
-        monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    for block in (nearest.BLOCK_ROWS, 300):
+        monkeypatch.setattr(nearest, "BLOCK_ROWS", block)
         found = {}
         for r in sorted(cosines(table(spark, rows)), key=lambda r: r.rank):
             found.setdefault(r.query_id, []).append(r.vec_id)
@@ -154,6 +154,41 @@ def test_recall_over_whole_tables(spark, scale):
     assert found >= 0.95
 
 
+@pytest.mark.parametrize("scale, most", [("sf0.01", 0.9), ("sf0.1", 0.7)])
+def test_the_stopping_test_ends_searches(spark, scale, most):
+    """The share of candidates verified in one block, and with it the recall."""
+    rows = registry.table(spark, str(TESTDATA / scale), "embeddings").collect()
+    ids = np.array([r.vec_id for r in rows])
+    block = nearest.Block(ids, np.array([r.embedding for r in rows], dtype=np.float64))
+    asked = np.flatnonzero(ids % 50 == 0)
+    block.search(ids[asked], block.whole[asked], 5, np.full(len(asked), -2.0))
+    share = block.verified / len(asked) / len(ids)
+    print("verified", scale, share)
+    assert 0 < share < most
+
+
+def test_recall_over_many_cells(spark, monkeypatch):
+    """Clusters, dealt into cells of the sample: few cells are searched, and recall stays."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 20))
+    rows = [(i, (centres[i % 12] + 0.1 * rng.standard_normal(20)).tolist()) for i in range(3000)]
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 200)
+    got = cosines(table(spark, rows))
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    assert recall(got, rows, 50, 5) >= 0.95
+
+
+def test_cells_hold_their_points():
+    rng = np.random.default_rng(4)
+    points = np.concatenate((rng.standard_normal((500, nearest.PROJECTIONS)), np.zeros((300, nearest.PROJECTIONS))))
+    cells = nearest.fit_cells(points, 16)
+    own = cells.of(points)
+    gaps = nearest.box_gaps(points, cells.low, cells.high)
+    assert len(cells.low) >= 16 and (gaps[np.arange(len(points)), own] == 0).all()
+    assert set(own) == set(range(len(cells.low)))
+    assert (nearest.fit_cells(points[:0], 1).of(points) == 0).all()
+
+
 def test_chi_square():
     assert abs(nearest.chi_square(15.507, 8) - 0.95) < 1e-4
     assert abs(nearest.chi_square_quantile(0.95, 8) - 15.507) < 1e-2
