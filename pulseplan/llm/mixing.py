@@ -2,16 +2,18 @@
 
 Token counts are summed per source; weights and the wanted total give each source a
 target and so a repetition rate. A document is taken ``floor(rate)`` times, and once
-more if a number drawn from its id and a seed falls below the rate's fraction.
+more if a number drawn from its id, its text and a seed falls below the rate's fraction.
 
 The rates are one row per source. They are stored before the join with the documents,
 so that Spark knows their size: it broadcasts a small table, and otherwise shuffles and
 splits hot sources. A hot source costs nothing in the sums, which combine in each task.
 
 Nulls: a null text has no words; a null source is a source of its own, after all others;
-a null document id draws like any other value. Rows that repeat a document id draw the
-same number, so reruns and copies agree. A source without words has rate 0 and target 0.
-An empty table gives no rows. Columns that a document brings keep their names.
+a null document id is a value like any other. Rows equal in id, source and text are
+numbered, and each number draws for itself, so that a large group of them meets its
+source's rate too; reruns agree but for which of such rows is meant. A source without
+words has rate 0 and target 0. An empty table gives no rows. Columns that a document
+brings keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import stored
+from .copies import numbered
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,9 +36,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(key: str, seed: int) -> Column:
-    """A number in [0, 1) that depends on ``key`` and ``seed`` alone."""
-    name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(str(seed)))
+def uniform(keys: Sequence[str], seed: int) -> Column:
+    """A number in [0, 1) that depends on the columns ``keys`` and ``seed`` alone."""
+    told = [F.coalesce(F.col(key).cast("string"), F.lit("null")) for key in keys]
+    name = F.concat_ws(":", F.lit(str(seed)), *told)
     digits = F.substring(F.md5(name), 1, _DRAW_BITS // 4)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << _DRAW_BITS))
 
@@ -87,8 +91,15 @@ def source_rates(
     )
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_target`` and ``mix_copies``: how often each is taken."""
+def text_sum() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_md5")
+
+
+def with_copies(rows: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
+    """``rows`` with ``mix_size``, ``mix_target`` and ``mix_copies``: how often each is taken.
+
+    They have doc_id, source, ``text_md5`` and other columns that do not start with ``mix_`` or ``rc_``.
+    """
     mine = stored(
         rates.select(
             F.col("source").alias("mix_source"),
@@ -98,21 +109,20 @@ def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
         ),
         "rates",
     )
+    told = numbered(rows, ["doc_id", "source", "text_md5"])
     whole = F.floor("mix_rate")
-    extra = uniform("doc_id", seed) < F.col("mix_rate") - whole
-    return (
-        docs.join(mine, F.col("source").eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_copies", whole + extra.cast("int"))
-        .drop("mix_source", "mix_rate")
+    extra = uniform(["doc_id", "text_md5", "rc_number"], seed) < F.col("mix_rate") - whole
+    return told.join(mine, F.col("source").eqNullSafe(F.col("mix_source"))).select(
+        *rows.columns, "mix_size", "mix_target", (whole + extra.cast("int")).alias("mix_copies")
     )
 
 
 def mix(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
     """``docs`` with each document as often as the mix takes it; columns as they were."""
     rates = source_rates(docs.select("source", word_count().alias("size")), **shares)
-    taken = with_copies(docs, rates, seed)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", text_sum())
     times = F.explode(F.array_repeat(F.lit(True), F.col("mix_copies").cast("int")))
-    return taken.select(*docs.columns, times.alias("mix_time")).drop("mix_time")
+    return with_copies(rows, rates, seed).select("doc", times.alias("time")).select("doc.*")
 
 
 def mixing_plan(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
@@ -120,7 +130,8 @@ def mixing_plan(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
 
     The texts are read once; the rest works on the stored narrow table of sizes.
     """
-    sizes = stored(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+    sizes = docs.select("doc_id", "source", word_count().alias("size"), text_sum())
+    sizes = stored(sizes, "sizes")
     taken = with_copies(sizes, source_rates(sizes, **shares), seed)
     return taken.select(
         "doc_id",
@@ -134,7 +145,8 @@ def mixing_plan(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
 
 MIXING_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5,
+         row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS number,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), by_source AS (
@@ -161,7 +173,8 @@ WITH sizes AS (
 ), drawn AS (
   SELECT d.doc_id, d.size, r.source_size, CAST(r.target AS DOUBLE) AS target,
          CASE WHEN r.source_size = 0 THEN 0.0 ELSE r.target / r.source_size END AS rate,
-         CAST(CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':17'), 1, 13)
+         CAST(CAST('0x' || substr(md5(concat_ws(':', '17',
+                coalesce(CAST(d.doc_id AS VARCHAR), 'null'), text_md5, number)), 1, 13)
               AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
   FROM sizes d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 )

@@ -1,6 +1,6 @@
 """A uniform shuffle of documents into shards of exact sizes, by a communication matrix.
 
-Documents lie in blocks (by a hash of their id). How many of each block's documents go
+Documents lie in blocks (by a hash of the row and, if others equal it, its number). How many of each block's documents go
 to each shard is drawn first, from the multivariate hypergeometric law, so that every
 shard gets its exact number. Each block is then permuted by itself and cut at these
 counts, the parts are exchanged, and every shard is permuted again: in parts of its own,
@@ -11,7 +11,9 @@ a shard. The driver draws the matrix, which has at most ``MAX_BLOCKS`` x shards
 
 Law: `rows`, shard sizes differ by one at most. Nulls: a null text has size 1 and the
 checksum 0 of the empty text; a null document id is a value like any other. Rows that
-repeat each other fall apart into any shards. An empty table gives no rows.
+repeat each other are numbered and fall apart into any blocks and shards, so a large group
+of equal texts (the contract's groups) is spread like other rows. An empty table gives no
+rows. Columns keep their names, but for ``shard`` and ``slot``, which are set.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import stored
+from .copies import KEYS, numbered
 
 BLOCK_ROWS = 4096
 MAX_BLOCKS = 16_384
@@ -74,7 +77,7 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> list[
 
 
 def _hashed(seed: int, step: int) -> Column:
-    return F.xxhash64("doc_id", F.lit(seed), F.lit(step))
+    return F.xxhash64(*KEYS, "rc_number", F.lit(seed), F.lit(step))
 
 
 def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -93,13 +96,14 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def shard_uniformly(
     docs: DataFrame, shards: int = 8, seed: int = 29, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """``docs`` (narrow rows with ``doc_id``) with ``shard`` and ``slot``.
+    """``docs`` (narrow rows) with ``shard`` and ``slot``.
 
     ``docs`` is stored once, since it is counted before it is dealt out.
     """
     spark = docs.sparkSession
-    rows = stored(docs, "shard-rows")
-    total = rows.count()
+    narrow = stored(docs.select(F.struct("*").alias("doc")), "shard-rows")
+    rows = numbered(narrow, ["doc"])
+    total = narrow.count()
     blocks = min(MAX_BLOCKS, max(1, -(-total // block_rows)))
     placed = rows.withColumn("sh_block", F.pmod(_hashed(seed, 0), F.lit(blocks)))
     counts = dict(map(tuple, placed.groupBy("sh_block").count().collect()))
@@ -117,7 +121,7 @@ def shard_uniformly(
         .groupBy("sh_block")
         .agg(F.array_sort(F.collect_list("sh_to")).alias("sh_cuts"))
     )
-    first = Window.partitionBy("sh_block").orderBy(_hashed(seed, 1), "doc_id")
+    first = Window.partitionBy("sh_block").orderBy(_hashed(seed, 1), *KEYS)
     local = placed.withColumn("sh_rank", F.row_number().over(first) - 1)
     shard = F.size(F.filter("sh_cuts", lambda cut: cut <= F.col("sh_rank")))
     # At most MAX_BLOCKS rows.
@@ -128,12 +132,12 @@ def shard_uniformly(
     n = F.col("count")
     parts = dealt.groupBy("shard", "sh_part").count()
     parts = parts.select("shard", "sh_part", (F.sum(n).over(in_shard) - n).alias("sh_before"))
-    second = Window.partitionBy("shard", "sh_part").orderBy(_hashed(seed, 3), "doc_id")
+    second = Window.partitionBy("shard", "sh_part").orderBy(_hashed(seed, 3), *KEYS)
     # As many parts as blocks at most.
     return (
         dealt.join(F.broadcast(parts), ["shard", "sh_part"])
         .withColumn("slot", F.col("sh_before") + F.row_number().over(second) - 1)
-        .drop("sh_part", "sh_before")
+        .select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
     )
 
 

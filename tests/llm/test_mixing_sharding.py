@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 import oracle
-from pulseplan.llm import mixing, registry, sharding
+from pulseplan.llm import copies, mixing, registry, sharding
 
 SF = str(TESTDATA / "sf0.001")
 SCHEMA = "doc_id long, text string, source string, size string, rate string, shard string, target int"
@@ -61,16 +62,70 @@ def test_mix_repeats_whole_documents(spark):
     rows = docs(spark, ROWS)
     mixed = mixing.mix(rows)
     assert mixed.columns == rows.columns
-    copies = Counter((r.doc_id, r.text) for r in mixed.collect())
+    times = Counter((r.doc_id, r.text) for r in mixed.collect())
     plan = Counter()
     for r in mixing.mixing_plan(rows).collect():
         plan[r.doc_id] += r.copies
     got = Counter()
-    for (i, _), n in copies.items():
+    for (i, _), n in times.items():
         got[i] += n
     assert got == +plan
 
 
+def test_extra_columns_keep_their_values(spark):
+    names = ["mix_source", "mix_size", "mix_rate", "mix_time", "mix_copies", "text_md5", "rc_key1", "rc_number", "doc", "time"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names)
+    rows = spark.createDataFrame([(*r, *range(len(names))) for r in ROWS], schema)
+    mixed = mixing.mix(rows)
+    assert mixed.columns == rows.columns
+    got = mixed.collect()
+    assert got and all(tuple(r[3:]) == tuple(range(len(names))) for r in got)
+    plain = mixing.mix(docs(spark, ROWS)).collect()
+    assert Counter(r[:3] for r in got) == Counter(r[:3] for r in plain)
+    narrow = spark.createDataFrame([(i, 7, 8, 9) for i in range(50)], "doc_id long, rc_key1 int, sh_block int, sh_part int")
+    sharded = sharding.shard_uniformly(narrow, block_rows=8)
+    assert sharded.columns == [*narrow.columns, "shard", "slot"]
+    assert all(r[1:4] == (7, 8, 9) for r in sharded.collect())
+
+
+# A third of the rows without an id, and a third that repeat one row.
+HOT = [(i, f"t{i} a b c", "s1") for i in range(1000)] + [(None, f"n{i} a b c", "s1") for i in range(1000)]
+HOT += [(None, "the same again and again", "s1")] * 1000 + [(i, "w " * (1 + i % 4), "s2") for i in range(3000, 4500)]
+
+
+def test_rows_without_an_id_and_repeated_rows_meet_the_targets(spark):
+    rows = docs(spark, HOT).repartition(5)
+    got = mixing.mixing_plan(rows).collect()
+    for hot in (lambda r: r.size == 5, lambda r: r.doc_id is None and r.size == 4, lambda r: True):
+        taken, wanted = Counter(), Counter()
+        for r in filter(hot, got):
+            taken[r.source_size] += r.taken
+            wanted[r.source_size] += r.size * r.target / r.source_size
+        assert all(abs(taken[s] / wanted[s] - 1) < 0.1 for s in wanted)
+    again = mixing.mixing_plan(docs(spark, HOT).repartition(7)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_numbers_of_equal_rows(spark):
+    rows = docs(spark, HOT).repartition(6).select("doc_id", "text")
+    numbers = defaultdict(list)
+    for r in copies.numbered(rows, ["doc_id", "text"]).collect():
+        numbers[r.doc_id, r.text].append(r.rc_number)
+    assert {k: sorted(v) for k, v in numbers.items()} == {
+        k: list(range(n)) for k, n in Counter(r[:2] for r in HOT).items()
+    }
+
+
+def test_repeated_rows_are_dealt_into_all_blocks(spark):
+    rows = [(None, "same", "s")] * 2000 + [(i, "other", "s") for i in range(1000)]
+    frame = docs(spark, rows).repartition(4)
+    check_shards(sharding.shard_documents(frame).collect(), rows)
+    keyed = copies.numbered(sharding.document_digests(frame), ["doc_id", "size", "text_crc32"])
+    block = F.pmod(sharding._hashed(29, 0), F.lit(10))
+    sizes = [r["count"] for r in keyed.groupBy(block).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 400
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mixing_plan(docs(spark, [])).collect() == []
     assert mixing.mix(docs(spark, [])).collect() == []

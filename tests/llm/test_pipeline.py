@@ -28,8 +28,9 @@ def plain_score(model, text):
     return max(odds, default=0) + model.bias
 
 
-def copies(doc_id, rate):
-    digits = hashlib.md5(f"{'null' if doc_id is None else doc_id}:17".encode()).hexdigest()[:13]
+def copies(doc_id, text, number, rate):
+    told = hashlib.md5((text or "").encode()).hexdigest()
+    digits = hashlib.md5(f"17:{'null' if doc_id is None else doc_id}:{told}:{number}".encode()).hexdigest()[:13]
     return int(rate) + (int(digits, 16) / 2**52 < rate - int(rate))
 
 
@@ -94,9 +95,11 @@ def test_stages(spark, tmp_path, extra):
     for r in rows:
         words[r[3]] += len(WORD.findall(r[1] or ""))
     goal = targets(words)
-    want = Counter()
+    want, met = Counter(), Counter()
     for r in rows:
-        want[r] += copies(r[0], goal[r[3]] / words[r[3]] if words[r[3]] else 0)
+        same = (r[0], r[3], r[1] or "")
+        want[r] += copies(r[0], r[1], met[same], goal[r[3]] / words[r[3]] if words[r[3]] else 0)
+        met[same] += 1
     assert Counter(map(tuple, after.collect())) == +want
 
     name, rows, after = plain[4]
