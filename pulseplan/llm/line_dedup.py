@@ -313,17 +313,19 @@ def _with_kept(docs: DataFrame, columns: list[Column]) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later lines taken out of ``text``, and ``n_chars``, if there, set anew."""
-    rows = _with_kept(docs, [F.col(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    rows = _with_kept(docs, [F.struct(*others).alias("doc"), F.col("text")])
     numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
 
     def stays(part: Column) -> Column:
         return ~F.regexp_like(part["line"], F.lit(r"[^\x20\x09-\x0D]")) | F.array_contains(F.col("ld_kept"), part["i"])
 
     left = F.transform(F.filter(numbered, stays), lambda part: part["line"])
-    rows = rows.withColumn("text", F.array_join(left, "\n"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    rows = rows.select("doc", F.array_join(left, "\n").alias("text"))
+    columns = {c: F.col("doc")[c] for c in others} | {"text": F.col("text")}
+    if "n_chars" in others:
+        columns["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:

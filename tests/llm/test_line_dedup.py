@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from pulseplan.llm import line_dedup, registry
 
-SCHEMA = "doc_id long, text string, n_chars int, key string, line string, n int, place string"
+SCHEMA = "doc_id long, text string, n_chars int, key string, line string, n int, place string, ld_id int, ld_kept int, ld_doc int, ld_sum int, ld_crc int, doc string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -44,7 +44,7 @@ def expected(rows):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, 3, "k", "l", 5, "p") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, 3, "k", "l", 5, "p", 1, 2, 3, 4, 5, "d") for i, t in rows], SCHEMA)
 
 
 def check(spark, rows):
@@ -57,6 +57,7 @@ def check(spark, rows):
         texts.append((i, left, len(left or "")))
     deduped = line_dedup.dedup_lines(docs)
     assert deduped.columns == docs.columns
+    assert all(r[3:] == ("k", "l", 5, "p", 1, 2, 3, 4, 5, "d") for r in deduped.collect())
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in deduped.collect()), key=repr) == sorted(texts, key=repr)
 
 
