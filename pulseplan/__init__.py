@@ -53,6 +53,6 @@ from .operators.trends import (
     period_change_rows,
 )
 from .plans.report import ReportOptions, report_metrics
-from .sources import load_tables, write_tables
+from .sources import cluster_fact, load_tables, write_tables
 
 # ruff: noqa: F401

@@ -16,6 +16,7 @@ from .calendar import (
     default_window,
     floored_days,
     has_dates,
+    months_after,
     period_end,
     period_label,
     period_start,
@@ -33,6 +34,7 @@ __all__ = [
     "half_even",
     "half_even_sql",
     "has_dates",
+    "months_after",
     "percent",
     "percent_sql",
     "period_end",

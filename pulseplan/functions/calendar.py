@@ -93,6 +93,22 @@ def until(fact: DataFrame, as_of: DateLike) -> DataFrame:
     return rows
 
 
+def months_after(fact: DataFrame, anchors: DataFrame, anchor: str, last_day: int) -> DataFrame:
+    """``fact`` without the months that no day ``0..last_day`` after an ``anchor`` falls in.
+
+    The bounds are scalar subqueries, known when the scan starts, and act on a table that
+    is partitioned by month; on others nothing changes. They are a day wider than needed,
+    so that times of day and zones do not matter.
+    """
+    if MONTH_PARTITION not in fact.columns:
+        return fact
+    day = F.col(anchor).cast("date")
+    first = anchors.agg(F.trunc(F.date_sub(F.min(day), 1), "MM")).scalar()
+    last = anchors.agg(F.date_add(F.max(day), last_day + 2)).scalar()
+    month = F.col(MONTH_PARTITION)
+    return fact.filter((month >= first) & (month <= last))
+
+
 def floored_days(later: Column, earlier: Column) -> Column:
     """Whole days from ``earlier`` to ``later``, floored (minus six hours is -1)."""
     micros = F.timestamp_diff(

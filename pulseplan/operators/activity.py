@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import day_offset, within
+from ..functions import day_offset, months_after, within
 from ..functions.calendar import DateLike
 
 FIRST_MONTH_COLUMN = "active_days_in_first_30"
@@ -52,10 +52,13 @@ def days_since(
     Spark's skew-join handling may not split the partition of a patient with
     very many rows. Grouping by the struct costs one more shuffle, but only of
     what is left after the partial aggregation: one row per patient and task.
+
+    Of a fact partitioned by month, only months near some anchor are read.
     """
     anchors = patients.filter(F.col(anchor).isNotNull()).select("patient_id", anchor)
     return (
-        fact.select("patient_id", "date", "is_active_day")
+        months_after(fact, anchors, anchor, last_day)
+        .select("patient_id", "date", "is_active_day")
         .join(anchors, "patient_id")
         .withColumn("day", day_offset(fact, patients, anchor))
         .filter(F.col("day").between(0, last_day))

@@ -1,5 +1,6 @@
 """Readers, writers and table schemas."""
 
+from .clustered import cluster_fact
 from .csv_tables import load_tables, write_tables
 from .schema import DATE_COLUMNS, TABLE_SCHEMAS
 from .scratch import shared_folder, stored
@@ -7,6 +8,7 @@ from .scratch import shared_folder, stored
 __all__ = [
     "DATE_COLUMNS",
     "TABLE_SCHEMAS",
+    "cluster_fact",
     "load_tables",
     "shared_folder",
     "stored",
