@@ -9,9 +9,9 @@ Misspellings that no training text holds share n-grams, and so vectors, with wor
 Training and scoring split and lower-case texts with the same function, `split_words`.
 
 Training sees at most ``TRAIN_ROWS`` labelled texts of each class, chosen by a hash of
-their id; they alone come to the driver. Class weights restore the share of toxic texts
-among all labelled rows. Texts are scored where they lie: as all is linear, a word's
-part in the score is one number, kept for the words that a worker has met.
+their id, in one task; only the model comes to the driver. Class weights restore the share
+of toxic texts among all labelled rows. Texts are scored where they lie: as all is linear,
+a word's part in the score is one number, kept for the words that a worker has met.
 
 Nulls: a null text is empty. A text without words scores by the bias alone. Labels that
 are null, repeated or without a document train nothing or each on their own. Without
@@ -66,10 +66,11 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
-def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((x for part in lists for x in part), dtype=np.int32, count=int(sizes.sum()))
-    return flat, sizes
+def _buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words in a row, and how many each word has."""
+    parts = [np.array(subwords(w), dtype=np.int32) for w in words]
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    return np.concatenate([*parts, np.zeros(0, dtype=np.int32)]), sizes
 
 
 class _Mean:
@@ -139,7 +140,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float) -> Model:
     """Fits vectors and softmax over all given texts; each has a word."""
     y = np.array(labels, dtype=np.int64)
     vocabulary, flat, sizes = split_words(pa.array(texts, pa.large_string()))
-    grams, gram_sizes = _ragged([subwords(w) for w in vocabulary])
+    grams, gram_sizes = _buckets(vocabulary)
     found = _texts_of_buckets(grams, gram_sizes, flat, sizes, y)
     # Rare buckets would tell texts apart, not classes.
     common = found.sum(axis=0) >= MIN_TEXTS
@@ -208,7 +209,7 @@ class Scorer:
             self.seen, new = {}, words
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            flat, sizes = _ragged([subwords(w) for w in some])
+            flat, sizes = _buckets(some)
             sums = np.add.reduceat(self.model.weights[flat].astype(np.float64), np.cumsum(sizes) - sizes)
             self.seen.update(zip(some, (sums / sizes).tolist(), strict=True))
         return np.array([self.seen[w] for w in words])
@@ -241,16 +242,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, is_training: Column) -> Da
     return joined.select("doc_id", "text", "toxic", F.lit(share).alias("share"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, is_training: Column) -> Model:
-    """A model of the labelled rows that ``is_training`` (a condition on doc_id) selects."""
-    rows = sorted(map(tuple, training_rows(docs, labels, is_training).collect()))
-    share = rows[0][3] if rows else 0.0
-    has_words = split_words(pa.array([r[1] for r in rows], pa.large_string()))[2] > 0
-    rows = [r for r, has in zip(rows, has_words, strict=True) if has]
-    if len({r[2] for r in rows}) < 2:
+def _fitted(texts: list[str], labels: list[int], share: float) -> Model:
+    """A model of the texts that have words, or of the share alone if they are of one class."""
+    has_words = split_words(pa.array(texts, pa.large_string()))[2] > 0
+    kept = [(t, y) for t, y, has in zip(texts, labels, has_words, strict=True) if has]
+    if len({y for _, y in kept}) < 2:
         odds = math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0)
         return Model(np.zeros(BUCKETS, dtype=np.float32), odds)
-    return train([r[1] for r in rows], [r[2] for r in rows], share)
+    return train([t for t, _ in kept], [y for _, y in kept], share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, is_training: Column) -> Model:
+    """A model of the labelled rows that ``is_training`` (a condition on doc_id) selects.
+
+    One task trains on all chosen rows; their texts do not pass through the driver.
+    """
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = _fitted([r[1] for r in rows], [r[2] for r in rows], rows[0][3] if rows else 0.0)
+        yield pa.record_batch({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    rows = training_rows(docs, labels, is_training).repartition(1)
+    model = rows.mapInArrow(trained, "weights binary, bias double").first()
+    if model is None:  # no rows, and so no task
+        return _fitted([], [], 0.0)
+    return Model(np.frombuffer(model.weights, dtype=np.float32), model.bias)
 
 
 def toxicity_of(spark: SparkSession, model: Model, text: str = "text") -> Column:
