@@ -49,6 +49,11 @@ def get_active_rate_by_clinic(
             F.coalesce(F.sum("is_active_day"), F.lit(0)).alias("active_days"),
         )
     )
+    return rate_by_clinic(counted, clinics)
+
+
+def rate_by_clinic(counted: DataFrame, clinics: DataFrame) -> DataFrame:
+    """`get_active_rate_by_clinic` from (clinic_id, total_days, active_days)."""
     named = clinics.select("clinic_id", "clinic_name").filter(
         F.col("clinic_name").isNotNull()
     )
@@ -99,17 +104,21 @@ def get_active_rate_by_day_since_enrollment(
     Days without data are present with zeros.
     """
     # One row per patient and day first: the patients are then simply counted.
-    by_day = (
+    per_patient = (
         days_since(patients, fact_patient_day, "enrollment_date", days_after_enrollment)
         .groupBy("day", "patient")
         .agg(F.coalesce(F.sum("is_active_day"), F.lit(0)).alias("active"))
-        .groupBy(F.col("day").alias("day_since_enrollment"))
-        .agg(
-            F.count(F.lit(1)).alias("total_patients"),
-            F.sum("active").alias("active_patients"),
-        )
     )
-    days = patients.sparkSession.range(0, days_after_enrollment + 1, 1, 1).select(
+    return rate_by_day(per_patient, days_after_enrollment)
+
+
+def rate_by_day(per_patient: DataFrame, days_after_enrollment: int = CURVE_DAYS) -> DataFrame:
+    """`get_active_rate_by_day_since_enrollment` from (day, patient, active)."""
+    by_day = per_patient.groupBy(F.col("day").alias("day_since_enrollment")).agg(
+        F.count(F.lit(1)).alias("total_patients"),
+        F.sum("active").alias("active_patients"),
+    )
+    days = per_patient.sparkSession.range(0, days_after_enrollment + 1, 1, 1).select(
         F.col("id").cast("int").alias("day_since_enrollment")
     )
     total, active = F.col("total_patients"), F.col("active_patients")

@@ -24,7 +24,7 @@ STAGES = (
 )
 # --- end of fixed values ---
 
-_DATES = ["enrollment_date", "install_date", "first_data_date"]
+STAGE_DATES = ["enrollment_date", "install_date", "first_data_date"]
 
 
 def patient_stages(
@@ -37,13 +37,20 @@ def patient_stages(
     The stages are independent sets: a patient can be installed, not enrolled. They
     count rows of ``patients``, which holds one row per patient.
     """
-    if has_dates(patients, "enrollment_date", "first_data_date"):
+    month = activity_since(
+        patients, fact_patient_day, "enrollment_date", FIRST_MONTH_DAYS, STAGE_DATES
+    )
+    return stages_of(month, billing_compliance_threshold)
+
+
+def stages_of(
+    month: DataFrame, billing_compliance_threshold: int = BILLING_THRESHOLD
+) -> DataFrame:
+    """`patient_stages` from patient_id, `STAGE_DATES` and the first month's activity."""
+    if has_dates(month, "enrollment_date", "first_data_date"):
         wait = F.datediff("first_data_date", "enrollment_date")
     else:
         wait = floored_days(F.col("first_data_date"), F.col("enrollment_date"))
-    month = activity_since(
-        patients, fact_patient_day, "enrollment_date", FIRST_MONTH_DAYS, _DATES
-    )
     compliant = F.col("active_rows") >= max(billing_compliance_threshold, 1)
     return month.select(
         "patient_id",

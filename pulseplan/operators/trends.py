@@ -32,13 +32,20 @@ def get_active_users_biweekly(
     Tuesday to Monday, despite the name. ``weeks=2`` gives true 14-day periods.
     A period without such a patient is absent.
     """
-    counts = (
+    per_patient = (
         fact_patient_day.filter(
             is_active() & F.col("patient_id").isNotNull() & F.col("date").isNotNull()
         )
         .groupBy("patient_id", period_start(F.col("date"), weeks).alias("period_start"))
         .agg(F.count(F.lit(1)).alias("active_days"))
-        .filter(F.col("active_days") >= active_threshold)
+    )
+    return users_per_period(per_patient, active_threshold, weeks)
+
+
+def users_per_period(per_patient: DataFrame, active_threshold: int, weeks: int) -> DataFrame:
+    """`get_active_users_biweekly` from (patient_id, period_start, active_days)."""
+    counts = (
+        per_patient.filter(F.col("active_days") >= active_threshold)
         .groupBy("period_start")
         .agg(F.count(F.lit(1)).alias("active_users"))
     )

@@ -18,13 +18,15 @@ from ..operators import (
     retention,
     trends,
 )
+from ..operators.month_states import month_states
 from ..sources import (
     TABLE_SCHEMAS,
     load_tables,
     shared_folder,
+    stored,
     write_tables,
 )
-from .report import ReportOptions, report_metrics
+from .report import ReportOptions, report_metrics, shared_results_of_months
 from .star_schema import derive_raw_tables, derive_tables
 
 Tables = Mapping[str, DataFrame]
@@ -249,6 +251,14 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.coerce_dates(load_tables(spark, folder, schemas=schemas))["patients"]
 
 
+def _report_from_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from stored states by month; the fact is read once, to make them."""
+    tables, options = derive_tables(spark, sf_dir), report_options()
+    states = stored(month_states(tables["fact_patient_day"]), "month-states")
+    shared = shared_results_of_months(tables, states, options)
+    return _rounded(report_metrics(tables, options, shared), "value")
+
+
 def _csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their line breaks, quotes and blanks, as CSV and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
@@ -280,5 +290,6 @@ def all_queries() -> dict[str, Query]:
     named |= {name: _on(build, derive_raw_tables) for name, build in _CLEANING.items()}
     named["csv_roundtrip"] = _csv_roundtrip
     named["csv_texts"] = _csv_texts
+    named["report_from_months"] = _report_from_months
     named["csv_inferred"] = _csv_inferred
     return named

@@ -1,7 +1,7 @@
 """The three jobs: prepare the tables, write the report, analyse drop-off.
 
     spark-submit ... jobs.py prepare RAW_DIR CLEAN_DIR QUALITY_DIR
-    spark-submit ... jobs.py report CLEAN_DIR OUT_DIR [--as-of DAY]
+    spark-submit ... jobs.py report CLEAN_DIR OUT_DIR [--as-of DAY] [--months DIR]
     spark-submit ... jobs.py dropoff CLEAN_DIR OUT_DIR
 
 or ``python -m pulseplan.plans.jobs ...`` for a local session. RAW_DIR holds CSV
@@ -34,7 +34,9 @@ from pulseplan.plans.report import (
     high_risk_ids,
     report_metrics,
     shared_results,
+    shared_results_of_months,
 )
+from pulseplan.plans.month_store import load_months, refresh_months
 from pulseplan.sources import load_tables, stored, write_tables
 
 def _read(
@@ -199,14 +201,27 @@ def report(
     out_dir: str,
     options: ReportOptions,
     fmt: str = "parquet",
+    months_dir: str | None = None,
 ) -> None:
     """Write every table of the report.
 
     The fact table is read five times and joined with the patients twice, for the
     results that all others are derived from; those are stored in the shared folder.
+
+    ``months_dir``: a folder that keeps the fact's states by month between reports. Then the
+    fact is read once, of months whose files changed since, and all else comes from the states.
     """
     tables = _read(spark, clean_dir, fmt)
-    shared = {k: stored(v, f"report-{k}") for k, v in shared_results(tables, options).items()}
+    if months_dir is None:
+        shared = shared_results(tables, options)
+    elif fmt != "parquet":
+        raise ValueError("states by month need a fact stored as parquet")
+    else:
+        fact = f"{clean_dir.rstrip('/')}/fact_patient_day.parquet"
+        refresh_months(spark, fact, months_dir)
+        states = load_months(spark, fact, months_dir)
+        shared = shared_results_of_months(tables, states, options)
+    shared = {k: stored(v, f"report-{k}") for k, v in shared.items()}
     write_tables(report_tables(tables, options, shared), out_dir, fmt)
 
 
@@ -263,6 +278,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     for folder in ("clean_dir", "out_dir"):
         job.add_argument(folder)
     job.add_argument("--as-of", default=settings.ANALYSIS_DATE)
+    job.add_argument("--months", metavar="DIR", help="keeps the fact's states by month")
     for name, kind in _REPORT_OPTIONS.items():
         job.add_argument(f"--{name.replace('_', '-')}", type=kind)
     job = jobs.add_parser("dropoff")
@@ -282,7 +298,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif args.job == "report":
         given = {n: getattr(args, n) for n in _REPORT_OPTIONS if getattr(args, n) is not None}
         options = replace(ReportOptions.for_day(args.as_of), **given)
-        report(spark, args.clean_dir, args.out_dir, options, args.format)
+        report(spark, args.clean_dir, args.out_dir, options, args.format, args.months)
     else:
         dropoff(spark, args.clean_dir, args.out_dir, args.format)
 

@@ -468,6 +468,7 @@ ORDER BY drop_from_previous DESC, active_days_threshold LIMIT 5"""),
         "retention_milestones": _sql("retention", """
 SELECT * FROM retention WHERE active_days_threshold IN (1, 5, 10, 16, 20, 25, 30)"""),
         "report_metrics": _report(),
+        "report_from_months": _report(),
         "table_profile": _sql("", profile),
         "null_rates": _sql("", nulls),
         "date_range": _sql("", """

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .. import settings
 from ..functions import as_date, default_window, guarded_percent, percent, within
 from ..functions.calendar import DateLike
-from ..operators import active_days, funnel, overall, retention, trends
+from ..operators import active_days, funnel, month_states, overall, retention, trends
 from ..operators.activity import FIRST_MONTH_COLUMN, is_active
 
 
@@ -73,14 +73,7 @@ def patient_roll_up(fact: DataFrame, options: ReportOptions) -> DataFrame:
     Billing window, activity window and lookback are conditions inside one roll-up, so
     the three read and shuffle the fact table once.
     """
-    billing = (as_date(options.billing_start), as_date(options.billing_end))
-    window = (as_date(options.start), as_date(options.end))
-    today = as_date(options.analysis_date)
-    lookback = (
-        today - dt.timedelta(days=options.lookback_days),
-        today + dt.timedelta(days=1),
-    )
-    spans = (billing, window, lookback)
+    spans = _spans(options)
     rows = within(fact, min(s for s, _ in spans), max(e for _, e in spans))
     billed, seen, recent = (_between(*span) for span in spans)
     return rows.groupBy("patient_id").agg(
@@ -95,6 +88,45 @@ def patient_roll_up(fact: DataFrame, options: ReportOptions) -> DataFrame:
     )
 
 
+def _spans(options: ReportOptions) -> tuple[tuple[dt.date, dt.date], ...]:
+    """The billing window, the activity window and the lookback, as ``[start, end)``."""
+    today = as_date(options.analysis_date)
+    lookback = today - dt.timedelta(days=options.lookback_days), today + dt.timedelta(days=1)
+    billing = as_date(options.billing_start), as_date(options.billing_end)
+    return billing, (as_date(options.start), as_date(options.end)), lookback
+
+
+def roll_up_of_months(states: DataFrame, options: ReportOptions) -> DataFrame:
+    """`patient_roll_up` from `month_states`.
+
+    ``high_scores`` counts days, not rows, with a high score; they are zero together.
+    """
+    spans = _spans(options)
+    whole = min(s for s, _ in spans), max(e for _, e in spans)
+    billing, window, lookback = (tuple(map(F.lit, span)) for span in spans)
+    days_in = month_states.days_in
+    per_month = month_states.states_within(states, *whole).select(
+        "patient_id",
+        days_in("seen", *map(F.lit, whole)).alias("any_rows"),
+        days_in("seen", *billing).alias("billing_rows"),
+        days_in("active", *billing).alias("billing_days"),
+        days_in("seen", *window).alias("rows"),
+        days_in("active", *window).alias("days"),
+        days_in("flagged", *window).alias("flagged"),
+        month_states.high_score_days(*lookback, options.fall_risk_threshold).alias("high_scores"),
+    )
+    sums = ("billing_rows", "billing_days", "rows", "days")
+    return (
+        per_month.filter(F.col("any_rows") > 0)
+        .groupBy("patient_id")
+        .agg(
+            *[F.sum(c).alias(c) for c in sums],
+            F.when(F.sum("flagged") > 0, F.sum("days")).alias("flags"),
+            F.sum("high_scores").alias("high_scores"),
+        )
+    )
+
+
 def billable_ids(roll_up: DataFrame, options: ReportOptions) -> DataFrame:
     enough = F.col("billing_days") >= max(options.billing_threshold, 1)
     return roll_up.filter(F.col("patient_id").isNotNull() & enough).select("patient_id")
@@ -265,6 +297,31 @@ def shared_results(
     }
 
 
+def shared_results_of_months(
+    tables: Mapping[str, DataFrame], states: DataFrame, options: ReportOptions
+) -> dict[str, DataFrame]:
+    """`shared_results` from the `month_states` of the fact table, which is not read."""
+    patients = tables["patients"]
+    first_month = month_states.activity_after(
+        patients, states, "enrollment_date", funnel.STAGE_DATES
+    )
+    return {
+        "roll_up": roll_up_of_months(states, options),
+        "users": trends.users_per_period(
+            month_states.period_days(states, options.weeks),
+            options.active_threshold,
+            options.weeks,
+        ),
+        "by_clinic": active_days.rate_by_clinic(
+            month_states.clinic_days(states, options.start, options.end), tables["clinics"]
+        ),
+        "curve": active_days.rate_by_day(
+            month_states.days_after(patients, states, "enrollment_date")
+        ),
+        "stages": funnel.stages_of(first_month, options.billing_threshold),
+    }
+
+
 def report_metrics(
     tables: Mapping[str, DataFrame],
     options: ReportOptions,
