@@ -20,6 +20,11 @@ def is_active() -> Column:
     return F.col("is_active_day") == 1
 
 
+def row_count() -> Column:
+    """Rows of a table; 0, not NULL, where empty tables are counted by their footers."""
+    return F.greatest(F.count(F.lit(1)), F.lit(0).cast("long"))
+
+
 def patient_activity(
     fact: DataFrame, start: DateLike | None = None, end: DateLike | None = None
 ) -> DataFrame:

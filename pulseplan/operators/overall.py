@@ -15,12 +15,12 @@ from ..settings import (
     FALL_RISK_LOOKBACK_DAYS,
     FALL_RISK_THRESHOLD,
 )
-from .activity import patient_activity
+from .activity import patient_activity, row_count
 
 
 def get_patient_count(patients: DataFrame) -> DataFrame:
     """Number of patient rows."""
-    return patients.agg(F.count(F.lit(1)).alias("patient_count"))
+    return patients.agg(row_count().alias("patient_count"))
 
 
 def _reached(threshold: int) -> Column:

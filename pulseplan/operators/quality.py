@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import half_even
+from ..settings import MONTH_PARTITION
 from ..sources.schema import DATE_COLUMNS
+from .activity import row_count
 from .preparation import parsed_date
 
 
@@ -22,7 +24,7 @@ def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, row_count, column_count) of each table."""
     return _stack(
         [
-            table.agg(F.count(F.lit(1)).alias("row_count")).select(
+            table.agg(row_count().alias("row_count")).select(
                 F.lit(name).alias("table_name"),
                 "row_count",
                 F.lit(len(table.columns)).alias("column_count"),
@@ -88,6 +90,9 @@ def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def date_range(df: DataFrame, column: str = "date") -> DataFrame:
     """One row: first and last day, and first minus last in days (so <= 0)."""
+    if column == "date" and MONTH_PARTITION in df.columns:
+        # Files without any date have no range in their footers either.
+        df = df.filter(F.col(MONTH_PARTITION).isNotNull())
     return df.agg(
         F.min(column).alias("min_date"), F.max(column).alias("max_date")
     ).withColumn("day_difference", F.datediff("min_date", "max_date"))

@@ -21,6 +21,7 @@ from ..operators import (
 from ..operators.month_states import month_states
 from ..sources import (
     TABLE_SCHEMAS,
+    footer_tables,
     load_tables,
     shared_folder,
     stored,
@@ -259,6 +260,16 @@ def _report_from_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(report_metrics(tables, options, shared), "value")
 
 
+# The stored tables that are profiled as they are.
+_PROFILED = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+def _stored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of the stored tables, from their files' footers."""
+    found = footer_tables(spark, sf_dir)
+    return quality.table_profile({t: found[t] for t in _PROFILED})
+
+
 def _csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their line breaks, quotes and blanks, as CSV and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
@@ -290,6 +301,7 @@ def all_queries() -> dict[str, Query]:
     named |= {name: _on(build, derive_raw_tables) for name, build in _CLEANING.items()}
     named["csv_roundtrip"] = _csv_roundtrip
     named["csv_texts"] = _csv_texts
+    named["stored_profile"] = _stored_profile
     named["report_from_months"] = _report_from_months
     named["csv_inferred"] = _csv_inferred
     return named

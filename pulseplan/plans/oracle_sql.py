@@ -469,6 +469,11 @@ ORDER BY drop_from_previous DESC, active_days_threshold LIMIT 5"""),
 SELECT * FROM retention WHERE active_days_threshold IN (1, 5, 10, 16, 20, 25, 30)"""),
         "report_metrics": _report(),
         "report_from_months": _report(),
+        "stored_profile": "\nUNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS row_count, "
+            f"(SELECT CAST(count(*) AS int) FROM (DESCRIBE {t})) AS column_count FROM {t}"
+            for t in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+        ),
         "table_profile": _sql("", profile),
         "null_rates": _sql("", nulls),
         "date_range": _sql("", """

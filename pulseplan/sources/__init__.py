@@ -2,6 +2,7 @@
 
 from .clustered import cluster_fact
 from .csv_tables import load_tables, write_tables
+from .footers import footer_tables
 from .schema import DATE_COLUMNS, TABLE_SCHEMAS
 from .scratch import shared_folder, stored
 
@@ -9,6 +10,7 @@ __all__ = [
     "DATE_COLUMNS",
     "TABLE_SCHEMAS",
     "cluster_fact",
+    "footer_tables",
     "load_tables",
     "shared_folder",
     "stored",
