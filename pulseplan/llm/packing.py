@@ -2,8 +2,13 @@
 
 Every partition packs its own pieces by best fit, longest first. Bins that are nearly
 full are done. The others go up a tree as items of their own: each node takes the open
-bins of ``FAN_IN`` nodes below and packs them by best fit again. What a node carries up
-is bounded; of more open bins, the fullest are done as they are. No piece is dropped.
+bins of ``FAN_IN`` nodes below and packs them by best fit again.
+
+Two bins over half full never fit together, and two others always do, so a node leaves one
+bin at most that is not over half full. Only these look for a place further up: no more than
+there are partitions. So a node carries up that many open bins, those with the most room
+(``CARRIED`` if that is more); whoever finds no room among them would find none among
+the rest, which are done as they are. Memory is bounded, and no sequence is added by it.
 
 Nulls: a null text is an empty one, a document of the end id alone. A null document id
 is kept. Repeated rows are packed as often as they occur. An empty table gives no rows.
@@ -27,13 +32,13 @@ from .tokens import encoded_documents
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MEMBERS = ("doc_id", "piece", "start", "length", "ids_crc32")
 _BINS = (
-    "node long, done boolean, filled int, sequence_id long, doc_id array<long>, "
+    "node long, done boolean, rank int, filled int, sequence_id long, doc_id array<long>, "
     "piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>, "
     "offset array<long>"
 )
 _NO_ID = -(1 << 63)
 FAN_IN = 8
-# Open bins that one node may carry up: what bounds the memory of the node above.
+# Open bins that one node carries up, or as many as there are partitions if those are more.
 CARRIED = 50_000
 
 
@@ -91,16 +96,18 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 def _packed(
     level: int, node: int, items: pd.DataFrame, capacity: int, slack: int, last: bool
 ) -> pd.DataFrame:
-    """One node's bins. ``items`` holds lists of members and how many tokens they have."""
+    """One node's bins. ``items`` holds lists of members and how many tokens they have.
+
+    ``rank``: the bin's place among the node's bins by room, the emptiest first.
+    """
     sizes = items["filled"].to_numpy()
     bins = best_fit(sizes, capacity)
     filled = np.array([sizes[b].sum() for b in bins], dtype=np.int32)
     done = np.full(len(bins), last) | (capacity - filled <= slack)
-    still = np.flatnonzero(~done)
-    if len(still) > CARRIED:
-        done[still[np.argsort(filled[still], kind="stable")[CARRIED:]]] = True
+    rank = np.empty(len(bins), dtype=np.int32)
+    rank[np.argsort(filled, kind="stable")] = np.arange(len(bins))
     number = (level << 56) + (node << 28) + np.arange(len(bins))
-    out = {"node": node, "done": done, "filled": filled, "sequence_id": number}
+    out = {"node": node, "done": done, "rank": rank, "filled": filled, "sequence_id": number}
     for c in _MEMBERS:
         lists = items[c].to_numpy()
         out[c] = [np.concatenate([lists[i] for i in b]) for b in bins]
@@ -142,15 +149,14 @@ def pack(pieces: DataFrame, capacity: int = 4096, slack: int | None = None) -> D
     whole = pieces.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), *_MEMBERS[1:])
     bins = stored(whole.mapInPandas(leaf, _BINS), "packing")
     nodes = (bins.agg(F.max("node")).first()[0] or 0) + 1
-    full, level = bins.filter("done"), 0
+    goes_up = ~F.col("done") & (F.col("rank") < max(CARRIED, nodes))
+    full, level = bins.filter(~goes_up), 0
     while nodes > 1 or not level:
         level, nodes = level + 1, -(-nodes // FAN_IN)
-        above = bins.filter(~F.col("done")).withColumn(
-            "node", F.floor(F.col("node") / FAN_IN)
-        )
+        above = bins.filter(goes_up).withColumn("node", F.floor(F.col("node") / FAN_IN))
         merge = merged(level, last=nodes == 1)
         bins = stored(above.groupBy("node").applyInPandas(merge, _BINS), "packing")
-        full = full.unionByName(bins.filter("done"))
+        full = full.unionByName(bins.filter(~goes_up))
     members = F.explode(F.arrays_zip(*_MEMBERS, "offset")).alias("m")
     return full.select("sequence_id", members).select(
         F.nullif("m.doc_id", F.lit(_NO_ID)).alias("doc_id"),

@@ -143,6 +143,49 @@ def test_packing_merges_bins_of_many_partitions(spark):
     assert used <= 1.03 * sizes.sum() / 4096 + 1
 
 
+def sequences_of_tree(parts, capacity, carried):
+    """How many sequences the tree of nodes makes if each carries up ``carried`` open bins."""
+    import pandas as pd
+
+    def item(sizes):
+        own = {c: [np.array([0]) for _ in sizes] for c in packing._MEMBERS}
+        own["length"] = [np.array([n]) for n in sizes]
+        return pd.DataFrame({"filled": np.array(sizes), **own})
+
+    nodes, level, done = [item(p) for p in parts], 0, 0
+    while True:
+        last = len(nodes) == 1 and level > 0
+        bins = [packing._packed(level, k, n, capacity, 0, last) for k, n in enumerate(nodes)]
+        ups = [b[~b["done"] & (b["rank"] < carried)] for b in bins]
+        done += sum(len(b) - len(u) for b, u in zip(bins, ups, strict=True))
+        if last:
+            return done
+        merged = [ups[k : k + packing.FAN_IN] for k in range(0, len(ups), packing.FAN_IN)]
+        nodes, level = [pd.concat(m, ignore_index=True) for m in merged], level + 1
+        nodes = [n if len(n) else item([]) for n in nodes]
+        if not any(len(n) for n in nodes):
+            return done
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 20), min_size=1, max_size=12), min_size=1, max_size=20))
+def test_packing_carries_all_open_bins_that_can_be_used(parts):
+    """As many open bins as there are partitions do what all of them do."""
+    assert sequences_of_tree(parts, 20, len(parts)) == sequences_of_tree(parts, 20, 10**9)
+
+
+def test_packing_carries_more_bins_than_its_floor(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CARRIED", 1)
+    # Each partition has a short piece, and the first one long pieces that each take one.
+    rows = [(i, 0, 0, 60 + i % 3, i) for i in range(9)] + [(9 + i, 0, 0, 40 - i % 3, i) for i in range(9)]
+    sized = spark.createDataFrame([(0 if r[0] < 9 else r[0] - 8, *r) for r in rows], "at long, " + packing.PIECES)
+    parts = [sized.filter(f"at = {k}").drop("at").coalesce(1) for k in range(10)]
+    pieces = parts[0]
+    for part in parts[1:]:
+        pieces = pieces.union(part)
+    assert check_packing(packing.pack(pieces, 100, 0).collect(), rows, 100) <= 10
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(docs(spark, []), PATH).collect() == []
 
