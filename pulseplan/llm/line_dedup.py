@@ -11,9 +11,13 @@ that earlier line stays itself. Lines without words always stay.
    larger and the first n - ceil(2 t n / (1 + t)) + 1 of the other (prefix filter). Pairs
    that share one must also fit in size (length filter), have enough words left behind
    the shared one to reach the overlap (positional filter), and differ in few bits of
-   their sketches: in each of 64 bits, whether an odd number of words falls there.
+   their sketches: in each of 64 bits, whether an odd number of words falls there. Sets of
+   many words fill 64 bits with any other set's difference, and have wider sketches too.
 4. What is left is verified on all words, by their 64-bit hashes.
 
+The postings of the join proper take several times the disk of the sets, so they are
+dealt by their keys into ``SLICES`` parts that are joined one after the other.
+
 Near copies of one line would make a square of pairs. So each set first meets only the
 earliest set under its last prefix keys, a pair per key at most; sets that go by this
 ask no more. The join proper then works for the others, against all sets.
@@ -41,6 +45,10 @@ NUM, DEN = 4, 5
 # Last keys of the prefix under which a set meets the earliest one.
 FIRST_LOOK = 3
 FILTER_BYTES = 1 << 17
+# Parts of the keys that are joined one after the other.
+SLICES = 4
+# Words for which 64 bits are enough, and the most longs of a wider sketch.
+SKETCH_WORDS, SKETCH_LONGS = 48, 8
 _CLASS_BITS = 7
 _HASH_BITS = 63 - _CLASS_BITS
 
@@ -120,8 +128,24 @@ def _sketch(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), flip)
 
 
+def _wide_sketch(keys: Column) -> Column:
+    """As `_sketch`, in 2, 4 or 8 longs for sets of more words; empty if 64 bits are enough.
+
+    Either half of a wide sketch, flipped by the other, is the sketch of half the width.
+    """
+    longs = F.lit(SKETCH_LONGS)
+    for width in (SKETCH_LONGS // 2, SKETCH_LONGS // 4):
+        longs = F.when(F.size(keys) <= width * SKETCH_WORDS, F.lit(width)).otherwise(longs)
+
+    def part(number: Column) -> Column:
+        return _sketch(F.filter(keys, lambda k: F.call_function("shiftright", k, F.lit(6)).bitwiseAND(longs - 1) == number))
+
+    wide = F.transform(F.sequence(F.lit(0), longs - 1), part)
+    return F.when(F.size(keys) > SKETCH_WORDS, wide).otherwise(F.array().cast("array<long>"))
+
+
 def line_sets(docs: DataFrame) -> DataFrame:
-    """Each set of words once: (doc_id, place) of its first line, size n, prefix keys."""
+    """Each set of words once: (doc_id, place) of its first line, size n, sketches, prefix keys."""
     classes = size_classes(docs)
     keyed = lines(docs).select("doc_id", "place", keys(F.col("line"), classes).alias("keys"))
     n = F.size("keys")
@@ -132,12 +156,13 @@ def line_sets(docs: DataFrame) -> DataFrame:
         F.struct("doc_id", "place").alias("at"),
         n.alias("n"),
         _sketch(F.col("keys")).alias("sketch"),
+        _wide_sketch(F.col("keys")).alias("wide"),
         F.slice("keys", 1, prefix).alias("prefix"),
     )
     first = marked.groupBy("id", "id2").agg(
-        F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
+        F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "sketch", "wide", "prefix")]
     )
-    return stored(first.select("at.doc_id", "at.place", "n", "sketch", "prefix"), "line-sets")
+    return stored(first.select("at.doc_id", "at.place", "n", "sketch", "wide", "prefix"), "line-sets")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -153,6 +178,22 @@ def _sets_fit(a: str, b: str) -> Column:
     return sizes & (F.lit(NUM + DEN) * bits <= F.lit(DEN - NUM) * (a_n + b_n))
 
 
+def _wide_fit(a: str, b: str) -> Column:
+    """Wide sketches that differ in few bits, of sets whose sizes fit; the wider one is halved."""
+    a_wide, b_wide = F.col(f"{a}_wide"), F.col(f"{b}_wide")
+    longs = F.least(F.size(a_wide), F.size(b_wide))
+
+    def cut(wide: Column) -> Column:
+        halves = F.slice(wide, F.lit(1), longs), F.slice(wide, longs + 1, longs)
+        halved = F.zip_with(*halves, lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(wide) > longs, halved).otherwise(wide)
+
+    apart = F.zip_with(cut(a_wide), cut(b_wide), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    fits = F.lit(NUM + DEN) * bits <= F.lit(DEN - NUM) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+    return F.when(longs > 0, fits).otherwise(F.lit(True))
+
+
 def _places_fit(a: str, b: str) -> Column:
     """Positional filter for the first shared word; ``left`` is the words from it on."""
     a_n, b_n = F.col(f"{a}_n"), F.col(f"{b}_n")
@@ -205,20 +246,22 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, place) of each x whose words are similar enough to those of its y."""
     both = _refs(pairs, "x").unionByName(_refs(pairs, "y"))
     asked = lines(docs).filter(_maybe(_bits(both)))
-    # Rows that repeat a document have the same lines: they repeat pairs, no more.
-    hashed = F.array_distinct(F.transform(_words(F.col("line")), _hash))
-    words = asked.select("doc_id", "place", hashed.alias("words"))
 
+    # Lines are shuffled as they are, which takes less than half of what their hashes take.
+    # Rows that repeat a document have the same lines: they repeat pairs, no more.
     def of(side: str) -> DataFrame:
-        return words.select(
+        return asked.select(
             F.col("doc_id").alias(f"{side}_doc"),
             F.col("place").alias(f"{side}_place"),
-            F.col("words").alias(f"{side}_words"),
+            F.col("line").alias(f"{side}_line"),
         )
 
     joined = pairs.join(of("x"), ["x_doc", "x_place"]).join(of("y"), ["y_doc", "y_place"])
-    shared = F.size(F.array_intersect("x_words", "y_words"))
-    sizes = F.size("x_words") + F.size("y_words")
+    x_words, y_words = (
+        F.array_distinct(F.transform(_words(F.col(f"{side}_line")), _hash)) for side in ("x", "y")
+    )
+    shared = F.size(F.array_intersect(x_words, y_words))
+    sizes = F.size(x_words) + F.size(y_words)
     alike = joined.filter(F.lit(NUM + DEN) * shared >= F.lit(NUM) * sizes)
     return _refs(alike, "x").distinct()
 
@@ -246,22 +289,29 @@ def _candidates(sets: DataFrame) -> DataFrame:
     """
     n = F.col("n")
     index = n - F.ceil(F.lit(2 * NUM) * n / F.lit(NUM + DEN)).cast("int") + 1
-    a = _postings(sets, "a", F.col("prefix"), "asks")
-    b = _postings(sets, "b", F.slice("prefix", 1, index), "asks")
+    a = _postings(sets, "a", F.col("prefix"), "asks", "wide")
+    b = _postings(sets, "b", F.slice("prefix", 1, index), "asks", "wide")
     a_later = _earlier("b", "a")
     larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & a_later)
     asks = F.when(a_later, F.col("a_asks")).otherwise(F.col("b_asks"))
     apart = a_later | _earlier("a", "b")
-    fits = larger & apart & asks & _sets_fit("a", "b") & _places_fit("a", "b")
-    pairs = a.join(b, (a.key == b.key) & fits)
+    fits = larger & apart & asks & _sets_fit("a", "b") & _places_fit("a", "b") & _wide_fit("a", "b")
     later = {
         f"x_{c}": F.when(a_later, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) for c in ("doc", "place")
     }
     earlier = {
         f"y_{c}": F.when(a_later, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")) for c in ("doc", "place")
     }
-    named = pairs.select(*[v.alias(c) for c, v in (later | earlier).items()])
-    return named.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("shared"))
+    met = None
+    for number in range(SLICES):
+        mine = F.pmod("key", F.lit(SLICES)) == number
+        own_a, own_b = a.filter(mine), b.filter(mine)
+        pairs = own_a.join(own_b, (own_a.key == own_b.key) & fits)
+        named = pairs.select(*[v.alias(c) for c, v in (later | earlier).items()])
+        counted = named.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("shared"))
+        part = stored(counted, "candidates")
+        met = part if met is None else met.unionByName(part)
+    return met.groupBy(*_PAIR).agg(F.sum("shared").alias("shared"))
 
 
 def similar_later_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -272,6 +322,7 @@ def similar_later_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     found = gone.withColumn("asks", F.lit(False))
     some = sets.filter(maybe).join(found, ["doc_id", "place"], "left").fillna(True, ["asks"])
     marked = sets.filter(~maybe).withColumn("asks", F.lit(True)).unionByName(some)
+    marked = stored(marked, "marked")  # every slice reads it
     pairs = stored(_candidates(marked), "candidates")
     # One pair for each set decides most; only sets that it leaves verify all of theirs.
     best = pairs.groupBy("x_doc", "x_place").agg(

@@ -86,6 +86,16 @@ def test_chains_and_near_copies(spark):
     check(spark, rows)
 
 
+def test_long_lines_that_share_little_are_no_candidates(spark):
+    """Long lines differ in more words than 64 bits can tell; a wider sketch keeps them apart."""
+    rows = [(i, " ".join(["rare", *(f"w{i}x{k}" for k in range(120 + 10 * i))])) for i in range(9)]
+    rows.append((20, rows[3][1] + " more"))
+    sets = line_dedup.line_sets(frame(spark, rows)).selectExpr("*", "true AS asks")
+    assert {len(r.wide) for r in sets.collect()} == {4, 8}
+    found = line_dedup._candidates(sets).collect()
+    assert [(r.x_doc, r.y_doc) for r in found] == [(20, 3)]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.lists(st.sampled_from("abcdefghij"), max_size=9).map(" ".join), max_size=6).map("\n".join), max_size=12))
 def test_any_lines(spark, texts):
