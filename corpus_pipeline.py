@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulseplan.llm import line_dedup, mixing, packing, simhash, toxicity
 from pulseplan.llm.registry import WORD_TOKENIZER, table
-from pulseplan.sources import stored
+from pulseplan.sources import TEXT_BATCH, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), TEXT_BATCH)
     return docs

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import stored
+from ..sources import TEXT_BATCH, stored
 from .tokens import encoded_documents
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -173,5 +173,5 @@ def pack_documents(
 
     Texts are encoded once: the narrow table of pieces is stored before it is packed.
     """
-    pieces = stored(token_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer, end_id, capacity), "pieces", TEXT_BATCH)
     return pack(pieces, capacity)

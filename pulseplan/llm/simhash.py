@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import stored
+from ..sources import TEXT_BATCH, stored
 from .components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -224,7 +224,7 @@ def _labels(distinct: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, ``fp`` and ``component_id`` (the smallest id of the group) for each row."""
-    marked = stored(fingerprints(docs, size), "fingerprints")
+    marked = stored(fingerprints(docs, size), "fingerprints", TEXT_BATCH)
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     labelled = _labels(distinct, radius)
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -242,7 +242,7 @@ def first_of_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     told = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
     hashed = [F.xxhash64(F.lit(n), F.isnull(told[0]), *told).alias(k) for n, k in enumerate(keys)]
     narrow = docs.select(told[0].alias("doc_id"), told[1].alias("text"), *hashed)
-    marked = stored(fingerprints(narrow, size, ("doc_id", *keys)), "fingerprints")
+    marked = stored(fingerprints(narrow, size, ("doc_id", *keys)), "fingerprints", TEXT_BATCH)
     order = F.struct(F.isnull("doc_id"), "doc_id", *keys)
     distinct = stored(marked.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     first = _labels(distinct, radius).groupBy("label").agg(F.min("first").alias("first"))

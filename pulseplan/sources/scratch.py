@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Frees a query's shuffle files as soon as it has ended.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+# Bytes that go to Python at once where rows hold whole texts. Ten thousand of them, the
+# default number of rows, are held several times in buffers of the JVM and of Python.
+TEXT_BATCH = 4 << 20
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -26,19 +31,31 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/pulseplan/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(
+    df: DataFrame, purpose: str, batch_bytes: int | None = None, codec: str | None = None
+) -> DataFrame:
     """``df`` written as parquet to a new shared folder, and read from there.
 
     For a table that several parts of one plan read: it is computed once, its
-    readers prune columns, and no executor has to stay alive for it.
+    readers prune columns, and no executor has to stay alive for it. ``batch_bytes``:
+    about how much goes to Python at once while ``df`` is computed. ``codec``: how the
+    files are compressed, if not as the session says.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     # Once written, the table no longer needs what was shuffled for it.
-    before = spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
+    own = {_FREE_SHUFFLES: "true"}
+    if batch_bytes:
+        own[_BATCH_BYTES] = str(batch_bytes)
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)

@@ -186,6 +186,20 @@ def test_packing_carries_more_bins_than_its_floor(spark, monkeypatch):
     assert check_packing(packing.pack(pieces, 100, 0).collect(), rows, 100) <= 10
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    """Memory of a task that encodes texts does not grow with how many rows a batch may have."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('word ', 1000) AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    seen = packing.stored(rows.mapInArrow(sizes, "bytes long"), "sizes", packing.TEXT_BATCH)
+    assert max(r.bytes for r in seen.collect()) < 2 * packing.TEXT_BATCH
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(docs(spark, []), PATH).collect() == []
 
