@@ -13,8 +13,10 @@ words are counted first, then pairs of frequent words, and the longest windows a
 leaves so few different windows that they combine in each task. Frequent words and pairs
 are broadcast if, when measured, they take at most ``BROADCAST_BYTES``; otherwise they
 are joined by shuffles, whose hot keys adaptive execution splits. Words of pairs are
-written as numbers of the vocabulary while they are counted. Texts are cut once: the words
-of the pieces are stored, as three passes read them.
+written as numbers of the vocabulary while they are counted, and windows as the numbers of
+their pairs; frequent phrases are spelled out again at the end. Pairs and windows are
+counted in parts by their first words, so that only a part of them is on disk at once.
+Texts are cut once: the words of the pieces are stored, as all these passes read them.
 
 Scores are exact: products are decimals of 38 digits.
 
@@ -34,6 +36,8 @@ LONGEST = 5
 LEAST = 100
 STRETCH = 1024
 BROADCAST_BYTES = 64 << 20
+# Parts, by first words, in which pairs and windows are counted one after the other.
+PAIR_SLICES, WINDOW_SLICES = 4, 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENDS = r"[.,;:!?\x0A-\x0D]"
 _BLANKS = r"[\x20\x09]+"
@@ -64,10 +68,13 @@ def lead_windows(found: DataFrame, order: int) -> DataFrame:
     return cut.select("lang", F.inline(F.arrays_zip(*columns)).alias(*names))
 
 
-def prefix_counts(windows: DataFrame, order: int) -> DataFrame:
-    """(lang, words, f) of all prefixes of the counted windows (lang, w1, ..., count)."""
+def prefix_counts(windows: DataFrame, order: int, blank: str | int = "") -> DataFrame:
+    """(lang, words, f) of all prefixes of the counted windows (lang, w1, ..., count).
+
+    ``blank``: what is no word, to pad with; words may also be numbers.
+    """
     columns = [f"w{k + 1}" for k in range(order)]
-    padded = windows.na.fill("", columns)
+    padded = windows.na.fill(blank, columns)
     longest = padded.groupBy("lang", *columns).agg(F.sum("count").alias("count"))
     summed = longest.rollup("lang", *columns).agg(
         F.sum("count").alias("f"), F.grouping_id().alias("level")
@@ -76,7 +83,7 @@ def prefix_counts(windows: DataFrame, order: int) -> DataFrame:
     size = F.lit(order) - F.bit_count("level")
     own = F.slice(F.array(*columns), F.lit(1), size)
     named = summed.filter(F.col("level") < (1 << order) - 1).select("lang", own.alias("words"), "f")
-    return named.filter(F.element_at("words", -1) != "")
+    return named.filter(F.element_at("words", -1) != blank)
 
 
 def _bounded(table: DataFrame, *texts: str) -> DataFrame:
@@ -93,47 +100,72 @@ def word_counts(found: DataFrame) -> DataFrame:
     return stored(counted.withColumn("id", F.monotonically_increasing_id()), "words")
 
 
+def _sliced(windows: DataFrame, number: int, slices: int) -> DataFrame:
+    """One of several parts, by the first word, so that a phrase occurs in one part only."""
+    return windows.filter(F.pmod(F.xxhash64("w1"), F.lit(slices)) == number)
+
+
 def frequent_pairs(found: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
-    """(lang, w1, w2) of pairs with ``least`` occurrences, from their frequent words."""
+    """(lang, w1, w2, id) of pairs with ``least`` occurrences, from their frequent words."""
     windows = lead_windows(found, 2).filter(F.isnotnull("w2"))
     known = _bounded(vocabulary.select("lang", "word", "id"), "lang", "word")
-    ids = windows
-    for name in ("w1", "w2"):
-        mine = known.select(
-            F.col("lang").alias("l"), F.col("word").alias(f"{name}_word"), F.col("id").alias(f"{name}_id")
-        )
-        ids = ids.join(mine, (F.col("lang") == F.col("l")) & (F.col(name) == F.col(f"{name}_word"))).drop("l")
-    counted = ids.groupBy("w1_id", "w2_id").agg(F.count(F.lit(1)).alias("f"))
-    frequent = counted.filter(F.col("f") >= least)
+    frequent = None
+    for number in range(PAIR_SLICES):
+        ids = _sliced(windows, number, PAIR_SLICES)
+        for name in ("w1", "w2"):
+            mine = known.select(
+                F.col("lang").alias("l"), F.col("word").alias(f"{name}_word"), F.col("id").alias(f"{name}_id")
+            )
+            ids = ids.join(mine, (F.col("lang") == F.col("l")) & (F.col(name) == F.col(f"{name}_word"))).drop("l")
+        counted = ids.groupBy("w1_id", "w2_id").agg(F.count(F.lit(1)).alias("f"))
+        part = stored(counted.filter(F.col("f") >= least), "counted-pairs")
+        frequent = part if frequent is None else frequent.unionByName(part)
     first = vocabulary.select("lang", F.col("word").alias("w1"), F.col("id").alias("w1_id"))
     second = vocabulary.select(F.col("word").alias("w2"), F.col("id").alias("w2_id"))
     named = frequent.join(first, "w1_id").join(second, "w2_id")
-    return stored(named.select("lang", "w1", "w2"), "pairs")
+    return stored(named.select("lang", "w1", "w2", F.monotonically_increasing_id().alias("id")), "pairs")
 
 
-def cut_windows(found: DataFrame, pairs: DataFrame, order: int) -> DataFrame:
-    """(lang, w1, ..., count): windows that begin with a frequent pair, null from the first other one."""
-    known = _bounded(pairs, "lang", "w1", "w2")
-    rows = lead_windows(found, order).filter(F.isnotnull("w2"))
-    rows = rows.join(known.select("lang", "w1", "w2"), ["lang", "w1", "w2"])
-    for k in range(3, order + 1):
+def cut_windows(windows: DataFrame, pairs: DataFrame, order: int) -> DataFrame:
+    """(lang, w1, ..., count): for each window its pairs' numbers, null from the first that is not frequent.
+
+    Only windows that begin with a frequent pair; there is one number less than words.
+    """
+    rows = windows.filter(F.isnotnull("w2"))
+    for k in range(2, order + 1):
         left, right = f"w{k - 1}", f"w{k}"
-        mine = known.select(
-            F.col("lang").alias("l"), F.col("w1").alias("p1"), F.col("w2").alias("p2"), F.lit(True).alias("known")
+        mine = pairs.select(
+            F.col("lang").alias("l"), F.col("w1").alias("p1"), F.col("w2").alias("p2"), F.col("id").alias(f"pair{k}")
         )
         here = (F.col("lang") == F.col("l")) & (F.col(left) == F.col("p1")) & (F.col(right) == F.col("p2"))
-        rows = rows.join(mine, here, "left").withColumn(right, F.when(F.col("known"), F.col(right)))
-        rows = rows.drop("l", "p1", "p2", "known")
-    return rows.withColumn("count", F.lit(1).cast("long"))
+        rows = rows.join(mine, here, "left" if k > 2 else "inner").drop("l", "p1", "p2")
+        rows = rows.withColumn(right, F.when(F.isnotnull(f"pair{k}"), F.col(right)))
+    numbers = [F.col(f"pair{k}").alias(f"w{k - 1}") for k in range(2, order + 1)]
+    return rows.select("lang", *numbers, F.lit(1).cast("long").alias("count"))
+
+
+def _spelled(phrases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lang, words, f) of phrases whose ``words`` are numbers of pairs."""
+    one = phrases.select("lang", "f", F.col("words").alias("ids"), F.posexplode("words").alias("at", "id"))
+    both = one.join(pairs.select("id", "w1", "w2"), "id")
+    parts = F.array_sort(F.collect_list(F.struct("at", "w1", "w2")))
+    own = both.groupBy("lang", "ids", "f").agg(parts.alias("parts"))
+    words = F.concat(F.array(F.col("parts")[0]["w1"]), F.col("parts")["w2"])
+    return own.select("lang", words.alias("words"), "f")
 
 
 def phrase_counts(found: DataFrame, words: DataFrame, least: int, order: int) -> DataFrame:
     """(lang, words, f) of all phrases of 1 to ``order`` words with ``least`` occurrences."""
     vocabulary = words.filter(F.col("f") >= least)
     pairs = frequent_pairs(found, vocabulary, least)
-    phrases = prefix_counts(cut_windows(found, pairs, order), order).filter(F.size("words") > 1)
-    single = vocabulary.select("lang", F.array("word").alias("words"), "f")
-    return stored(phrases.filter(F.col("f") >= least).unionByName(single), "phrases")
+    known = _bounded(pairs, "lang", "w1", "w2")
+    windows = lead_windows(found, order)
+    phrases = vocabulary.select("lang", F.array("word").alias("words"), "f")
+    for number in range(WINDOW_SLICES):
+        cut = cut_windows(_sliced(windows, number, WINDOW_SLICES), known, order)
+        frequent = prefix_counts(cut, order - 1, -1).filter(F.col("f") >= least)
+        phrases = phrases.unionByName(_spelled(stored(frequent, "counted-windows"), pairs))
+    return stored(phrases, "phrases")
 
 
 def _phrase(words: Column | str) -> Column:
@@ -193,7 +225,7 @@ def collocations(
     docs: DataFrame, top: int = 2000, least: int = LEAST, percent: int = 100, order: int = LONGEST
 ) -> DataFrame:
     """Each language's first ``top`` phrases by score: lang, rank, phrase, a, l, r, n, score."""
-    found = stored(pieces(docs), "pieces")
+    found = stored(pieces(docs), "pieces", codec="zstd")
     words = word_counts(found)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     phrases = phrase_counts(found, words, least, order)

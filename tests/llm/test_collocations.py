@@ -85,6 +85,19 @@ def test_long_pieces_and_no_broadcast(spark, stretch, monkeypatch):
     assert got(table(spark, rows), least=3) == brute(rows, least=3)
 
 
+@pytest.mark.parametrize("slices", [1, 5])
+def test_parts_hold_all_phrases_of_their_first_words(spark, slices, monkeypatch):
+    monkeypatch.setattr(co, "PAIR_SLICES", slices)
+    monkeypatch.setattr(co, "WINDOW_SLICES", 6 - slices)
+    rows = sentences(3, 60)
+    assert got(table(spark, rows), least=3) == brute(rows, least=3)
+    windows = co.lead_windows(co.pieces(table(spark, rows)), 3)
+    parts = [co._sliced(windows, k, 5) for k in range(5)]
+    assert sum(p.count() for p in parts) == windows.count()
+    first = [{r.w1 for r in p.select("w1").distinct().collect()} for p in parts]
+    assert sum(map(len, first)) == len(set().union(*first)) and max(map(len, first)) < len(set().union(*first))
+
+
 def test_one_document_of_many_copies(spark):
     """A hot phrase: overlaps count, and equal rows count as often as they occur."""
     rows = [("go go go go go go go. the end", "en")] * 120 + [("the end", "en")] * 10
