@@ -10,13 +10,16 @@ the piece gives, without shuffling and sorting all words for it.
 A phrase of at least ``least`` occurrences is made of words and of pairs with as many. So
 words are counted first, then pairs of frequent words, and the longest windows are cut
 (padded) at the first pair that is not frequent. That drops no phrase that counts, and
-leaves so few different windows that they combine in each task. Frequent words and pairs
-are broadcast if, when measured, they take at most ``BROADCAST_BYTES``; otherwise they
-are joined by shuffles, whose hot keys adaptive execution splits. Words of pairs are
-written as numbers of the vocabulary while they are counted, and windows as the numbers of
-their pairs; frequent phrases are spelled out again at the end. Pairs and windows are
-counted in parts by their first words, so that only a part of them is on disk at once.
-Texts are cut once: the words of the pieces are stored, as all these passes read them.
+leaves so few different windows that they combine in each task. Texts are read twice: to
+count their words, and to write the frequent words as numbers, with ``NONE`` for others and
+between pieces. Both passes cut whole batches of texts by their bytes. From there on words are
+numbers; pairs and windows are counted in parts by their first words, so that only a part of
+them is on disk at once, windows as numbers of their pairs, and frequent phrases are spelled
+out at the end.
+
+Frequent words, and frequent pairs, go to all tasks if, when measured, they take at most
+``BROADCAST_BYTES``; otherwise they are joined by shuffles, whose hot keys adaptive execution
+splits.
 
 Scores are exact: products are decimals of 38 digits.
 
@@ -27,10 +30,16 @@ words give nothing, nor does an empty table. Very long pieces are read in stretc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import stored
+from ..sources import TEXT_BATCH, stored
+from .tokens import steps
 
 LONGEST = 5
 LEAST = 100
@@ -42,30 +51,116 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENDS = r"[.,;:!?\x0A-\x0D]"
 _BLANKS = r"[\x20\x09]+"
 _ROW_BYTES = 64
+# What stands for words that are not frequent, and between pieces.
+NONE = -1
+# Bytes of words, of blanks and of ends of pieces; letters A-Z become a-z.
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[0x20, 0x09]] = 1
+_KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+_LOW_BYTES = np.arange(256, dtype=np.uint8)
+_LOW_BYTES[ord("A") : ord("Z") + 1] += 32
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text)
 
 
 def pieces(docs: DataFrame) -> DataFrame:
     """(lang, words) of each piece that has words."""
-    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    cut = docs.select(lang, F.explode(F.split(low, _ENDS, -1)).alias("piece"))
+    low = F.translate("text", _UPPER, _LOWER)
+    cut = _texts(docs).select("lang", F.explode(F.split(low, _ENDS, -1)).alias("piece"))
     found = cut.select("lang", F.array_remove(F.split("piece", _BLANKS, -1), "").alias("words"))
     return found.filter(F.size("words") > 0)
 
 
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of texts in a row; the row of each, and whether it is its piece's first.
+
+    As `pieces` cuts them. All marks are single bytes in UTF-8, so bytes are looked at, not characters.
+    """
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kinds = _KINDS[data]
+    inside = kinds == 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = ends[:-1][ends[:-1] < len(data)]
+    begins[heads] = inside[heads]
+    first = np.flatnonzero(begins)
+    offsets = np.append(np.cumsum(inside, dtype=np.int64)[first] - 1, np.count_nonzero(inside))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(_LOW_BYTES[data[inside]])]
+    words = pa.Array.from_buffers(pa.large_string(), len(first), buffers)
+    row = np.searchsorted(ends, first, side="right") - 1
+    piece = np.cumsum(kinds == 2, dtype=np.int64)[first]
+    opens = np.ones(len(first), dtype=bool)
+    opens[1:] = (np.diff(row) > 0) | (np.diff(piece) > 0)
+    return words, row, opens
+
+
+def _coded(part: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Different languages and words of a batch, and of each word its row, its place among those and ``opens``."""
+    words, row, opens = cut_words(part.column("text"))
+    lang, word = part.column("lang").dictionary_encode(), words.dictionary_encode()
+    codes = word.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    langs = lang.indices.to_numpy(zero_copy_only=False)[row]
+    return lang.dictionary, word.dictionary, row, langs * len(word.dictionary) + codes, opens
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in steps(batch, "text"):
+            langs, words, _, codes, _ = _coded(part)
+            found, counts = np.unique(codes, return_counts=True)
+            size = max(len(words), 1)
+            own = {"lang": langs.take(pa.array(found // size)), "word": words.take(pa.array(found % size))}
+            columns = {c: v.cast(pa.string()) for c, v in own.items()}
+            yield pa.record_batch(columns | {"count": pa.array(counts, pa.int64())})
+
+
+def _numbers(vocabulary: dict[str, tuple[pa.Array, np.ndarray]], langs: pa.Array, words: pa.Array) -> np.ndarray:
+    """The number of each word in each language, or ``NONE``."""
+    table = np.full((len(langs), len(words)), NONE, dtype=np.int32)
+    for at, lang in enumerate(langs.to_pylist()):
+        if lang in vocabulary:
+            known, numbers = vocabulary[lang]
+            place = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            table[at] = np.where(place >= 0, numbers[place], NONE)
+    return table.reshape(-1)
+
+
+def _numbered_texts(part: pa.RecordBatch, vocabulary: dict[str, tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    langs, words, row, codes, opens = _coded(part)
+    spread = np.full(len(codes) + np.count_nonzero(opens), NONE, dtype=np.int32)
+    spread[np.arange(len(codes)) + np.cumsum(opens)] = _numbers(vocabulary, langs, words)[codes]
+    rows = np.repeat(row, 1 + opens)
+    # A word between two that are not frequent is in no pair, and one NONE is as good as many.
+    none = np.zeros(1, dtype=bool)
+    around = np.concatenate((none, spread >= 0, none))
+    paired = around[1:-1] & (around[:-2] | around[2:])
+    keep = paired | np.concatenate((none, paired))[:-1]
+    spread = np.where(paired, spread, NONE)[keep]
+    sizes = np.bincount(rows[keep], minlength=part.num_rows)
+    offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    return pa.record_batch({"words": pa.ListArray.from_arrays(offsets, pa.array(spread, pa.int32()))})
+
+
 def lead_windows(found: DataFrame, order: int) -> DataFrame:
-    """(lang, w1, ...): each word and those behind it in its piece; null behind the end."""
+    """w1, ... and what else ``found`` has: each word and those behind it in its piece; null behind the end."""
+    others = [c for c in found.columns if c != "words"]
     # A stretch has the words that windows begin with, and those that its last windows reach.
     stretch = F.transform(
         F.sequence(F.lit(1), F.size("words"), F.lit(STRETCH)),
         lambda a: F.slice("words", a, F.lit(STRETCH + order - 1)),
     )
     parts = F.when(F.size("words") > STRETCH, stretch).otherwise(F.array("words"))
-    cut = found.select("lang", F.explode(parts).alias("part"))
+    cut = found.select(*others, F.explode(parts).alias("part"))
     begun = F.least(F.size("part"), F.lit(STRETCH))
     columns = [F.slice("part", F.lit(k), begun) for k in range(1, order + 1)]
     names = [f"w{k}" for k in range(1, order + 1)]
-    return cut.select("lang", F.inline(F.arrays_zip(*columns)).alias(*names))
+    return cut.select(*others, F.inline(F.arrays_zip(*columns)).alias(*names))
 
 
 def prefix_counts(windows: DataFrame, order: int, blank: str | int = "") -> DataFrame:
@@ -86,18 +181,61 @@ def prefix_counts(windows: DataFrame, order: int, blank: str | int = "") -> Data
     return named.filter(F.element_at("words", -1) != blank)
 
 
-def _bounded(table: DataFrame, *texts: str) -> DataFrame:
-    """``table`` (stored) to be broadcast if it is small enough."""
+def _bounded(table: DataFrame, *texts: str) -> bool:
+    """Whether ``table`` (stored) is small enough to go to all tasks."""
     size = sum((F.octet_length(c) for c in texts), F.lit(_ROW_BYTES))
-    taken = table.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(table) if taken <= BROADCAST_BYTES else table
-
-
-def word_counts(found: DataFrame) -> DataFrame:
-    """(lang, word, f, id) of all words; ``id`` is any number, of its own for each row."""
-    found = found.select("lang", F.explode("words").alias("word"))
-    counted = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
-    return stored(counted.withColumn("id", F.monotonically_increasing_id()), "words")
+    return (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, f) of all words."""
+    counted = _texts(docs).mapInArrow(_counted_words, "lang string, word string, count long")
+    return stored(counted.groupBy("lang", "word").agg(F.sum("count").alias("f")), "words", TEXT_BATCH)
+
+
+def frequent_words(words: DataFrame, least: int) -> DataFrame:
+    """(lang, word, f, id) of words with ``least`` occurrences; ``id`` numbers the rows from 0."""
+    place = F.monotonically_increasing_id()
+    rows = stored(words.filter(F.col("f") >= least).withColumn("place", place), "vocabulary")
+    part = F.shiftright("place", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("many")).collect()
+    before, total = {}, 0
+    for number, many in sorted(map(tuple, sizes)):
+        before[number], total = total, total + many
+    starts = rows.sparkSession.createDataFrame([*before.items()], "part long, start long")
+    at = F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)
+    joined = rows.withColumn("part", part).join(F.broadcast(starts), "part")
+    return stored(joined.select("lang", "word", "f", at.cast("int").alias("id")), "vocabulary")
+
+
+def word_numbers(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``words``, the numbers of the words of one or more pieces; ``NONE`` between pieces and for other words."""
+    if not _bounded(vocabulary, "lang", "word"):
+        return stored(_joined_numbers(docs, vocabulary), "numbers", codec="zstd")
+    rows = vocabulary.select("lang", "word", "id").toArrow()
+    own = {}
+    for lang in pc.unique(rows.column("lang")).to_pylist():
+        mine = rows.filter(pc.equal(rows.column("lang"), lang))
+        word = mine.column("word").cast(pa.large_string()).combine_chunks()
+        own[lang] = (word, mine.column("id").to_numpy())
+    sent = docs.sparkSession.sparkContext.broadcast(own)
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text"):
+                yield _numbered_texts(part, sent.value)
+
+    numbered = _texts(docs).mapInArrow(mapper, "words array<int>")
+    return stored(numbered.filter(F.size("words") > 1), "numbers", TEXT_BATCH, "zstd")
+
+
+def _joined_numbers(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """`word_numbers` by a join, for vocabularies that are too large for a task."""
+    found = stored(pieces(docs).withColumn("piece", F.monotonically_increasing_id()), "pieces", codec="zstd")
+    words = found.select("lang", "piece", F.posexplode("words").alias("at", "word"))
+    known = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"], "left")
+    numbers = F.array_sort(F.collect_list(F.struct("at", F.coalesce("id", F.lit(NONE)).alias("id"))))
+    return known.groupBy("piece").agg(numbers.alias("numbers")).select(F.col("numbers.id").alias("words"))
 
 
 def _sliced(windows: DataFrame, number: int, slices: int) -> DataFrame:
@@ -106,24 +244,19 @@ def _sliced(windows: DataFrame, number: int, slices: int) -> DataFrame:
 
 
 def frequent_pairs(found: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
-    """(lang, w1, w2, id) of pairs with ``least`` occurrences, from their frequent words."""
-    windows = lead_windows(found, 2).filter(F.isnotnull("w2"))
-    known = _bounded(vocabulary.select("lang", "word", "id"), "lang", "word")
+    """(lang, w1, w2, n1, n2, id) of pairs with ``least`` occurrences: words, their numbers, and any own number."""
+    windows = lead_windows(found, 2).filter((F.col("w1") >= 0) & (F.col("w2") >= 0))
     frequent = None
     for number in range(PAIR_SLICES):
         ids = _sliced(windows, number, PAIR_SLICES)
-        for name in ("w1", "w2"):
-            mine = known.select(
-                F.col("lang").alias("l"), F.col("word").alias(f"{name}_word"), F.col("id").alias(f"{name}_id")
-            )
-            ids = ids.join(mine, (F.col("lang") == F.col("l")) & (F.col(name) == F.col(f"{name}_word"))).drop("l")
-        counted = ids.groupBy("w1_id", "w2_id").agg(F.count(F.lit(1)).alias("f"))
+        counted = ids.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("f"))
         part = stored(counted.filter(F.col("f") >= least), "counted-pairs")
         frequent = part if frequent is None else frequent.unionByName(part)
-    first = vocabulary.select("lang", F.col("word").alias("w1"), F.col("id").alias("w1_id"))
-    second = vocabulary.select(F.col("word").alias("w2"), F.col("id").alias("w2_id"))
-    named = frequent.join(first, "w1_id").join(second, "w2_id")
-    return stored(named.select("lang", "w1", "w2", F.monotonically_increasing_id().alias("id")), "pairs")
+    numbers = frequent.select(F.col("w1").alias("n1"), F.col("w2").alias("n2"))
+    first = vocabulary.select("lang", F.col("word").alias("w1"), F.col("id").alias("n1"))
+    second = vocabulary.select(F.col("word").alias("w2"), F.col("id").alias("n2"))
+    named = numbers.join(first, "n1").join(second, "n2")
+    return stored(named.select("lang", "w1", "w2", "n1", "n2", F.monotonically_increasing_id().alias("id")), "pairs")
 
 
 def cut_windows(windows: DataFrame, pairs: DataFrame, order: int) -> DataFrame:
@@ -131,14 +264,13 @@ def cut_windows(windows: DataFrame, pairs: DataFrame, order: int) -> DataFrame:
 
     Only windows that begin with a frequent pair; there is one number less than words.
     """
-    rows = windows.filter(F.isnotnull("w2"))
+    rows = windows.filter((F.col("w1") >= 0) & (F.col("w2") >= 0))
     for k in range(2, order + 1):
         left, right = f"w{k - 1}", f"w{k}"
-        mine = pairs.select(
-            F.col("lang").alias("l"), F.col("w1").alias("p1"), F.col("w2").alias("p2"), F.col("id").alias(f"pair{k}")
-        )
-        here = (F.col("lang") == F.col("l")) & (F.col(left) == F.col("p1")) & (F.col(right) == F.col("p2"))
-        rows = rows.join(mine, here, "left" if k > 2 else "inner").drop("l", "p1", "p2")
+        own = [F.col("lang")] if k == 2 else []
+        mine = pairs.select(*own, F.col("n1").alias("p1"), F.col("n2").alias("p2"), F.col("id").alias(f"pair{k}"))
+        here = (F.col(left) == F.col("p1")) & (F.col(right) == F.col("p2"))
+        rows = rows.join(mine, here, "left" if k > 2 else "inner").drop("p1", "p2")
         rows = rows.withColumn(right, F.when(F.isnotnull(f"pair{k}"), F.col(right)))
     numbers = [F.col(f"pair{k}").alias(f"w{k - 1}") for k in range(2, order + 1)]
     return rows.select("lang", *numbers, F.lit(1).cast("long").alias("count"))
@@ -154,11 +286,10 @@ def _spelled(phrases: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.select("lang", words.alias("words"), "f")
 
 
-def phrase_counts(found: DataFrame, words: DataFrame, least: int, order: int) -> DataFrame:
+def phrase_counts(found: DataFrame, vocabulary: DataFrame, least: int, order: int) -> DataFrame:
     """(lang, words, f) of all phrases of 1 to ``order`` words with ``least`` occurrences."""
-    vocabulary = words.filter(F.col("f") >= least)
     pairs = frequent_pairs(found, vocabulary, least)
-    known = _bounded(pairs, "lang", "w1", "w2")
+    known = F.broadcast(pairs) if _bounded(pairs, "lang") else pairs
     windows = lead_windows(found, order)
     phrases = vocabulary.select("lang", F.array("word").alias("words"), "f")
     for number in range(WINDOW_SLICES):
@@ -225,10 +356,10 @@ def collocations(
     docs: DataFrame, top: int = 2000, least: int = LEAST, percent: int = 100, order: int = LONGEST
 ) -> DataFrame:
     """Each language's first ``top`` phrases by score: lang, rank, phrase, a, l, r, n, score."""
-    found = stored(pieces(docs), "pieces", codec="zstd")
-    words = word_counts(found)
+    words = word_counts(docs)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    phrases = phrase_counts(found, words, least, order)
+    vocabulary = frequent_words(words, least)
+    phrases = phrase_counts(word_numbers(docs, vocabulary), vocabulary, least, order)
     left = not_absorbed(stored(scored(phrases, totals), "candidates"), percent)
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = left.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)

@@ -136,3 +136,39 @@ def test_query_against_sql(spark, sf):
     sf_dir = str(TESTDATA / sf)
     found = registry.op13_collocations(spark, sf_dir)
     assert oracle.compare(found, oracle.connect(sf_dir), co.COLLOCATIONS_SQL) == []
+
+
+def test_words_are_cut_in_whole_batches():
+    """By bytes, as the expressions cut characters; also in slices of a larger batch."""
+    import pyarrow as pa
+
+    texts = ["", "One tWo,\tthree", "", "été\x0bÉTÉ  ñ!", "x", "y z.", " .,;: ", "日本 😀;A-B\r\nc\u00a0d", ""]
+    for part in (texts, texts[1:5], texts[3:], texts[:1]):
+        whole = pa.array(["before,", *texts]) if part is texts else pa.array([*texts, "behind"])
+        at = 1 if part is texts else texts.index(part[0]) if part[0] else 0
+        words, row, opens = co.cut_words(whole.slice(at, len(part)))
+        want = []
+        for n, text in enumerate(part):
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(UPPER)):
+                want += [(w, n, k == 0) for k, w in enumerate(re.findall(r"[^\x20\x09]+", piece))]
+        assert list(zip(words.to_pylist(), row.tolist(), opens.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("limit", [0, co.BROADCAST_BYTES])
+def test_passes_read_numbers_of_frequent_words(spark, limit, monkeypatch):
+    """Pairs come from arrays of ints, in which every pair of frequent words stands as often as in the texts."""
+    monkeypatch.setattr(co, "BROADCAST_BYTES", limit)
+    rows = [*sentences(4, 80), *ODD]
+    words = co.word_counts(table(spark, rows))
+    vocabulary = co.frequent_words(words, 40)
+    names = {r.id: (r.lang, r.word) for r in vocabulary.collect()}
+    assert sorted(names) == list(range(len(names))) and 0 < len(names) < words.count()
+    found = co.word_numbers(table(spark, rows), vocabulary)
+    assert found.dtypes == [("words", "array<int>")]
+    pairs = Counter((r.w1, r.w2) for r in co.lead_windows(found, 2).filter("w1 >= 0 AND w2 >= 0").collect())
+    want, known = Counter(), set(names.values())
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(UPPER)):
+            own = [(lang or "und", w) for w in re.findall(r"[^\x20\x09]+", piece)]
+            want.update(p for p in zip(own, own[1:]) if known.issuperset(p))
+    assert Counter({(names[a], names[b]): f for (a, b), f in pairs.items()}) == want
