@@ -19,8 +19,8 @@ The postings of the join proper take several times the disk of the sets, so they
 dealt by their keys into ``SLICES`` parts that are joined one after the other.
 
 Near copies of one line would make a square of pairs. So each set first meets only the
-earliest set under its last prefix keys, a pair per key at most; sets that go by this
-ask no more. The join proper then works for the others, against all sets.
+earliest set of about its size under its last prefix keys, a pair per key at most; sets that
+go by this ask no more. The join proper then works for the others, against all sets.
 
 A frequent word is a hot key only for lines of frequent words; its group is joined by
 sort and merge, which adaptive execution splits, and is gathered nowhere.
@@ -109,13 +109,12 @@ def size_classes(docs: DataFrame) -> bytes:
 def keys(line: Column, classes: bytes) -> Column:
     """The distinct words of a line as numbers, from rare to frequent."""
 
-    def key(word: Column) -> Column:
-        h = _hash(word)
+    def key(h: Column) -> Column:
         size = _byte(classes, F.pmod(h, F.lit(BUCKETS)))
         low = h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
         return F.shiftleft(size.cast("long"), _HASH_BITS).bitwiseOR(low)
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), _hash), key)))
 
 
 def _sketch(keys: Column) -> Column:
@@ -267,12 +266,15 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _first_looks(sets: DataFrame) -> DataFrame:
-    """Pairs of a set and the earliest one under one of its last prefix keys.
+    """Pairs of a set and the earliest one of its size class under one of its last prefix keys.
 
-    Their shared word need not be the first one, so its place says nothing here.
+    Their shared word need not be the first one, so its place says nothing here. A much shorter
+    or longer set could only hide those that fit; similar sets of two classes meet later.
     """
     skip = F.greatest(F.size("prefix") - FIRST_LOOK, F.lit(0))
     looks = _postings(sets, "x", F.slice("prefix", skip + 1, F.size("prefix"))).drop("x_left")
+    size = F.floor(4 * F.log2(F.col("x_n").cast("double")))
+    looks = looks.withColumn("key", F.xxhash64("key", size))
     own = F.struct("x_doc", "x_place", "x_n", "x_sketch")
     groups = looks.groupBy("key").agg(F.min(own).alias("y"), F.count(F.lit(1)).alias("many"))
     groups = groups.filter("many > 1").select(

@@ -96,6 +96,16 @@ def test_long_lines_that_share_little_are_no_candidates(spark):
     assert [(r.x_doc, r.y_doc) for r in found] == [(20, 3)]
 
 
+def test_near_copies_look_past_sets_of_other_sizes(spark):
+    """Each word is a line of its own before the near copies, which yet meet the earliest of them."""
+    words = [f"c{i}" for i in range(40)]
+    rows = [(0, "\n".join(words))]
+    rows += [(1 + i, " ".join([*words[:i], f"own{i}", *words[i + 1 :]])) for i in range(20)]
+    looks = line_dedup._first_looks(line_dedup.line_sets(frame(spark, rows))).collect()
+    assert {(r.x_doc, r.y_doc) for r in looks if r.y_doc == 1} == {(i, 1) for i in range(2, 21)}
+    check(spark, rows)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.lists(st.sampled_from("abcdefghij"), max_size=9).map(" ".join), max_size=6).map("\n".join), max_size=12))
 def test_any_lines(spark, texts):
