@@ -19,8 +19,10 @@ The postings of the join proper take several times the disk of the sets, so they
 dealt by their keys into ``SLICES`` parts that are joined one after the other.
 
 Near copies of one line would make a square of pairs. So each set first meets only the
-earliest set of about its size under its last prefix keys, a pair per key at most; sets that
-go by this ask no more. The join proper then works for the others, against all sets.
+earliest set of about its size under the last half of its prefix keys, a pair per key at most;
+sets that go by this ask no more. The join proper then works for the others, against all sets.
+The more words a set has, the more of them may lie between it and its near copies, and the
+earliest set under a single key may be any other line: so longer sets look under more keys.
 
 A frequent word is a hot key only for lines of frequent words; its group is joined by
 sort and merge, which adaptive execution splits, and is gathered nowhere.
@@ -42,7 +44,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 17
 # Similarity as a fraction: overlap >= NUM / (NUM + DEN) of both sizes together.
 NUM, DEN = 4, 5
-# Last keys of the prefix under which a set meets the earliest one.
+# Last keys of the prefix under which a set meets the earliest one: half of them, but so many at least.
 FIRST_LOOK = 3
 FILTER_BYTES = 1 << 17
 # Parts of the keys that are joined one after the other.
@@ -266,21 +268,24 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _first_looks(sets: DataFrame) -> DataFrame:
-    """Pairs of a set and the earliest one of its size class under one of its last prefix keys.
+    """Pairs of a set and the earliest one of its size class under a key of its prefix's last half.
 
     Their shared word need not be the first one, so its place says nothing here. A much shorter
     or longer set could only hide those that fit; similar sets of two classes meet later.
     """
-    skip = F.greatest(F.size("prefix") - FIRST_LOOK, F.lit(0))
-    looks = _postings(sets, "x", F.slice("prefix", skip + 1, F.size("prefix"))).drop("x_left")
+    half = F.call_function("div", F.size("prefix"), F.lit(2)).cast("int")
+    skip = F.greatest(F.least(half, F.size("prefix") - FIRST_LOOK), F.lit(0))
+    looks = _postings(sets, "x", F.slice("prefix", skip + 1, F.size("prefix")), "wide")
+    looks = looks.drop("x_left")
     size = F.floor(4 * F.log2(F.col("x_n").cast("double")))
     looks = looks.withColumn("key", F.xxhash64("key", size))
-    own = F.struct("x_doc", "x_place", "x_n", "x_sketch")
+    columns = ("doc", "place", "n", "sketch", "wide")
+    own = F.struct(*[f"x_{c}" for c in columns])
     groups = looks.groupBy("key").agg(F.min(own).alias("y"), F.count(F.lit(1)).alias("many"))
     groups = groups.filter("many > 1").select(
-        "key", *[F.col(f"y.x_{c}").alias(f"y_{c}") for c in ("doc", "place", "n", "sketch")]
+        "key", *[F.col(f"y.x_{c}").alias(f"y_{c}") for c in columns]
     )
-    fits = _earlier("y", "x") & _sets_fit("x", "y")
+    fits = _earlier("y", "x") & _sets_fit("x", "y") & _wide_fit("x", "y")
     return looks.join(groups, (looks.key == groups.key) & fits).select(*_PAIR).distinct()
 
 

@@ -106,6 +106,25 @@ def test_near_copies_look_past_sets_of_other_sizes(spark):
     check(spark, rows)
 
 
+def test_near_copies_look_past_other_lines_under_their_common_words(spark):
+    """The last prefix keys of the near copies are those of earlier lines of their size too."""
+    common = [f"f{i}" for i in range(50)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{k}" for k in range(10))])) for i in range(10)]
+    rows += [(100 + i, " ".join([*(f"b{k}" for k in range(9)), *common, f"own{i}"])) for i in range(20)]
+    looks = line_dedup._first_looks(line_dedup.line_sets(frame(spark, rows))).collect()
+    assert {(100 + i, 100) for i in range(1, 20)} <= {(r.x_doc, r.y_doc) for r in looks}
+    check(spark, rows)
+
+
+def test_long_lines_that_share_little_are_no_looks(spark):
+    rare, own = [f"r{k}" for k in range(30)], [[f"s{i}x{k}" for k in range(120)] for i in range(8)]
+    rows = [(i, " ".join(rare + words)) for i, words in enumerate(own)]
+    rows += [(10 + i, "\n".join([" ".join([*words, *(f"q{i}x{k}" for k in range(60))])] * 20)) for i, words in enumerate(own)]
+    looks = line_dedup._first_looks(line_dedup.line_sets(frame(spark, rows))).collect()
+    assert not looks
+    check(spark, rows)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.lists(st.sampled_from("abcdefghij"), max_size=9).map(" ".join), max_size=6).map("\n".join), max_size=12))
 def test_any_lines(spark, texts):
