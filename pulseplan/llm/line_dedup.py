@@ -129,11 +129,8 @@ def _sketch(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), flip)
 
 
-def _wide_sketch(keys: Column) -> Column:
-    """As `_sketch`, in 2, 4 or 8 longs for sets of more words; empty if 64 bits are enough.
-
-    Either half of a wide sketch, flipped by the other, is the sketch of half the width.
-    """
+def _wide_parts(keys: Column) -> Column:
+    """As `_sketch`, in 2, 4 or 8 longs but for the last one, for sets of more words; else empty."""
     longs = F.lit(SKETCH_LONGS)
     for width in (SKETCH_LONGS // 2, SKETCH_LONGS // 4):
         longs = F.when(F.size(keys) <= width * SKETCH_WORDS, F.lit(width)).otherwise(longs)
@@ -141,14 +138,24 @@ def _wide_sketch(keys: Column) -> Column:
     def part(number: Column) -> Column:
         return _sketch(F.filter(keys, lambda k: F.call_function("shiftright", k, F.lit(6)).bitwiseAND(longs - 1) == number))
 
-    wide = F.transform(F.sequence(F.lit(0), longs - 1), part)
-    return F.when(F.size(keys) > SKETCH_WORDS, wide).otherwise(F.array().cast("array<long>"))
+    parts = F.transform(F.sequence(F.lit(0), longs - 2), part)
+    return F.when(F.size(keys) > SKETCH_WORDS, parts).otherwise(F.array().cast("array<long>"))
+
+
+def _wide_sketch(parts: Column, sketch: Column) -> Column:
+    """``parts`` and the last long: all longs, flipped by each other, are the sketch of 64 bits.
+
+    So is either half of a wide sketch, flipped by the other, the sketch of half the width.
+    """
+    last = F.aggregate(parts, sketch, lambda bits, part: bits.bitwiseXOR(part))
+    return F.when(F.size(parts) > 0, F.concat(parts, F.array(last))).otherwise(parts)
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
     """Each set of words once: (doc_id, place) of its first line, size n, sketches, prefix keys."""
     classes = size_classes(docs)
     keyed = lines(docs).select("doc_id", "place", keys(F.col("line"), classes).alias("keys"))
+    keyed = keyed.select("*", _sketch(F.col("keys")).alias("sketch"), _wide_parts(F.col("keys")).alias("parts"))
     n = F.size("keys")
     prefix = n - F.ceil(F.lit(NUM) * n / F.lit(DEN)).cast("int") + 1
     marked = keyed.select(
@@ -156,8 +163,8 @@ def line_sets(docs: DataFrame) -> DataFrame:
         F.xxhash64("keys", F.lit(1)).alias("id2"),
         F.struct("doc_id", "place").alias("at"),
         n.alias("n"),
-        _sketch(F.col("keys")).alias("sketch"),
-        _wide_sketch(F.col("keys")).alias("wide"),
+        "sketch",
+        _wide_sketch(F.col("parts"), F.col("sketch")).alias("wide"),
         F.slice("keys", 1, prefix).alias("prefix"),
     )
     first = marked.groupBy("id", "id2").agg(
